@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquetry.llm import jaccard, licenses, packing, quality, sharding, urlrules
+from marquetry.llm import jaccard, licenses, packing, quality, secrets, sharding, urlrules
 from marquetry.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(docs)
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.secret_scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlrules.url_filter(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -42,4 +47,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_jaccard_join, op7_url_filters, op8_license_scans, op10_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_jaccard_join, op5_secret_scans, op7_url_filters, op8_license_scans, op10_sharding)}
