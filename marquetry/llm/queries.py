@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquetry.llm import jaccard, licenses, packing, quality, secrets, sharding, urlrules
+from marquetry.llm import jaccard, licenses, packing, quality, repeats, secrets, sharding, urlrules
 from marquetry.llm.common import table
 
 
@@ -41,10 +41,15 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.suffix_dedup(docs)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_by_bytes(docs)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_jaccard_join, op5_secret_scans, op7_url_filters, op8_license_scans, op10_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_jaccard_join, op5_secret_scans, op7_url_filters, op8_license_scans, op9_suffix_dedup, op10_sharding)}
