@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquetry.llm import jaccard, licenses, packing, quality, repeats, secrets, sharding, urlrules
+from marquetry.llm import jaccard, licenses, packing, pieces, quality, repeats, secrets, sharding, topk, urlrules
 from marquetry.llm.common import table
 
 
+#: Where op6 finds its vocabulary.
+TOKENIZER = os.environ.get("MARQUETRY_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs)
@@ -20,6 +26,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.jaccard_join(docs)
@@ -30,6 +41,12 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.encode(docs, pieces.load_pieces(TOKENIZER), check=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlrules.url_filter(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -52,4 +69,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_jaccard_join, op5_secret_scans, op7_url_filters, op8_license_scans, op9_suffix_dedup, op10_sharding)}
+    found = (op1_best_fit_packing, op2_quality_rules, op3_exact_topk, op4_jaccard_join, op5_secret_scans, op6_pieces, op7_url_filters, op8_license_scans, op9_suffix_dedup, op10_sharding)
+    return {f.__name__: f for f in found}

@@ -268,7 +268,7 @@ def _range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.n
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
     """For each key, how many keys are smaller."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     out = np.empty(len(keys), dtype=np.int64)
