@@ -52,6 +52,9 @@ class Codec:
         self.ids = {pieces.texts[i]: i for i in normal}
         self.bytes = {int(pieces.texts[i][3:5], 16): i for i, k in enumerate(pieces.kinds) if k == "b"}
         self.as_byte = {i: b for b, i in self.bytes.items()}
+        #: What each id decodes to, in bytes: runs of byte pieces join to characters.
+        plain = {"u": " ⁇ ", "c": ""}
+        self.decoded = [bytes([self.as_byte[i]]) if k == "b" else plain.get(k, t.replace(SPACE, " ")).encode() for i, (k, t) in enumerate(zip(pieces.kinds, pieces.texts, strict=True))]
         self.scores = np.array(pieces.scores)
         #: Words are segmented alone where no piece goes on past a word's end.
         self.by_word = not any(SPACE in t.lstrip(SPACE) for t in self.ids)
@@ -277,19 +280,19 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of all texts; none for null and empty texts."""
-        index: dict[str, int] = {}
-        words: list[int] = []
+        words: list[str] = []
         counts = np.zeros(len(texts), dtype=np.int64)
         for k, text in enumerate(texts):
             if text:
                 marked = (SPACE if self.pieces.dummy_prefix else "") + text.replace(" ", SPACE)
                 found = _UNITS.findall(marked) if self.by_word else [marked]
                 counts[k] = len(found)
-                words += [index.setdefault(w, len(index)) for w in found]
-        if not index:
+                words += found
+        if not words:
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        index = {w: k for k, w in enumerate(dict.fromkeys(words))}
         ids, bounds = self.segment(list(index))
-        which = np.array(words, dtype=np.int64)
+        which = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         size = np.diff(bounds)[which]
         ends = np.cumsum(size)
         out = ids[np.repeat(bounds[which] - (ends - size), size) + np.arange(ends[-1])]
@@ -297,21 +300,7 @@ class Codec:
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """Text of ids: runs of byte pieces as UTF-8 (broken ones as U+FFFD), marks as spaces, the dummy prefix taken off."""
-        out: list[str] = []
-        run = bytearray()
-        for i in ids:
-            b = self.as_byte.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            kind = self.pieces.kinds[i]
-            out.append(self.pieces.texts[i] if kind == "n" else " ⁇ " if kind == "u" else "")
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        text = b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.pieces.dummy_prefix and text[:1] == " " else text
 
 
