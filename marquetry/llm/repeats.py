@@ -26,7 +26,9 @@ GRAM = 16
 #: Text bytes that one shard stands for, and least shards.
 SHARD_BYTES = 8 << 20
 MIN_SHARDS = 48
+#: Text bytes whose grams or contexts are sent together, and window starts that are hashed at a time.
 BATCH_BYTES = 16 << 20
+CHUNK = 1 << 20
 NO_DOC = np.iinfo(np.int64).max
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -50,6 +52,7 @@ def _unpack(body: bytes, *types: str) -> list[np.ndarray]:
 def _gram_hashes(buffer: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes at each place."""
     n = len(buffer) - GRAM + 1
+    buffer = np.ascontiguousarray(buffer)
     words = np.ndarray((len(buffer) - 7,), dtype="<u8", buffer=buffer, strides=(1,))
     h = words[:n] * _M1
     h ^= h >> np.uint64(29)
@@ -64,22 +67,29 @@ def anchors(buffer: np.ndarray, lengths: np.ndarray, length: int = LENGTH) -> tu
     """(places, gram hashes) of the anchors of all windows that lie within one of the texts joined in buffer."""
     if len(buffer) < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = _gram_hashes(buffer)
     span = length - GRAM + 1
     bits = np.uint64((1 << (span - 1).bit_length()) - 1)
-    least = (h & ~bits) | (np.arange(len(h), dtype=np.uint64) & bits)
-    step = 1
-    while step * 2 <= span:
-        least = np.minimum(least[:-step], least[step:])
-        step *= 2
-    if span > step:
-        least = np.minimum(least[: -(span - step)], least[span - step :])
-    start = np.arange(len(least))
-    place = start + (((least & bits).astype(np.int64) - start) & int(bits))
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    inside = text[: len(place)] == text[length - 1 : length - 1 + len(place)]
-    place = np.unique(place[inside])
-    return place, h[place]
+    ends = np.cumsum(lengths)
+    places, hashes = [], []
+    for lo in range(0, len(buffer) - length + 1, CHUNK):  # windows that start in a chunk; its bytes reach over its end
+        part = buffer[lo : lo + CHUNK + length - 1]
+        h = _gram_hashes(part)
+        least = (h & ~bits) | (np.arange(len(h), dtype=np.uint64) & bits)
+        step = 1
+        while step * 2 <= span:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        if span > step:
+            least = np.minimum(least[: -(span - step)], least[span - step :])
+        start = np.arange(len(least))
+        place = start + (((least & bits).astype(np.int64) - start) & int(bits))
+        a, b = np.searchsorted(ends, lo, side="right"), np.searchsorted(ends, lo + len(part), side="left") + 1
+        text = np.repeat(np.arange(a, min(b, len(ends))), np.diff(np.r_[lo, np.minimum(ends[a:b], lo + len(part))]))
+        place = np.unique(place[text[: len(place)] == text[length - 1 : length - 1 + len(place)]])
+        places.append(place + lo)
+        hashes.append(h[place])
+    place, first = np.unique(np.concatenate(places), return_index=True)  # neighbouring chunks share places
+    return place, np.concatenate(hashes)[first]
 
 
 def _batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
