@@ -28,7 +28,7 @@ SHARD_BYTES = 8 << 20
 MIN_SHARDS = 48
 #: Text bytes whose grams or contexts are sent together, and window starts that are hashed at a time.
 BATCH_BYTES = 16 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 NO_DOC = np.iinfo(np.int64).max
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -52,40 +52,45 @@ def _unpack(body: bytes, *types: str) -> list[np.ndarray]:
 def _gram_hashes(buffer: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes at each place."""
     n = len(buffer) - GRAM + 1
-    buffer = np.ascontiguousarray(buffer)
-    words = np.ndarray((len(buffer) - 7,), dtype="<u8", buffer=buffer, strides=(1,))
+    words = np.ndarray((len(buffer) - 7,), dtype="<u8", buffer=np.ascontiguousarray(buffer), strides=(1,))
     h = words[:n] * _M1
-    h ^= h >> np.uint64(29)
+    more = h >> np.uint64(29)
+    h ^= more
     h ^= words[8 : 8 + n]
     h *= _M2
-    h ^= h >> np.uint64(32)
-    h *= _M1
-    return h ^ (h >> np.uint64(29))
+    np.right_shift(h, np.uint64(32), out=more)
+    h ^= more
+    return h
+
+
+def _sliding(reduce: np.ufunc, values: np.ndarray, span: int) -> np.ndarray:
+    step = 1
+    while step * 2 <= span:
+        values = reduce(values[:-step], values[step:])
+        step *= 2
+    return reduce(values[: -(span - step)], values[span - step :]) if span > step else values
 
 
 def anchors(buffer: np.ndarray, lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(places, gram hashes) of the anchors of all windows that lie within one of the texts joined in buffer."""
-    if len(buffer) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    """(places, gram hashes) of the anchors of all windows that lie within one of the texts joined in buffer.
+
+    Where grams of one window tie in 32 bits of their hashes, all are anchors, so the choice rests on content alone.
+    """
     span = length - GRAM + 1
-    bits = np.uint64((1 << (span - 1).bit_length()) - 1)
     ends = np.cumsum(lengths)
-    places, hashes = [], []
+    places, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for lo in range(0, len(buffer) - length + 1, CHUNK):  # windows that start in a chunk; its bytes reach over its end
         part = buffer[lo : lo + CHUNK + length - 1]
         h = _gram_hashes(part)
-        least = (h & ~bits) | (np.arange(len(h), dtype=np.uint64) & bits)
-        step = 1
-        while step * 2 <= span:
-            least = np.minimum(least[:-step], least[step:])
-            step *= 2
-        if span > step:
-            least = np.minimum(least[: -(span - step)], least[span - step :])
-        start = np.arange(len(least))
-        place = start + (((least & bits).astype(np.int64) - start) & int(bits))
-        a, b = np.searchsorted(ends, lo, side="right"), np.searchsorted(ends, lo + len(part), side="left") + 1
-        text = np.repeat(np.arange(a, min(b, len(ends))), np.diff(np.r_[lo, np.minimum(ends[a:b], lo + len(part))]))
-        place = np.unique(place[text[: len(place)] == text[length - 1 : length - 1 + len(place)]])
+        short = (h >> np.uint64(32)).astype(np.uint32)
+        least = _sliding(np.minimum, short, span)
+        # Windows that reach over a text's end have no anchor; 0 is below all others and so never the greatest of the least.
+        a, b = np.searchsorted(ends, lo, side="right"), np.searchsorted(ends, lo + len(part), side="left")
+        for end in (ends[a:b] - lo).tolist():
+            least[max(0, end - length + 1) : end] = 0
+        padded = np.zeros(len(least) + 2 * (span - 1), dtype=np.uint32)
+        padded[span - 1 : span - 1 + len(least)] = least
+        place = np.flatnonzero((_sliding(np.maximum, padded, span) == short) & (short != 0))
         places.append(place + lo)
         hashes.append(h[place])
     place, first = np.unique(np.concatenate(places), return_index=True)  # neighbouring chunks share places
@@ -114,20 +119,48 @@ def _sorted_group(pdf: pd.DataFrame) -> tuple[np.ndarray, list[str], list[bytes]
     return pdf["doc"].to_numpy(), pdf["digest"].tolist(), [t.encode("utf-8", "replace") for t in pdf["text"]]
 
 
-def repeated_starts(docs: np.ndarray, contexts: np.ndarray, sizes: np.ndarray, length: int = LENGTH, scratch: str | None = None, budget: int = BUDGET) -> np.ndarray:
-    """For each context, a bit for each start of a window that also starts in the context of a smaller document.
-
-    contexts: one row of bytes each, of which sizes[k] count. Equal contexts are sorted once, for their least document; the
-    others of the group repeat all their windows. Runs of suffixes that share `length` bytes then hold equal windows.
-    """
-    m, width = contexts.shape
-    words = np.zeros((m, -(-(width + 1) // 8) * 8), dtype=np.uint8)
-    words[:, :width] = contexts
-    words[:, -1] = sizes
+def _row_keys(rows: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(padded rows, 64-bit hash of each row of bytes)."""
+    m, width = rows.shape
+    words = np.zeros((m, -(-(width + len(more)) // 8) * 8), dtype=np.uint8)
+    words[:, :width] = rows
+    for k, column in enumerate(more):
+        words[:, width + k] = column
     keys = np.zeros(m, dtype=np.uint64)
     for column in words.view("<u8").T:
         keys = (keys ^ column) * _M1
         keys ^= keys >> np.uint64(31)
+    return words, keys
+
+
+def _with_kin(contexts: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """Which contexts, all different, may share a window with another: by the bytes that each half of the windows must hold.
+
+    A window starts at most half of length - GRAM bytes before its anchor, and holds `right` bytes from there on; or it
+    starts further before and holds the anchor's gram and `left` bytes before it.
+    """
+    left = (length - GRAM) // 2
+    right = length - left + 1
+    out = np.zeros(len(contexts), dtype=bool)
+    wide = np.concatenate([contexts, np.zeros((len(contexts), length), np.uint8)], axis=1)
+    for back, span, ok in ((left, left + GRAM, offsets >= left), (0, right, sizes - offsets >= right)):
+        at = np.flatnonzero(ok)
+        _, keys = _row_keys(wide[at[:, None], (offsets[at] - back)[:, None] + np.arange(span)])
+        order = np.argsort(keys)
+        same = np.r_[False, keys[order][1:] == keys[order][:-1]]
+        out[at[order[same | np.r_[same[1:], False]]]] = True
+    return out
+
+
+def repeated_starts(docs: np.ndarray, contexts: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, length: int = LENGTH, scratch: str | None = None, budget: int = BUDGET) -> np.ndarray:
+    """For each context, a bit for each start of a window that also starts in the context of a smaller document.
+
+    contexts: one row of bytes each, of which sizes[k] count, with the anchor at offsets[k]. Equal contexts stand for their
+    least document; the others of the group repeat all their windows. Those left that may share a window with another
+    are suffix-sorted: runs of suffixes that share `length` bytes hold equal windows.
+    """
+    m, width = contexts.shape
+    words, keys = _row_keys(contexts, sizes)
     order = np.lexsort((docs, keys))
     first = np.r_[True, keys[order][1:] != keys[order][:-1]]
     head = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
@@ -139,6 +172,9 @@ def repeated_starts(docs: np.ndarray, contexts: np.ndarray, sizes: np.ndarray, l
     out[order[later]] = every[order[later]]
 
     heads = order[first]
+    every_head = heads
+    kin = np.flatnonzero(_with_kin(contexts[heads], sizes[heads], offsets[heads], length))
+    heads = heads[kin]
     column = np.arange(width + 1)
     text = np.zeros((len(heads), width + 1), dtype=np.uint16)
     text[:, :width] = contexts[heads]
@@ -156,6 +192,9 @@ def repeated_starts(docs: np.ndarray, contexts: np.ndarray, sizes: np.ndarray, l
         least = np.repeat(np.minimum.reduceat(docs[heads[row]], begins), np.diff(np.r_[begins, len(row)]))
         hit = docs[heads[row]] > least
         np.bitwise_or.at(mask, row[hit], np.uint64(1) << start[hit].astype(np.uint64))
+    whole_mask = np.zeros(len(every_head), dtype=np.uint64)
+    whole_mask[kin] = mask
+    heads, mask = every_head, whole_mask
     of = np.empty(m, dtype=np.int64)
     of[order] = np.searchsorted(np.flatnonzero(first), np.arange(m), side="right") - 1
     same = np.empty(m, dtype=bool)
@@ -262,12 +301,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
             context = padded[left[:, None] + column]
             context[column >= size[:, None]] = 0
             # A context that a text holds more than once is sent once; the removal finds its other places.
-            mixed = np.zeros((len(context), -(-width // 8) * 8), np.uint8)
-            mixed[:, :width] = context
-            code = np.zeros(len(context), np.uint64)
-            for part in mixed.view("<u8").T:
-                code = (code ^ part) * _M1
-                code ^= code >> np.uint64(31)
+            _, code = _row_keys(context)
             order = np.lexsort((left, code, owner, shard))
             same = np.r_[False, (code[order][1:] == code[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (shard[order][1:] == shard[order][:-1])]
             same[1:] &= (context[order][1:] == context[order][:-1]).all(axis=1)
@@ -278,16 +312,16 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
                 if b > a:
                     p = pick[a:b]
                     own = owner[p]
-                    out.append((s, int(texts["q"].iloc[0]), _pack(doc[lo + own], (lo + own).astype(np.uint32), left[p] - begin[p], size[p].astype(np.uint8), many[a:b].astype(np.uint8), np.ascontiguousarray(context[p]))))
+                    out.append((s, int(texts["q"].iloc[0]), _pack(doc[lo + own], (lo + own).astype(np.uint32), left[p] - begin[p], size[p].astype(np.uint8), (place[p] - left[p]).astype(np.uint8), many[a:b].astype(np.uint8), np.ascontiguousarray(context[p]))))
         return pd.DataFrame(out, columns=columns)
 
-    kinds = ("i8", "u4", "i8", "u1", "u1", "u1")
+    kinds = ("i8", "u4", "i8", "u1", "u1", "u1", "u1")
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(b, *kinds) for b in pdf["body"]]
         group = np.repeat(pdf["q"].to_numpy(), [len(p[0]) for p in parts])
-        doc, number, left, size, many, context = (np.concatenate([p[k] for p in parts]) for k in range(6))
-        mask = repeated_starts(doc, context.reshape(-1, width), size.astype(np.int64), length, None, budget)
+        doc, number, left, size, offset, many, context = (np.concatenate([p[k] for p in parts]) for k in range(7))
+        mask = repeated_starts(doc, context.reshape(-1, width), size.astype(np.int64), offset.astype(np.int64), length, None, budget)
         hit = np.flatnonzero(mask)
         hit = hit[np.argsort(group[hit], kind="stable")]
         to = group[hit]
