@@ -44,6 +44,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def held(value: Column) -> Column:
+    """The value, tied to the row's number so that no filter on it is pushed below the projection that makes it.
+
+    There it would be worked out again for every element of the arrays that the value is made from.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def literal_strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquetry.llm.common import literal_strings
+from marquetry.llm.common import held, literal_strings
 
 #: Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -123,11 +123,11 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
     score = F.greatest(F.when(n_base > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.lit(0.0), *met)
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.size("_l_words").cast("long").alias("n_words"),
-        n_base.cast("long").alias("n_base"),
+        held(F.size("_l_words").cast("long")).alias("n_words"),
+        held(n_base.cast("long")).alias("n_base"),
         F.array_min(at).cast("long").alias("first_word"),
         F.array_max(at).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"),
-        score.alias("score"),
+        held(score).alias("score"),
     )

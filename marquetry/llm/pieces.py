@@ -17,7 +17,7 @@ from marquetry.llm.suffixes import _ranks, _refined
 SPACE = "▁"
 #: Characters of text per batch, whose distinct words are segmented once, and bytes of words that are indexed together.
 BATCH_CHARS = 32 << 20
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 1 << 19
 #: Words of more symbols are merged one at a time by a heap, not in rounds over all words.
 LONG = 192
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -45,6 +45,14 @@ def load_pieces(path: str, unigram: bool = False) -> Pieces:
     return Pieces(tuple(sp.id_to_piece(i) for i in range(n)), tuple(sp.get_score(i) for i in range(n)), "".join(kind(i) for i in range(n)), sp.unk_id(), unigram)
 
 
+class _Numbered(dict):
+    """Numbers its keys in order of first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class Codec:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -280,19 +288,19 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of all texts; none for null and empty texts."""
-        words: list[str] = []
+        index = _Numbered()
+        words: list[np.ndarray] = []
         counts = np.zeros(len(texts), dtype=np.int64)
         for k, text in enumerate(texts):
             if text:
                 marked = (SPACE if self.pieces.dummy_prefix else "") + text.replace(" ", SPACE)
                 found = _UNITS.findall(marked) if self.by_word else [marked]
                 counts[k] = len(found)
-                words += found
+                words.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
         if not words:
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        index = {w: k for k, w in enumerate(dict.fromkeys(words))}
         ids, bounds = self.segment(list(index))
-        which = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        which = np.concatenate(words)
         size = np.diff(bounds)[which]
         ends = np.cumsum(size)
         out = ids[np.repeat(bounds[which] - (ends - size), size) + np.arange(ends[-1])]

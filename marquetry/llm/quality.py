@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquetry.llm.common import words
+from marquetry.llm.common import held, words
 
 #: Frequent function words of English, French, Spanish and German.
 STOP_WORDS = (
@@ -76,9 +76,9 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     repeated = F.aggregate(covers, F.lit(0), lambda a, b: a + b)
     stop = _stop_list()
     spaces = F.length(text) - F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
-    out = out.select(
+    return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        long(F.col("_q_n")).alias("n_words"),
+        held(long(F.col("_q_n"))).alias("n_words"),
         long(F.length(text) - spaces).alias("word_chars"),
         long(F.regexp_count(text, F.lit(r"[#*$%&|<>]"))).alias("n_symbols"),
         long(F.regexp_count(text, F.lit("!"))).alias("n_marks"),
@@ -86,9 +86,8 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         long(F.size("_q_lines")).alias("n_lines"),
         long(F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).alias("n_dup_lines"),
         long(F.size(F.filter("_q_lines", lambda x: x.rlike(r"^\s*[-*•]")))).alias("n_bullet_lines"),
-        long(F.coalesce(F.when(F.col("_q_again"), repeated), F.lit(0))).alias("n_repeat_words"),
+        held(long(F.coalesce(F.when(F.col("_q_again"), repeated), F.lit(0)))).alias("n_repeat_words"),
     )
-    return out
 
 
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> list[tuple[str, Column]]:

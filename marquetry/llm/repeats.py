@@ -216,8 +216,8 @@ def _kept(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, int
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, shard_bytes: int = SHARD_BYTES, budget: int = BUDGET) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts in a document of smaller key.
 
-    One row per row of docs: key_col, n_bytes, n_removed, n_spans, kept_sha256, and kept_text (the remaining bytes as text,
-    broken characters left out) if keep_text. Strings are judged on the input; null texts count as empty and texts
+    One row per row of docs: key_col, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text also kept_text (the
+    remaining bytes as text, broken characters left out) and digest (MD5 of the text). Strings are judged on the input; null texts count as empty and texts
     shorter than `length` lose nothing. A null key counts as larger than all others; rows of equal key are not smaller
     than each other, so a repeated row keeps its text unless a smaller key holds it.
 
@@ -380,5 +380,5 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
         F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
         F.when(whole, F.lit(empty)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        *([F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if keep_text else []),
+        *([F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"), "digest"] if keep_text else []),
     )
