@@ -43,7 +43,7 @@ class PatternRule:
 HOST_RULES = (
     HostRule("block", "com", "/en/"),
     HostRule("allow", "example.com", "/en/7"),
-    HostRule("block", "net", "/de/"),
+    HostRule("allow", "net", "/de/"),
     HostRule("block", "example.net", "/de/8"),
     HostRule("block", "org", "/es/"),
 )
