@@ -108,8 +108,8 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
         out = out.withColumn(f"_l_at{k}", F.when(F.col("_l_hint"), starts(phrase)).otherwise(none))
     # Blocks with a rare template word, reduced to their template words in global order.
     lines = F.transform(F.split("_l_text", "\n"), lambda x: F.split(x, GAP))
-    held = F.filter(lines, lambda b: (F.size(b) >= min(need, default=1)) & F.arrays_overlap(b, literal_strings(every_prefix)))
-    out = out.withColumn("_l_blocks", F.transform(held, lambda b: F.array_intersect(literal_strings(order), b)))
+    near = F.filter(lines, lambda b: (F.size(b) >= min(need, default=1)) & F.arrays_overlap(b, literal_strings(every_prefix)))
+    out = out.withColumn("_l_blocks", F.transform(near, lambda b: F.array_intersect(literal_strings(order), b)))
     best = []
     for (label, t), n, p in zip(sets, need, prefixes, strict=True):
         overlap = F.when(F.size("_l_blocks") > 0, F.array_max(F.transform("_l_blocks", _overlap(t, n, p))))
