@@ -21,6 +21,8 @@ LEVEL_BITS = 12
 TARGET_RECALL = 0.9999
 #: Texts that are compared in one task, and how many candidates may be broadcast (about 40 bytes each).
 BLOCK = 512
+#: Stands for a null key on the way through Python.
+NO_DOC = int(np.iinfo(np.int64).min)
 MAX_BROADCAST_ROWS = 200_000
 
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -152,7 +154,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(key_col).cast("long").alias("doc"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
-    signed = materialize(rows.mapInPandas(sign, "doc long, digest binary, n int, prefixes array<bigint>"), "signed")
+    # Nulls would turn a batch's keys into floating point numbers.
+    whole = rows.withColumn("doc", F.coalesce("doc", F.lit(NO_DOC)))
+    signed = whole.mapInPandas(sign, "doc long, digest binary, n int, prefixes array<bigint>")
+    signed = materialize(signed.withColumn("doc", F.nullif("doc", F.lit(NO_DOC))), "signed")
     nodes = signed.where("n > 0").groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 

@@ -29,7 +29,8 @@ MIN_SHARDS = 48
 #: Text bytes whose grams or contexts are sent together, and window starts that are hashed at a time.
 BATCH_BYTES = 16 << 20
 CHUNK = 1 << 18
-NO_DOC = np.iinfo(np.int64).max
+#: Stands for a null key inside: larger than any other.
+NO_DOC = int(np.iinfo(np.int64).max)
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -114,8 +115,7 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _sorted_group(pdf: pd.DataFrame) -> tuple[np.ndarray, list[str], list[bytes]]:
     """Distinct (document, digest) rows of a text group in order: both stages that read the group number them alike."""
-    doc = pdf["doc"].fillna(NO_DOC).astype("int64") if pdf["doc"].isna().any() else pdf["doc"].astype("int64")
-    pdf = pdf.assign(doc=doc).drop_duplicates(["doc", "digest"]).sort_values(["doc", "digest"])
+    pdf = pdf.drop_duplicates(["doc", "digest"]).sort_values(["doc", "digest"])
     return pdf["doc"].to_numpy(), pdf["digest"].tolist(), [t.encode("utf-8", "replace") for t in pdf["text"]]
 
 
@@ -229,7 +229,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
     before = length - GRAM
     width = before + length
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(key_col).cast("long").alias("doc"), F.md5(text).alias("digest"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col(key_col).cast("long"), F.lit(NO_DOC)).alias("doc"), F.md5(text).alias("digest"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(MIN_SHARDS, int(total // shard_bytes))
     q = F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(shards)).cast("int")
@@ -342,7 +342,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
         out = []
         for k, text in enumerate(every):
             a, b = bounds[k], bounds[k + 1]
-            row = [None if doc[k] == NO_DOC else int(doc[k]), digest[k], len(text)]
+            row = [int(doc[k]), digest[k], len(text)]
             if a == b:
                 out.append([*row, 0, 0, hashlib.sha256(text).hexdigest()] + [text.decode()] * keep_text)
                 continue
@@ -359,7 +359,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
             removed, spans = _kept(text, np.unique(np.concatenate(starts)), length)
             kept = np.frombuffer(text, np.uint8)[~removed].tobytes()
             out.append([*row, int(removed.sum()), spans, hashlib.sha256(kept).hexdigest()] + [kept.decode("utf-8", "ignore")] * keep_text)
-        return pd.DataFrame(out, columns=[f.split()[0] for f in made.split(", ")]).astype({"doc": "Int64"})
+        return pd.DataFrame(out, columns=[f.split()[0] for f in made.split(", ")])
 
     grams = dealt.mapInPandas(send_grams, "s int, body binary")
     shared = grams.groupBy("s").applyInPandas(find_shared, "q int, s int, body binary")
@@ -371,11 +371,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
 
     keys = materialize(rows.select("doc", "digest"), "keys")
     least = keys.groupBy("digest").agg(F.min("doc").alias("least"))
-    whole = (F.col("least") < F.coalesce("doc", F.lit(NO_DOC))) & (F.col("n_bytes") >= length)
-    final = keys.join(cut, (keys["doc"].eqNullSafe(cut["doc"])) & (keys["digest"] == cut["digest"])).drop(cut["doc"], cut["digest"]).join(least, "digest")
+    whole = (F.col("least") < F.col("doc")) & (F.col("n_bytes") >= length)
+    final = keys.join(cut, ["doc", "digest"]).join(least, "digest")
     empty = hashlib.sha256(b"").hexdigest()
     return final.select(
-        F.col("doc").alias(key_col),
+        F.nullif("doc", F.lit(NO_DOC)).alias(key_col),
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),

@@ -59,10 +59,10 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, key_col: str = "doc_id",
 
     @F.pandas_udf("int")
     def range_of(keys: pd.Series) -> pd.Series:
-        found = np.searchsorted(cuts, keys.fillna(0).to_numpy(dtype=np.int64), side="right") + 1
-        return pd.Series(np.where(keys.isna(), 0, found).astype(np.int32))
+        return pd.Series((np.searchsorted(cuts, keys.to_numpy(dtype=np.int64), side="right") + 1).astype(np.int32))
 
-    ranged = sized.withColumn("_s_range", range_of("_s_key"))
+    # Range 0 holds null keys, which never reach Python: they would turn a batch into floating point numbers.
+    ranged = sized.withColumn("_s_range", F.when(F.col("_s_key").isNull(), F.lit(0)).otherwise(range_of(F.coalesce("_s_key", F.lit(0).cast("long")))))
     share = max(n // (len(cuts) + 1), 64)
     counts = ranged.groupBy("_s_range").agg(F.count("*").alias("n"), F.min("_s_key").alias("lo"), F.max("_s_key").alias("hi"))
     sub = F.lit(0)
