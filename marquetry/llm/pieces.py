@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from marquetry.llm.suffixes import _ranks, _refined
 
 SPACE = "▁"
-#: Characters of text per batch, whose distinct words are segmented once, and bytes of words that are indexed together.
-BATCH_CHARS = 32 << 20
-INDEX_BYTES = 1 << 19
+#: Characters of text per batch, bytes of new words that are indexed together, and words whose ids are remembered.
+BATCH_CHARS = 2 << 20
+INDEX_BYTES = 1 << 17
+KNOWN_WORDS = 500_000
 #: Words of more symbols are merged one at a time by a heap, not in rounds over all words.
 LONG = 192
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -46,10 +47,15 @@ def load_pieces(path: str, unigram: bool = False) -> Pieces:
 
 
 class _Numbered(dict):
-    """Numbers its keys in order of first use."""
+    """Numbers its keys in order of first use and lists those that are new."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
 
     def __missing__(self, key: str) -> int:
         self[key] = number = len(self)
+        self.fresh.append(key)
         return number
 
 
@@ -75,6 +81,13 @@ class Codec:
         self.low, self.high = at(b"\x00"), at(b"\xff")
         self.unknown_score = float(self.scores[self.piece_ids].min(initial=0.0)) - 10.0
 
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with no known words; `flat` holds the ids of known ones, from `begin`, `size` of them each."""
+        self.index = _Numbered()
+        self.flat, self.begin, self.size = (np.empty(0, np.int32) for _ in range(3))
+
     # -- matching
 
     def edges(self, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,11 +130,12 @@ class Codec:
                     kept = a
             lo[deep] = kept
         count = np.maximum(hi - lo, 0)
-        piece = np.repeat(np.arange(len(lo)), count)
-        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        start = array[lo[piece] + inside]
-        order = np.argsort(start * np.int64(self.longest + 1) + self.lengths[piece])
-        return start[order], self.lengths[piece][order], self.piece_ids[piece][order]
+        wide = np.int32 if n * (self.longest + 1) < 1 << 31 else np.int64
+        piece = np.repeat(np.arange(len(lo), dtype=np.int32), count)
+        inside = np.arange(len(piece), dtype=wide) + np.repeat((lo - (np.cumsum(count) - count)).astype(wide), count)
+        start, length = array.astype(wide)[inside], self.lengths[piece]
+        order = np.argsort(start * wide(self.longest + 1) + length)
+        return start[order], length[order], self.piece_ids[piece[order]]
 
     def segment(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): the ids of all units one after the other, and where each unit's begin."""
@@ -165,23 +179,17 @@ class Codec:
         A round relaxes one edge in every unit that still has one.
         """
         e_start, e_length, e_id = matched
-        pointer = np.searchsorted(e_start, np.arange(len(buffer) + 1))
+        width = self.longest + 1
+        table = np.full(len(buffer) * width, -1, dtype=np.int32)
+        table[e_start * width + e_length] = e_id
         at = np.flatnonzero(((buffer & 0xC0) != 0x80) & (buffer != 0xFF))
         unit = np.searchsorted(end, at, side="right")
         stop = np.minimum(np.r_[at[1:], len(buffer)], end[unit])
 
         def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             """The id of the edge from a to b, or -1."""
-            out = np.full(len(a), -1, dtype=np.int32)
-            k, last = pointer[a], pointer[a + 1]
-            left = np.arange(len(a))
-            while len(left):
-                left = left[k[left] < last[left]]
-                hit = e_length[k[left]] == (b - a)[left]
-                out[left[hit]] = e_id[k[left[hit]]]
-                left = left[~hit]
-                k[left] += 1
-            return out
+            size = b - a
+            return np.where(size < width, table[a * width + np.minimum(size, width - 1)], -1)
 
         ids = joined(at, stop)
         symbols = np.bincount(unit, minlength=len(begin))
@@ -286,25 +294,36 @@ class Codec:
 
     # -- texts
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds) of all texts; none for null and empty texts."""
-        index = _Numbered()
-        words: list[np.ndarray] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                marked = (SPACE if self.pieces.dummy_prefix else "") + text.replace(" ", SPACE)
-                found = _UNITS.findall(marked) if self.by_word else [marked]
-                counts[k] = len(found)
-                words.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
-        if not words:
-            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        ids, bounds = self.segment(list(index))
-        which = np.concatenate(words)
-        size = np.diff(bounds)[which]
-        ends = np.cumsum(size)
-        out = ids[np.repeat(bounds[which] - (ends - size), size) + np.arange(ends[-1])]
-        return out, np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; none for null and empty texts."""
+        if len(self.index) > KNOWN_WORDS:
+            self._forget()
+        index = self.index
+        words: list[np.ndarray | None] = []
+        for text in texts:
+            if not text:
+                words.append(None)
+                continue
+            marked = (SPACE if self.pieces.dummy_prefix else "") + text.replace(" ", SPACE)
+            found = _UNITS.findall(marked) if self.by_word else [marked]
+            words.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
+        empty = np.empty(0, np.int32)
+        if index.fresh:
+            more, bounds = self.segment(index.fresh)
+            index.fresh = []
+            self.begin = np.concatenate([self.begin, (bounds[:-1] + len(self.flat)).astype(np.int32)])
+            self.size = np.concatenate([self.size, np.diff(bounds).astype(np.int32)])
+            self.flat = np.concatenate([self.flat, more])
+        ids, begin, size = self.flat, self.begin, self.size
+        out = []
+        for own in words:
+            if own is None:
+                out.append(empty)
+                continue
+            n = size[own]
+            ends = np.cumsum(n, dtype=np.int32)
+            out.append(ids[np.repeat(begin[own] - (ends - n), n) + np.arange(ends[-1], dtype=np.int32)])
+        return out
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """Text of ids: runs of byte pieces as UTF-8 (broken ones as U+FFFD), marks as spaces, the dummy prefix taken off."""
@@ -326,20 +345,20 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", check: bool
         codec = Codec(pieces)
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch]
-            rows: list[np.ndarray] = []
             at = 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and size < BATCH_CHARS:
                     size += len(texts[end] or "")
                     end += 1
-                ids, bounds = codec.encode(texts[at:end])
-                rows += np.split(ids, bounds[1:-1])
+                rows = codec.encode(texts[at:end])
+                out = {"ids": rows}
+                if check:
+                    out["round_trip"] = [codec.decode(r.tolist()) == (t or "").replace(SPACE, " ") for r, t in zip(rows, texts[at:end], strict=True)]
+                yield pd.DataFrame(out)
                 at = end
-            out = {"ids": rows}
-            if check:
-                out["round_trip"] = [codec.decode(r.tolist()) == (t or "").replace(SPACE, " ") for r, t in zip(rows, texts, strict=True)]
-            yield pd.DataFrame(out)
+            if not texts:
+                yield pd.DataFrame({"ids": [], "round_trip": []} if check else {"ids": []})
 
     return docs.withColumn("_e", encoded(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], "_e.*")
 
