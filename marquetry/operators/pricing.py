@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquetry.operators.prefix import running_sums
+
 
 def size_costs(cost: float | Sequence[float], sizes: Sequence[int]) -> list[float]:
     """Total cost per size: a number is the cost of one item, a list must give a total for each size."""
@@ -84,8 +86,13 @@ def separate_selling(panel: DataFrame, cost: float = 0.0) -> DataFrame:
 
 def pure_bundling(panel: DataFrame, cost: float = 0.0) -> DataFrame:
     """One row: the best price of the bundle of all items at total cost `cost`."""
-    sums = panel.groupBy("user_id").agg(F.sum("v").alias("w")).withColumn("_all", F.lit(1))
-    return price_scan(sums, ["_all"], "w", cost).drop("_all")
+    sums = panel.groupBy("user_id").agg(F.sum("v").alias("w"))
+    levels = running_sums(sums.groupBy(F.col("w").alias("price")).agg(F.count("*").alias("_n")), F.desc("price"), {"buyers": "_n"})
+    users = levels.agg(F.sum("_n")).first()[0] or 1
+    levels = levels.withColumn("profit", (F.col("price") - F.lit(float(cost))) * F.col("buyers") / F.lit(users))
+    best = levels.agg(F.max_by(F.struct("price", "buyers", "profit"), F.struct("profit", -F.col("price"))).alias("_b"))
+    sold = F.col("_b.profit") > 0
+    return best.select(F.when(sold, F.col("_b.price")).alias("price"), F.when(sold, F.col("_b.buyers")).otherwise(F.lit(0)).alias("buyers"), F.when(sold, F.col("_b.profit")).otherwise(F.lit(0.0)).alias("profit"))
 
 
 def bundle_thresholds(panel: DataFrame, prices: DataFrame, bundle: DataFrame, item_cost: float = 0.0) -> DataFrame:
@@ -108,10 +115,9 @@ def fixed_bundle_scan(thresholds: DataFrame, bundle_cost: float = 0.0, users: in
     """
     rounded = thresholds.withColumn("price", F.round("w", digits))
     levels = rounded.groupBy("price").agg(F.count("*").alias("_n"), F.sum("displaced").alias("_d"))
-    above = Window.orderBy(F.desc("price")).rowsBetween(Window.unboundedPreceding, 0)  # one bundle's distinct thresholds
-    levels = levels.withColumn("buyers", F.sum("_n").over(above)).withColumn("_lost", F.sum("_d").over(above))
-    total = F.lit(users) if users else F.sum("_n").over(Window.partitionBy())
-    levels = levels.withColumn("gain", F.round((F.col("buyers") * (F.col("price") - F.lit(float(bundle_cost))) - F.col("_lost")) / total, digits))
+    levels = running_sums(levels, F.desc("price"), {"buyers": "_n", "_lost": "_d"})
+    total = users or levels.agg(F.sum("_n")).first()[0] or 1
+    levels = levels.withColumn("gain", F.round((F.col("buyers") * (F.col("price") - F.lit(float(bundle_cost))) - F.col("_lost")) / F.lit(total), digits))
     best = levels.agg(F.max_by(F.struct("price", "buyers", "gain"), F.struct("gain", -F.col("price"))).alias("_b"))
     sold = F.col("_b.gain") > 0
     return best.select(F.when(sold, F.col("_b.price")).alias("price"), F.when(sold, F.col("_b.buyers")).otherwise(F.lit(0)).alias("buyers"), F.when(sold, F.col("_b.gain")).otherwise(F.lit(0.0)).alias("gain"))

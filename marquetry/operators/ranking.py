@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marquetry.functions.contracts import assert_contract, is_finite
 from marquetry.functions.scalars import expected_ndcg, expected_rank, expected_recall
+from marquetry.operators.prefix import running_sums
 
 KS = (10, 20)
 MAX_CATALOGUE_BYTES = 256 << 20
@@ -49,8 +50,7 @@ def item_score_ties(item_scores: DataFrame, targets: DataFrame, excluded: DataFr
     row per distinct score, with counts above; each user then subtracts what it excludes. The work follows edges.
     """
     levels = item_scores.groupBy("score").agg(F.count("*").alias("_at"))
-    above = F.sum("_at").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))  # distinct scores only
-    levels = levels.withColumn("_above", F.coalesce(above, F.lit(0)))
+    levels = running_sums(levels, F.desc("score"), {"_above": "_at"}, before=True)
     scored = item_scores.select("item_id", "score")
     own = targets.join(scored.withColumnRenamed("item_id", "target_item_id"), "target_item_id").join(levels, "score")
     lost = excluded.select("user_id", "item_id").join(scored, "item_id").withColumnRenamed("score", "_lost").select("user_id", "_lost")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquetry.functions.scalars import clip_rate, logistic, logit, normal_cdf, probit
+from marquetry.operators.prefix import running_sums
 
 
 def gram(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[np.ndarray, np.ndarray, float, float, int]:
@@ -60,11 +61,10 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], robust: bool = True) -> dict:
 
 
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Average ranks of a column, ties shared. Levels are counted first; the cumulative window runs over distinct values."""
+    """Average ranks of a column, ties shared. Levels are counted first and summed up by ranges."""
     levels = df.groupBy(column).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.withColumn(name, F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2.0).drop("_n")
-    return df.join(levels, column)
+    levels = running_sums(levels, F.col(column).asc(), {"_below": "_n"}, before=True)
+    return df.join(levels.withColumn(name, F.col("_below") + (F.col("_n") + 1) / 2.0).drop("_n", "_below"), column)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
