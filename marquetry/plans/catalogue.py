@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquetry.functions import hashing, scalars
-from marquetry.operators import bundles, evaluation, features, interactions, models, pricing, ranking, splits, statistics
+from marquetry.operators import bundles, composition, evaluation, features, interactions, models, pricing, ranking, splits, statistics, sweeps
 from marquetry.plans import evaluate, tables
 from marquetry.plans.evaluate import rounded
 from marquetry.plans.tables import BUNDLES_SQL, EDGES_SQL, NESTED_SQL, OUTER_SQL, PANEL_SQL, RAW_SQL, hash_sql, id_sql
@@ -574,6 +574,37 @@ def menu_search(spark, d):
     return rounded(pricing.menu_search(tables.panel(spark, d), menus, tables.SIZES, tables.UNIT_COST), 6)
 
 
+_POOL = ("click", "error", "purchase", "signup", "view")
+_COMPOSITIONS_SQL = "comps(composition, item_id) as (values " + ", ".join(f"({k}, '{i}')" for k, c in enumerate(composition.enumerate_compositions(_POOL, 3)) for i in c) + ")"
+
+
+@query(
+    f"with {_SCAN_SQL}, {_COMPOSITIONS_SQL}, cp as (select item_id, case when profit > 0 then price end as price from best), t as (select composition, user_id, round(sum(case when cp.price is null then v else least(v, cp.price) end), 9) as w, sum(case when v >= cp.price then cp.price - 10 else 0 end) as a, count(*) as k from panel p join cp on cp.item_id = p.item_id join comps c on c.item_id = p.item_id group by 1, 2), "
+    "l as (select composition, w, count(*) as n, sum(a) as a, max(k) as k from t group by 1, 2), c as (select composition, w, sum(n) over (partition by composition order by w desc) as buyers, sum(a) over (partition by composition order by w desc) as lost, max(k) over (partition by composition) as size from l), "
+    "g as (select composition, w as price, buyers, round((buyers * (w - size * 10) - lost) / n, 9) as gain from c cross join n), b as (select * from g qualify row_number() over (partition by composition order by gain desc, price) = 1) "
+    "select composition::int as composition, case when gain > 0 then round(price, 6) end as price, (case when gain > 0 then buyers else 0 end)::bigint as buyers, round(greatest(gain, 0), 6) as gain from b"
+)
+def bundle_compositions(spark, d):
+    """The best bundle price of every set of two or three event types, beside component prices."""
+    panel = tables.panel(spark, d)
+    return rounded(composition.scan_compositions(panel, pricing.component_prices(panel, tables.UNIT_COST), composition.enumerate_compositions(_POOL, 3), tables.UNIT_COST), 6)
+
+
+@query(
+    f"with {PANEL_SQL}, k(scale, shift) as (values (1.0::double, 0.0::double), (2.0::double, 0.0::double), (1.0::double, -40.0::double)), n as (select count(distinct user_id) as n from panel), x as (select scale, shift, item_id, greatest(shift + scale * v, 0) as v, (shift + scale * v < 0)::int as low from panel cross join k), f as (select scale, shift, avg(low) as floored from x group by 1, 2), "
+    "s as (select scale, shift, item_id, v * count(*) over (partition by scale, shift, item_id order by v desc) / n as profit from x cross join n), b as (select scale, shift, item_id, max(profit) as profit from s group by 1, 2, 3) select f.scale, f.shift, round(floored, 6) as floored, round(sum(profit), 5) as separate from f join b on b.scale = f.scale and b.shift = f.shift group by 1, 2, 3"
+)
+def knob_sweep(spark, d):
+    """Separate-selling profit and floored share under rescaled and shifted values."""
+    out = sweeps.knob_sweep(tables.panel(spark, d).withColumnRenamed("v", "score"), 0.0, 1.0, [(1.0, 0.0), (2.0, 0.0), (1.0, -40.0)])
+    return out.select("scale", "shift", F.round("floored", 6).alias("floored"), F.round("separate", 5).alias("separate"))
+
+
+@query(f"with {BUNDLES_SQL}, {EDGES_SQL}, s as (select item_id, count(*)::double as score from edges group by 1) select bundle_id, round(avg(score), 6) as mean_score from bundle_items join s using (item_id) group by 1")
+def bundle_scores(spark, d):
+    return rounded(sweeps.bundle_scores(models.popularity(tables.edges(spark, d)), tables.bundle_items(spark, d)), 6)
+
+
 # ---- statistics
 
 _PRICED_SQL = EDGES_SQL + ", pop as (select item_id, count(*) as owners, avg(playtime_forever) as mean_score from edges group by 1), nu as (select count(distinct user_id) as n from edges), priced as (select item_id, mean_score, p_retailprice as price, owners / n::double as obs_rate, owners from pop join part on p_partkey = item_id cross join nu)"
