@@ -23,15 +23,16 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while True:
         both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Minima are written before they are joined: a join right on top of its aggregate's partitioning cannot be split.
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", "m")).distinct()
+        lower = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(lower.select("u", "m")).distinct()
         done, edges_before, edges = state, edges, materialize(small, "edges")
         state = _state(edges)
-        discard(edges_before)
-        discard(large)
+        for used in (edges_before, large, least, lower):
+            discard(used)
         if state == done:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())

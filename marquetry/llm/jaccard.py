@@ -163,6 +163,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
 
     held = nodes.select("node", F.posexplode("prefixes").alias("tree", "prefix")).select("node", F.xxhash64("tree", "prefix").alias("bucket"))
     hubs = held.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
+    hubs = materialize(hubs, "hubs")  # so that a bucket with many nodes can be split in the join
     stars = held.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     roots = materialize(components(stars), "candidates")
     n_candidates = roots.count()

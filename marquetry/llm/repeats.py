@@ -370,7 +370,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
     cut = materialize(cut, "cut")
 
     keys = materialize(rows.select("doc", "digest"), "keys")
-    least = keys.groupBy("digest").agg(F.min("doc").alias("least"))
+    least = materialize(keys.groupBy("digest").agg(F.min("doc").alias("least")), "least")  # a large group of copies can then be split in the join
     whole = (F.col("least") < F.col("doc")) & (F.col("n_bytes") >= length)
     final = keys.join(cut, ["doc", "digest"]).join(least, "digest")
     empty = hashlib.sha256(b"").hexdigest()
