@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: What separates words for the quality rules and the packing lengths.
 SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:

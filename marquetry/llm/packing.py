@@ -5,10 +5,11 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquetry.llm.common import materialize, words
+from marquetry.llm.common import WORD, materialize
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Cost of a sequence besides one per token of capacity: what each sequence costs whatever its length.
@@ -107,7 +108,7 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, length: Colu
     """
     names = ("piece", "start", "length", "bin_id", "bin_capacity", "bin_offset")
     top = max(capacities)
-    tokens = length if length is not None else F.size(words(F.col(text_col)))
+    tokens = length if length is not None else F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(WORD))
     keep = [c for c in docs.columns if c not in names and (c != text_col or c == key_col)]
     pieces = materialize(docs.select(*[F.col(f"`{c}`") for c in keep], tokens.cast("long").alias("_p_n")), "lengths")
     last = F.greatest(F.ceil(F.col("_p_n") / top) - 1, F.lit(0)).cast("long")
@@ -126,7 +127,10 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, length: Colu
     ranked = ranked.withColumn("_p_block", F.expr(f"_p_rank div {BLOCK}"))
 
     rows = [(r.length, b, r.rank, r.rank + r.count, r.per_bin, r.bin, r.offset, r.capacity) for r in runs for b in range(r.rank // BLOCK, (r.rank + r.count - 1) // BLOCK + 1)]
-    places = docs.sparkSession.createDataFrame(rows, "length long, _p_block long, _p_from long, _p_to long, _p_each long, _p_bin long, _p_offset long, bin_capacity int")
+    names = ("length", "_p_block", "_p_from", "_p_to", "_p_each", "_p_bin", "_p_offset", "bin_capacity")
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    plan = pa.table({n: pa.array(c, pa.int32() if n == "bin_capacity" else pa.int64()) for n, c in zip(names, columns, strict=True)})
+    places = docs.sparkSession.createDataFrame(plan)  # by Arrow, so that no task runs Python
     if len(rows) <= MAX_BROADCAST_RUNS:
         places = F.broadcast(places)
     inside = (ranked["length"] == places["length"]) & (ranked["_p_block"] == places["_p_block"]) & (F.col("_p_rank") >= F.col("_p_from")) & (F.col("_p_rank") < F.col("_p_to"))
