@@ -145,4 +145,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filters": url_sql(),
         "op8_license_scans": license_sql(),
         "op9_suffix_dedup": repeats_sql(),
+        "op10_sharding": sharding_sql(),
     }
