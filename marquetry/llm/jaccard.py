@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquetry.llm.common import materialize
+from marquetry.llm.common import discard, materialize
 from marquetry.llm.components import components
 
 SHINGLE = 5
@@ -138,7 +138,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     length of the keys is shortened until pairs at the threshold meet with target_recall in one of the trees. Nodes of
     one prefix are linked to the least of them (a star, never all pairs), and the components of these stars are what
     is compared: all pairs within, exactly, by blocks of BLOCK texts, so a large component becomes many tasks. A task
-    returns counts and a star for each block pair, not pairs. Nothing is capped.
+    returns counts and a star for each block pair, not pairs. Nothing is capped. The result is written to the shared folder and
+    what led to it deleted there.
     """
     spark = docs.sparkSession
     depth = forest_depth(threshold, trees, max_depth, target_recall)
@@ -169,7 +170,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     n_candidates = roots.count()
 
     # Deal components out: small ones share a group, a large one becomes all pairs of its blocks.
-    blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = materialize(roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     groups = max(1, n_candidates // BLOCK)
     dealt = roots.join(blocks, "root").join(nodes.select("node", "digest", "least", "copies"), "node")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
@@ -206,7 +207,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
         whole = components(merged.select(F.col("node").alias("u"), F.col("root").alias("v"))).withColumnRenamed("root", "whole")
         links = links.join(whole, "node", "left").withColumn("root", F.when(F.col("large"), F.coalesce("whole", "node")).otherwise(F.col("root"))).drop("whole")
     placed = nodes.select("node", "digest", "least", "copies").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("class_id"))
+    placed = materialize(placed, "placed")
+    ids = materialize(placed.groupBy("root").agg(F.min("least").alias("class_id")), "ids")
     placed = placed.join(ids, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("doc", "digest").join(placed, "digest", "left")
-    return out.select(F.col("doc").alias(key_col), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = out.select(F.col("doc").alias(key_col), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = materialize(out, "links")
+    for used in (signed, nodes, hubs, roots, blocks, dealt, checked, placed, ids):
+        discard(used)
+    return out
