@@ -12,7 +12,7 @@ from marquetry.llm.common import held, literal_strings
 
 #: Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Notices whose words a block (line) must contain to the threshold.
+#: Notices whose words a block (a line, or a stretch of words across lines) must contain to the threshold.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
@@ -61,14 +61,28 @@ def _overlap(template: list[str], need: int, prefix: list[str]) -> Callable[[Col
     return of
 
 
+def _stretches(template: list[str], need: int, prefix: list[str], span: int) -> Callable[[Column], Column]:
+    """Most words that `span` consecutive words of a block share with the template, null where the block cannot reach `need`."""
+    words = literal_strings(template)
+
+    def of(b: Column) -> Column:
+        ok = F.arrays_overlap(b, literal_strings(prefix)) & (F.size(F.array_intersect(words, b)) >= need)
+        return F.when(ok, F.array_max(F.transform(F.sequence(F.lit(1), F.size(b)), lambda at: F.size(F.array_intersect(words, F.slice(b, at, F.lit(span)))))))
+
+    return of
+
+
 def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """Find license phrases and blocks that contain a template; adds n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    A block is a line. It meets a template if it holds at least ceil(threshold * |T|) of the template's distinct
-    words T. The join is exact. Words are ordered by their count in all texts, rarest first; a block is looked at if
+    A block is a line, or a stretch of consecutive words of the text, whatever lines they stand in: for a template of n
+    words every stretch of ceil(n / threshold) words, so that a wrapped notice is met. It meets a template if it holds
+    at least ceil(threshold * |T|) of the template's distinct words T. The join is exact. Words are ordered by their count in all texts, rarest first; a block is looked at if
     it shares a word with a template's prefix (the |T| - need + 1 rarest words), holds `need` template words (length
     filter), and the first shared word leaves enough words on both sides to reach `need` (positional filter); then
-    the overlap is counted. The template side is a fixed list, so it stands as literals in one projection and neither
+    the overlap is counted. Stretches are looked for in texts of several lines only (a line holds its own), in blocks
+    of twice the longest stretch that start one such stretch apart: every stretch lies whole in one of them. A text is cut into
+    them if it holds enough words of a template at all. The template side is a fixed list, so it stands as literals in one projection and neither
     texts nor blocks are shuffled: a hot line or source has no effect on the plan.
 
     score: the largest containment of any template in any block, 1.0 if a base phrase occurs, else 0.0.
@@ -110,10 +124,20 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
     lines = F.transform(F.split("_l_text", "\n"), lambda x: F.split(x, GAP))
     near = F.filter(lines, lambda b: (F.size(b) >= min(need, default=1)) & F.arrays_overlap(b, literal_strings(every_prefix)))
     out = out.withColumn("_l_blocks", F.transform(near, lambda b: F.array_intersect(literal_strings(order), b)))
+    # Stretches across lines, in texts that hold enough words of some template.
+    spans = [math.ceil(len(t.split()) / threshold - 1e-9) for _, t in templates]
+    step = max(spans, default=1)
+    out = out.withColumn("_l_held", F.when(F.contains("_l_text", F.lit("\n")), F.array_intersect(literal_strings(order), "_l_words")))
+    enough = F.lit(False)
+    for (_, t), n in zip(sets, need, strict=True):
+        enough = enough | (F.size(F.array_intersect(literal_strings(t), "_l_held")) >= n)
+    cut = F.transform(F.sequence(F.lit(1), F.size("_l_words"), F.lit(step)), lambda at: F.slice("_l_words", at, F.lit(2 * step)))
+    out = out.withColumn("_l_cut", F.when(F.col("_l_held").isNotNull() & enough, F.filter(cut, lambda b: F.arrays_overlap(b, literal_strings(every_prefix)))))
     best = []
-    for (label, t), n, p in zip(sets, need, prefixes, strict=True):
+    for (label, t), n, p, span in zip(sets, need, prefixes, spans, strict=True):
         overlap = F.when(F.size("_l_blocks") > 0, F.array_max(F.transform("_l_blocks", _overlap(t, n, p))))
-        best.append((label, n, len(t), overlap))
+        across = F.when(F.size("_l_cut") > 0, F.array_max(F.transform("_l_cut", _stretches(t, n, p, span))))
+        best.append((label, n, len(t), F.greatest(overlap, across)))
     out = out.withColumns({f"_l_o{k}": o for k, (_, _, _, o) in enumerate(best)})
     n_base = sum((F.size(f"_l_at{k}") for k in range(len(PHRASES))), F.lit(0))
     base = F.array_compact(F.array(*[F.when(F.size(f"_l_at{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]))

@@ -124,6 +124,38 @@ def test_license_templates_are_found(spark):
         assert label in got[k]["labels"].split(",")
 
 
+def wrapped(words, width, mark):
+    """Words filled into lines as license headers are, each line behind a comment mark."""
+    lines, line = [], []
+    for w in words:
+        if line and len(" ".join([*line, w])) > width:
+            lines.append(line)
+            line = []
+        line.append(w)
+    return "\n".join(mark + " ".join(x) for x in [*lines, line])
+
+
+def test_license_templates_are_found_across_lines(spark):
+    rng = random.Random(3)
+    prose = lambda n: [rng.choice(["tree", "river", "stone", "cloud"]) for _ in range(n)]
+    rows, want = [], []
+    for label, template in licenses.TEMPLATES:
+        for width, mark in ((72, "# "), (48, " * "), (20, "// "), (1, "")):
+            for before in (0, 17, 60):  # notices at every place to the cuts
+                body = wrapped(template.title().split(), width, mark)
+                rows.append((len(rows), wrapped(prose(before), 40, mark) + "\n" + body + "\n" + wrapped(prose(50), 40, mark)))
+                want.append(label)
+    # The words of a notice scattered over many lines are none.
+    scattered = [w for t in licenses.TEMPLATES[2][1].split() for w in [t, *prose(9)]]
+    rows.append((len(rows), wrapped(scattered, 40, "")))
+    got = {r["doc_id"]: r for r in collected(licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert len(got) == len(rows)
+    for k, label in enumerate(want):
+        assert label in got[k]["labels"].split(","), rows[k]
+        assert got[k]["score"] == 1.0
+    assert (got[len(want)]["labels"], got[len(want)]["score"]) == ("", 0.0)
+
+
 def test_sharding(docs, rows, none):
     got = collected(sharding.shard_by_bytes(docs, 4))
     assert len(got) == len(rows)
