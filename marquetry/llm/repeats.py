@@ -10,6 +10,9 @@ one shard. Grams of one text only are found first, by hashes alone, and send no
 from __future__ import annotations
 
 import hashlib
+import itertools
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,10 @@ MIN_SHARDS = 48
 #: Text bytes whose grams or contexts are sent together, and window starts that are hashed at a time.
 BATCH_BYTES = 16 << 20
 CHUNK = 1 << 18
+#: Contexts of a shard that are judged in memory at once (about 2.3 kB for each different one while they are sorted);
+#: more are dealt to files, FAN at a time, and judged in parts of a quarter of that.
+PART_ROWS = 3 << 16
+FAN = 32
 #: Stands for a null key inside: larger than any other.
 NO_DOC = int(np.iinfo(np.int64).max)
 
@@ -145,6 +152,8 @@ def _with_kin(contexts: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, leng
     wide = np.concatenate([contexts, np.zeros((len(contexts), length), np.uint8)], axis=1)
     for back, span, ok in ((left, left + GRAM, offsets >= left), (0, right, sizes - offsets >= right)):
         at = np.flatnonzero(ok)
+        if not len(at):
+            continue
         _, keys = _row_keys(wide[at[:, None], (offsets[at] - back)[:, None] + np.arange(span)])
         order = np.argsort(keys)
         same = np.r_[False, keys[order][1:] == keys[order][:-1]]
@@ -204,6 +213,138 @@ def repeated_starts(docs: np.ndarray, contexts: np.ndarray, sizes: np.ndarray, o
     return out
 
 
+def _context_type(width: int) -> np.dtype:
+    return np.dtype([("doc", "i8"), ("left", "i8"), ("number", "u4"), ("group", "i4"), ("size", "u1"), ("offset", "u1"), ("many", "u1"), ("context", "u1", (width,))])
+
+
+class _Judge:
+    """repeated_starts over a stream of contexts, of which at most `limit` and a chunk are in memory at a time.
+
+    What exceeds the limit is dealt to files by the bytes that all windows of a range share: those that start lo to hi
+    bytes before the anchor hold its `core`, from lo bytes before the anchor to length - hi after its start. The first
+    range is all windows, with the gram as core. Equal windows meet in one file, as they stand alike to their anchors. A
+    file that is still too large goes by another hash; if one core fills it, equal contexts collapse to their least
+    document and the range is halved, until the core is the window itself and one pass of minima settles it.
+    """
+
+    def __init__(self, length: int, folder: str, budget: int, limit: int, fan: int = FAN):
+        self.length, self.folder, self.budget, self.limit, self.fan = length, folder, budget, limit, fan
+        self.type = _context_type(2 * length - GRAM)
+        self.chunk = max(1, min(1 << 15, limit))
+        self.files, self.most = 0, 0
+
+    def rows(self, chunks: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(contexts, a bit for each window that a smaller document holds); a context may come more than once."""
+        held, n = [], 0
+        for part in chunks:
+            held.append(part)
+            n += len(part)
+            if n > self.limit:
+                self.limit = max(1, self.limit // 4)
+                yield from self._dealt(itertools.chain(held, chunks), 0, self.length - GRAM)
+                return
+        if n:
+            yield self._sorted(np.concatenate(held))
+
+    def _sorted(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.most = max(self.most, len(rows))
+        size, offset = rows["size"].astype(np.int64), rows["offset"].astype(np.int64)
+        return rows, repeated_starts(rows["doc"], np.ascontiguousarray(rows["context"]), size, offset, self.length, self.folder, self.budget)
+
+    def _path(self) -> str:
+        self.files += 1
+        return os.path.join(self.folder, f"contexts-{self.files}")
+
+    def _read(self, path: str) -> Iterator[np.ndarray]:
+        with open(path, "rb") as file:
+            while len(rows := np.fromfile(file, self.type, self.chunk)):
+                yield rows
+
+    def _cores(self, rows: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """(padded cores, hashes) of rows that all hold a core of the range."""
+        span = self.length - hi + lo
+        first = rows["offset"].astype(np.int64) - lo
+        return _row_keys(np.take_along_axis(rows["context"], first[:, None] + np.arange(span), axis=1))
+
+    def _dealt(self, chunks: Iterator[np.ndarray], lo: int, hi: int, salt: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        paths, counts = [self._path() for _ in range(self.fan)], np.zeros(self.fan, dtype=np.int64)
+        files = [open(p, "wb") for p in paths]
+        try:
+            for rows in chunks:
+                offset = rows["offset"].astype(np.int64)
+                rows = rows[(offset >= lo) & (rows["size"] - offset >= self.length - hi)]  # others have no window of the range
+                key = (self._cores(rows, lo, hi)[1] ^ np.uint64(salt * int(_M2) & (1 << 64) - 1)) * _M1
+                to = ((key >> np.uint64(40)) % np.uint64(self.fan)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                cuts = np.searchsorted(to[order], np.arange(self.fan + 1))
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    rows[order[cuts[k] : cuts[k + 1]]].tofile(files[k])
+                counts += np.diff(cuts)
+        finally:
+            for file in files:
+                file.close()
+        total = int(counts.sum())
+        for path, n in zip(paths, counts.tolist(), strict=True):
+            if 0 < n <= self.limit:
+                yield self._sorted(np.fromfile(path, self.type))
+            elif n > self.limit and 4 * n < 3 * total:
+                yield from self._dealt(self._read(path), lo, hi, salt + 1)
+            elif n > self.limit:
+                rest = self._path()
+                yield from self._least(path, rest, lo if lo == hi else None)
+                left = os.path.getsize(rest) // self.type.itemsize
+                if 0 < left <= self.limit:
+                    yield self._sorted(np.fromfile(rest, self.type))
+                elif left:
+                    middle = (lo + hi) // 2
+                    for a, b in [(lo, hi)] if lo == hi else [(lo, middle), (middle + 1, hi)]:
+                        yield from self._dealt(self._read(rest), a, b, salt + 1)
+                os.unlink(rest)
+            os.unlink(path)
+
+    def _least(self, path: str, rest: str, back: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Settle by minima the rows of larger documents whose context, or window `back` before the anchor, is in a table.
+
+        The table takes the first `limit` different ones. What it does not settle goes to the file rest: rows beside
+        the table, and for contexts also those of the least document.
+        """
+
+        def keyed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return _row_keys(rows["context"], rows["size"]) if back is None else self._cores(rows, back, back)
+
+        keys = np.empty(0, np.uint64)
+        body, least = None, np.empty(0, np.int64)
+
+        def found(words: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return at, (keys[at] == key) & (body[at] == words).all(axis=1)
+
+        for rows in self._read(path):
+            words, key = keyed(rows)
+            if len(keys) < self.limit:
+                fresh, first = np.unique(key, return_index=True)
+                first = first[~np.isin(fresh, keys)][: self.limit - len(keys)]
+                every = np.concatenate([keys, key[first]])
+                order = np.argsort(every)
+                keys = every[order]
+                body = (words[first] if body is None else np.concatenate([body, words[first]]))[order]
+                least = np.concatenate([least, np.full(len(first), NO_DOC)])[order]
+            at, same = found(words, key)
+            np.minimum.at(least, at[same], rows["doc"][same])
+        with open(rest, "wb") as out:
+            for rows in self._read(path):
+                at, same = found(*keyed(rows))
+                later = same & (rows["doc"] > least[at])
+                rows[~later if back is None else ~same].tofile(out)
+                if back is None:
+                    windows = np.maximum(rows["size"][later].astype(np.int64) - self.length + 1, 0).astype(np.uint64)
+                    mask = (np.uint64(1) << windows) - np.uint64(1)
+                else:
+                    mask = np.uint64(1) << (rows["offset"][later].astype(np.uint64) - np.uint64(back))
+                if later.any():
+                    yield rows[later], mask
+
+
 def _kept(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, int]:
     """(mask of removed bytes, number of removed runs)."""
     edge = np.zeros(len(text) + 1, dtype=np.int32)
@@ -213,7 +354,7 @@ def _kept(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, int
     return removed, int(removed[:1].sum() + (removed[1:] & ~removed[:-1]).sum())
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, shard_bytes: int = SHARD_BYTES, budget: int = BUDGET) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, shard_bytes: int = SHARD_BYTES, budget: int = BUDGET, part_rows: int = PART_ROWS) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts in a document of smaller key.
 
     One row per row of docs: key_col, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text also kept_text (the
@@ -223,7 +364,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
 
     Copies of a whole text are settled by digest. The hot path ships hashes of grams first, then contexts of grams that two
     different texts hold, compressed in blocks; texts are dealt once, by key, and that exchange serves both the cutting of
-    contexts and the removal. `length` must lie between GRAM + 1 and 63 + GRAM.
+    contexts and the removal. A shard of more than part_rows contexts is dealt to files on disk and judged in parts. `length` must lie between GRAM + 1 and 63 + GRAM.
     """
     spark = docs.sparkSession
     before = length - GRAM
@@ -317,17 +458,25 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
 
     kinds = ("i8", "u4", "i8", "u1", "u1", "u1", "u1")
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(b, *kinds) for b in pdf["body"]]
-        group = np.repeat(pdf["q"].to_numpy(), [len(p[0]) for p in parts])
-        doc, number, left, size, offset, many, context = (np.concatenate([p[k] for p in parts]) for k in range(7))
-        mask = repeated_starts(doc, context.reshape(-1, width), size.astype(np.int64), offset.astype(np.int64), length, None, budget)
-        hit = np.flatnonzero(mask)
-        hit = hit[np.argsort(group[hit], kind="stable")]
-        to = group[hit]
-        starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
-        out = [(int(to[a]), _pack(number[hit[a:b]], left[hit[a:b]], size[hit[a:b]], many[hit[a:b]], mask[hit[a:b]])) for a, b in zip(starts, [*starts[1:], len(to)], strict=True)] if len(to) else []
-        return pd.DataFrame(out, columns=["q", "body"])
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for q, body in zip(batch["q"], batch["body"], strict=True):
+                doc, number, left, size, offset, many, context = _unpack(body, *kinds)
+                rows = np.empty(len(doc), dtype=_context_type(width))
+                rows["doc"], rows["number"], rows["left"], rows["size"], rows["offset"], rows["many"] = doc, number, left, size, offset, many
+                rows["group"], rows["context"] = q, context.reshape(-1, width)
+                yield rows
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with tempfile.TemporaryDirectory() as folder:
+            for rows, mask in _Judge(length, folder, budget, part_rows).rows(unpacked(batches)):
+                hit = np.flatnonzero(mask)
+                hit = hit[np.argsort(rows["group"][hit], kind="stable")]
+                rows, mask = rows[hit], mask[hit]
+                to = rows["group"]
+                starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
+                out = [(int(to[a]), _pack(*(rows[c][a:b] for c in ("number", "left", "size", "many")), mask[a:b])) for a, b in zip(starts, [*starts[1:], len(to)], strict=True)] if len(to) else []
+                yield pd.DataFrame(out, columns=["q", "body"])
 
     made = "doc long, digest string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
 

@@ -326,6 +326,41 @@ def test_suffix_dedup_overlaps_and_periods(spark, monkeypatch):
     assert collections.Counter(tuple(r[k] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("limit", [3, 20, 100])
+def test_contexts_of_one_gram_are_judged_in_bounded_parts(limit, tmp_path):
+    rng = np.random.default_rng(limit)
+    length, width = repeats.LENGTH, 2 * repeats.LENGTH - repeats.GRAM
+    before = length - repeats.GRAM
+    base = rng.integers(0, 256, width).astype(np.uint8)
+    rows = np.zeros(1200, dtype=repeats._context_type(width))
+    for k in range(len(rows)):
+        row = base.copy()
+        a, b = rng.integers(0, before + 1), rng.integers(before + repeats.GRAM, width + 1)  # what stays of the passage
+        if k % 3:
+            row[:a], row[b:] = rng.integers(0, 3, a), rng.integers(0, 3, width - b)
+        cut = int(rng.integers(0, 20)) if k % 5 == 0 else 0
+        size = width - cut - (int(rng.integers(0, 20)) if k % 7 == 0 else 0)
+        rows[k]["context"][:size] = row[cut : cut + size]
+        rows[k]["size"], rows[k]["offset"], rows[k]["doc"], rows[k]["number"] = size, before - cut, rng.integers(0, 900), k
+    least = {}
+    strings = [[bytes(r["context"][i : i + length]) for i in range(int(r["size"]) - length + 1)] for r in rows]
+    for r, found in zip(rows, strings, strict=True):
+        for w in found:
+            least[w] = min(least.get(w, 1 << 60), int(r["doc"]))
+    want = {k: sum(1 << i for i, w in enumerate(found) if least[w] < rows[k]["doc"]) for k, found in enumerate(strings)}
+    judge, got = repeats._Judge(length, str(tmp_path), 1 << 20, limit, 4), dict.fromkeys(range(len(rows)), 0)
+    for part, mask in judge.rows(iter(np.split(rows, 60))):
+        for k, m in zip(part["number"].tolist(), mask.tolist(), strict=True):
+            got[k] |= m
+    assert got == want
+    assert judge.most <= limit and list(tmp_path.iterdir()) == []
+
+
+def test_suffix_dedup_in_parts(docs, rows):
+    got = collected(repeats.suffix_dedup(docs, part_rows=5))
+    assert collections.Counter(tuple(r[k] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == brute_repeats(rows)
+
+
 def test_secret_spans(docs, rows, none):
     got = collected(secrets.secret_scan(docs))
     assert len(got) == len(rows)
