@@ -90,7 +90,7 @@ def anchors(buffer: np.ndarray, lengths: np.ndarray, length: int = LENGTH) -> tu
     for lo in range(0, len(buffer) - length + 1, CHUNK):  # windows that start in a chunk; its bytes reach over its end
         part = buffer[lo : lo + CHUNK + length - 1]
         h = _gram_hashes(part)
-        short = (h >> np.uint64(32)).astype(np.uint32)
+        short = np.maximum((h >> np.uint64(32)).astype(np.uint32), np.uint32(1))  # 0 marks windows without an anchor
         least = _sliding(np.minimum, short, span)
         # Windows that reach over a text's end have no anchor; 0 is below all others and so never the greatest of the least.
         a, b = np.searchsorted(ends, lo, side="right"), np.searchsorted(ends, lo + len(part), side="left")
@@ -98,7 +98,7 @@ def anchors(buffer: np.ndarray, lengths: np.ndarray, length: int = LENGTH) -> tu
             least[max(0, end - length + 1) : end] = 0
         padded = np.zeros(len(least) + 2 * (span - 1), dtype=np.uint32)
         padded[span - 1 : span - 1 + len(least)] = least
-        place = np.flatnonzero((_sliding(np.maximum, padded, span) == short) & (short != 0))
+        place = np.flatnonzero(_sliding(np.maximum, padded, span) == short)
         places.append(place + lo)
         hashes.append(h[place])
     place, first = np.unique(np.concatenate(places), return_index=True)  # neighbouring chunks share places

@@ -326,7 +326,14 @@ def test_suffix_dedup_overlaps_and_periods(spark, monkeypatch):
     assert collections.Counter(tuple(r[k] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == brute_repeats(rows)
 
 
-@pytest.mark.parametrize("limit", [3, 20, 100])
+def test_anchors_of_zero_bytes():
+    buffer = np.frombuffer(b"abcdefgh" * 8 + b"\0" * 60 + b"ijklmnop" * 8, np.uint8)
+    place, _ = repeats.anchors(buffer, np.array([len(buffer)]))
+    span = repeats.LENGTH - repeats.GRAM + 1
+    assert all(((place >= i) & (place < i + span)).any() for i in range(len(buffer) - repeats.LENGTH + 1))
+
+
+@pytest.mark.parametrize("limit", [400])
 def test_contexts_of_one_gram_are_judged_in_bounded_parts(limit, tmp_path):
     rng = np.random.default_rng(limit)
     length, width = repeats.LENGTH, 2 * repeats.LENGTH - repeats.GRAM
@@ -357,7 +364,7 @@ def test_contexts_of_one_gram_are_judged_in_bounded_parts(limit, tmp_path):
 
 
 def test_suffix_dedup_in_parts(docs, rows):
-    got = collected(repeats.suffix_dedup(docs, part_rows=5))
+    got = collected(repeats.suffix_dedup(docs, part_rows=20))
     assert collections.Counter(tuple(r[k] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == brute_repeats(rows)
 
 
