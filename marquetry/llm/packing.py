@@ -13,17 +13,55 @@ from marquetry.llm.common import WORD, materialize
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Cost of a sequence besides one per token of capacity: what each sequence costs whatever its length.
-OVERHEAD = 16
+OVERHEAD = 0
 BUCKETS = 1024
 #: Ranks are joined to their bins by blocks of so many; the plan is broadcast up to so many rows, else shuffled.
 BLOCK = 1 << 20
 MAX_BROADCAST_RUNS = 200_000
 
 
-def opening_size(length: int, capacities: tuple[int, ...], overhead: float = OVERHEAD) -> int:
-    """The capacity that holds `length` at least cost per token when filled with runs of that length; ties to the larger."""
-    fit = [c for c in capacities if c >= length]
-    return min(fit, key=lambda c: ((c + overhead) / ((c // length) * length), -c))
+class Supply:
+    """Items by length that are not yet promised to an open bin, and what the next bin would be filled with."""
+
+    def __init__(self, histogram: dict[int, int]):
+        self.free = {n: c for n, c in histogram.items() if n > 0 and c > 0}
+        self.lengths = sorted(self.free)
+
+    def set(self, length: int, count: int) -> None:
+        known = self.free.get(length, 0) > 0
+        self.free[length] = count
+        if count > 0 and not known:
+            insort(self.lengths, length)
+        elif count <= 0 and known:
+            self.lengths.pop(bisect_left(self.lengths, length))
+
+    def filling(self, length: int, capacity: int) -> dict[int, int]:
+        """What a bin of the capacity that opens for an item of `length` would hold: again and again the longest that fits."""
+        room, found = capacity, {}
+        k = bisect_right(self.lengths, min(length, room)) - 1
+        while k >= 0:
+            n = self.lengths[k]
+            found[n] = min(self.free[n], room // n)
+            room -= found[n] * n
+            k = bisect_right(self.lengths, room, 0, k) - 1
+        return found
+
+    def opening(self, length: int, capacities: tuple[int, ...], overhead: float) -> tuple[int, dict[int, int]]:
+        """The capacity of least cost per token it would hold, downsized to that, and its filling; ties to the smaller one."""
+        best = None
+        for capacity in capacities:
+            if capacity < length:
+                continue
+            held = self.filling(length, capacity)
+            used = sum(n * k for n, k in held.items())
+            cost = (next(c for c in capacities if c >= used) + overhead) / used
+            if best is None or cost < best[0]:
+                best = cost, capacity, held
+        return best[1:]
+
+    def promise(self, held: dict[int, int], times: int) -> None:
+        for n, k in held.items():
+            self.set(n, self.free[n] - k * times)
 
 
 @dataclass
@@ -39,18 +77,22 @@ class Run:
     capacity: int = 0
 
 
-def plan_bins(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, overhead: float = OVERHEAD) -> list[Run]:
-    """Best-fit decreasing over a histogram of lengths, each run of bins with its final capacity.
+def plan_bins(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, overhead: float = OVERHEAD, opened: list[tuple[int, int]] | None = None) -> list[Run]:
+    """Best-fit decreasing over a histogram of lengths with bins of several capacities, each run of bins with its final capacity.
 
-    The same result as placing the items one by one, longest first, each into the open bin with the least room
-    that holds it (ties to the bin opened first), opening a bin of `opening_size` where none does, and at last giving
-    each bin the smallest capacity that holds its contents. Bins of one history are kept as one group, so the work
-    follows the number of different lengths, which the largest capacity bounds, not the number of items.
+    Items go longest first, each into the open bin with the least room that holds it (ties to the bin opened first).
+    Where none does, a bin is opened. Its capacity is chosen among all permitted ones by what the items still to come
+    would fill it with: the least (capacity + overhead) per token held, after downsizing. That filling is promised to the bin, so
+    later openings reckon with the rest only; as many bins open at once as there are items for. At last each bin gets
+    the smallest capacity that holds its contents. Bins of one history are kept as one group, so the work follows the
+    number of different lengths, which the largest capacity bounds, not the number of items. opened, if given, receives
+    (bins, capacity) of each opening.
     """
     capacities = tuple(sorted(capacities))
     runs: list[Run] = []
     open_bins: list[tuple[int, int, int, int]] = []  # (room, first bin, bins, used), sorted
     next_bin = 0
+    supply = Supply(histogram)
     for length in sorted((n for n in histogram if n > 0), reverse=True):
         left, rank = histogram[length], 0
         while left:
@@ -58,9 +100,14 @@ def plan_bins(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIE
             if k < len(open_bins):
                 room, first, bins, used = open_bins.pop(k)
             else:
-                room = opening_size(length, capacities, overhead)
-                first, bins, used = next_bin, -(-left // (room // length)), 0
+                supply.set(length, left)  # some may be promised to bins that others filled
+                room, held = supply.opening(length, capacities, overhead)
+                bins = max(1, min(left // held[length], *(supply.free[n] // c for n, c in held.items())))
+                supply.promise(held, bins)
+                first, used = next_bin, 0
                 next_bin += bins
+                if opened is not None:
+                    opened.append((bins, room))
             each = room // length
             full = min(bins, left // each)
             if full:
@@ -74,6 +121,7 @@ def plan_bins(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIE
                 rest, left, full = rest - 1, 0, full + 1
             if rest:
                 insort(open_bins, (room, first + full, rest, used))
+        supply.set(length, 0)
     sizes: list[tuple[int, int, int]] = []  # (first bin, end, final capacity), neighbours of one capacity merged
     for first, bins, used in sorted((first, bins, used) for _, first, bins, used in open_bins):
         size = next(c for c in capacities if c >= used)
@@ -98,7 +146,8 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, length: Colu
     """Pack each text's tokens into sequences of the permitted capacities; one row per piece.
 
     `length` counts a text's tokens (words between white space unless given). Texts longer than the largest capacity
-    are cut into pieces of that capacity and a remainder, so every token has a place. Adds piece (from 0), start and
+    are cut into pieces of that capacity and a remainder, so every token has a place. An empty table gives an empty
+    result; columns of docs that bear the new names are replaced. Adds piece (from 0), start and
     length in tokens, bin_id, bin_capacity (after downsizing) and bin_offset; text_col is dropped. Null and empty texts
     have one piece of length 0 that takes no room: null bin_id, bin_capacity and bin_offset. Pieces of equal length are
     placed by bucket of their key's hash, then key and piece (null first); rows equal in both still get places of their own.

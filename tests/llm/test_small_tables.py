@@ -183,40 +183,99 @@ def test_sharding_splits_a_hot_key(spark):
     assert (got.sort_values(["shard", "slot"]).groupby("shard")["slot"].apply(list).map(lambda s: s == list(range(len(s))))).all()
 
 
-def one_by_one(histogram, capacities):
-    bins = []
-    for length in sorted(histogram, reverse=True):
-        for _ in range(histogram[length]):
-            fit = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= length]
-            if fit:
-                b = bins[min(fit)[1]]
-            else:
-                b = {"room": packing.opening_size(length, capacities), "items": []}
-                bins.append(b)
-            b["room"] -= length
-            b["items"].append(length)
-    return collections.Counter((min(c for c in capacities if c >= sum(b["items"])), tuple(b["items"])) for b in bins)
+def contents(histogram, capacities, opened=None, **more):
+    """Bins of a plan as (final capacity, lengths in order); every item has one place and the places of a bin adjoin."""
+    bins, seen = collections.defaultdict(list), collections.Counter()
+    for r in packing.plan_bins(histogram, capacities, opened=opened, **more):
+        for n in range(r.count):
+            bins[r.bin + n // r.per_bin].append((r.offset + n % r.per_bin * r.length, r.length, r.capacity))
+        seen[r.length] += r.count
+    assert dict(seen) == histogram
+    out = []
+    for own in bins.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:], strict=False))
+        used = own[-1][0] + own[-1][1]
+        assert {c for *_, c in own} == {min(c for c in capacities if c >= used)}
+        out.append((own[0][2], tuple(n for _, n, _ in own)))
+    return out
 
 
-def test_packing_plan_equals_one_by_one():
+def test_packing_places_each_item_in_the_fullest_bin_that_holds_it():
     rng = random.Random(3)
     for _ in range(60):
         capacities = tuple(sorted(rng.sample(range(4, 60), 3)))
         histogram = {rng.randint(1, capacities[-1]): rng.randint(1, 9) for _ in range(rng.randint(1, 12))}
-        bins = collections.defaultdict(list)
-        seen = collections.Counter()
-        for r in packing.plan_bins(histogram, capacities):
-            for n in range(r.count):
-                bins[r.bin + n // r.per_bin].append((r.offset + n % r.per_bin * r.length, r.length, r.capacity))
-            seen[r.length] += r.count
-        assert dict(seen) == histogram
-        made = collections.Counter()
-        for own in bins.values():
-            own.sort()
-            assert all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:], strict=False)) and own[0][0] == 0
-            assert len({c for *_, c in own}) == 1
-            made[(own[0][2], tuple(n for _, n, _ in own))] += 1
-        assert made == one_by_one(histogram, capacities)
+        opened = []
+        made = contents(histogram, capacities, opened)
+        turns = iter([c for bins, c in opened for _ in range(bins)])
+        bins = []  # bins that open together stand ready before the next opening
+        groups = iter(opened)
+        for length in sorted(histogram, reverse=True):
+            for _ in range(histogram[length]):
+                fit = [(b[0], k) for k, b in enumerate(bins) if b[0] >= length]
+                if not fit:
+                    count, _ = next(groups)
+                    bins += [[next(turns), []] for _ in range(count)]
+                    fit = [(b[0], k) for k, b in enumerate(bins) if b[0] >= length]
+                b = bins[min(fit)[1]]
+                b[0] -= length
+                b[1].append(length)
+        assert collections.Counter(tuple(b[1]) for b in bins) == collections.Counter(items for _, items in made)
+
+
+def least_capacity(items, capacities):
+    """The least total capacity of any packing, over all subsets."""
+    n = len(items)
+    best = [0] + [10**9] * ((1 << n) - 1)
+    total = [sum(items[k] for k in range(n) if m >> k & 1) for m in range(1 << n)]
+    price = [min((c for c in capacities if c >= t), default=None) for t in total]
+    for mask in range(1, 1 << n):
+        low, sub = mask & -mask, mask
+        while sub:
+            if sub & low and price[sub] is not None:
+                best[mask] = min(best[mask], best[mask ^ sub] + price[sub])
+            sub = (sub - 1) & mask
+    return best[-1]
+
+
+def test_packing_is_near_the_optimum():
+    rng, ours, optimum = random.Random(17), 0, 0
+    for _ in range(80):
+        capacities = tuple(sorted(rng.sample(range(6, 40), rng.randint(1, 3))))
+        items = [rng.randint(1, capacities[-1]) for _ in range(rng.randint(1, 9))]
+        made = sum(c for c, _ in contents(dict(collections.Counter(items)), capacities))
+        best = least_capacity(items, capacities)
+        assert best <= made <= 1.5 * best
+        ours, optimum = ours + made, optimum + best
+    assert ours <= 1.06 * optimum
+
+
+def largest_only(histogram, capacities):
+    """Total capacity of plain best-fit decreasing into the largest bins, each downsized at last."""
+    rooms, top = [], max(capacities)
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            fit = [k for k, r in enumerate(rooms) if r >= length]
+            k = min(fit, key=rooms.__getitem__) if fit else len(rooms)
+            if not fit:
+                rooms.append(top)
+            rooms[k] -= length
+    return sum(min(c for c in capacities if c >= top - r) for r in rooms)
+
+
+def test_packing_opens_several_sizes_on_documents(spark):
+    histogram = collections.Counter()
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        n = len(WORD.findall(r[0] or ""))
+        histogram.update([4096] * (n // 4096) + [n % 4096] * (n % 4096 > 0))
+    opened = []
+    made = contents(dict(histogram), packing.CAPACITIES, opened)
+    assert len({c for _, c in opened}) >= 2
+    assert sum(c for c, _ in made) <= largest_only(histogram, packing.CAPACITIES)
+    dear = []
+    contents(dict(histogram), packing.CAPACITIES, dear, overhead=10_000)  # dear sequences are long ones
+    assert sum(n for n, _ in dear) < sum(n for n, _ in opened)
 
 
 def test_packing(docs, rows, none):
