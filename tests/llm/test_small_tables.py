@@ -329,7 +329,9 @@ def test_jaccard_join(docs, rows, none):
 
 def test_jaccard_join_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
-    monkeypatch.setattr(jaccard, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "MAX_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(jaccard, "RUN_ROWS", 300)
+    monkeypatch.setattr(jaccard, "HOT", 4)
     rng = random.Random(9)
     base = [f"w{rng.randint(0, 999)}" for _ in range(120)]
     rows = []
@@ -341,10 +343,75 @@ def test_jaccard_join_in_blocks(spark, monkeypatch):
     assert collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute_classes(rows)
 
 
-def test_forest_depth_reaches_recall():
-    for threshold in (0.5, 0.8, 0.95):
-        d = jaccard.forest_depth(threshold, 24, 5, 0.9999)
-        assert d == 1 or 1 - (1 - threshold**d) ** 24 >= 0.9999
+def test_jaccard_join_of_a_chain_compares_few_blocks(spark, monkeypatch):
+    counts, whole = [], jaccard._block_pairs
+
+    def counted(members, blocks):
+        out = whole(members, blocks)
+        counts.append((blocks.select("block").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "_block_pairs", counted)
+    words = [f"w{k}" for k in range(5000)]
+    rows = [(k, " ".join(words[k * 10 : k * 10 + 120])) for k in range(400)]  # each is like its neighbours only
+    got = collected(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute_classes(rows)
+    (blocks, pairs), = counts
+    assert blocks > 40 and pairs < 0.5 * blocks * (blocks + 1) / 2
+
+
+def test_forest_finds_planted_pairs_at_varying_depths(spark):
+    rng, rows, planted = random.Random(12), [], 0
+    for k in range(300):
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(rng.randint(60, 200))]
+        other = words.copy()
+        for at in rng.sample(range(len(words)), rng.randint(1, max(1, len(words) // 45))):
+            other[at] = f"x{k}.{at}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    boiler = [f"b{k}" for k in range(150)]
+    for k in range(200):  # much alike, on both sides of the threshold
+        words = boiler.copy()
+        for at in rng.sample(range(150), rng.randint(1, 6)):
+            words[at] = f"y{k}.{at}"
+        rows.append((1000 + k, " ".join(words)))
+    sets = {i: set(jaccard.shingle_hashes(t).tolist()) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    ids = [i for i, _ in rows]
+    want = {(a, b) for a in ids[:600:2] for b in [a + 1] if alike(a, b)} | {(a, b) for a in ids[600:] for b in ids[600:] if a < b and alike(a, b)}
+    assert len(want) > 1000
+    keys = {i: jaccard.trie_keys(np.array(list(sets[i]), dtype=np.uint64), jaccard.TREES) for i in ids}
+    nodes = spark.createDataFrame([(i, keys[i].tolist()) for i in ids], "node long, keys array<bigint>")
+    depth = collections.defaultdict(dict)
+    for r in jaccard.forest(nodes, 0.8, jaccard.TREES, jaccard.TARGET_RECALL).collect():
+        depth[r["node"]][r["tree"]] = r["depth"]
+        assert r["key"] == keys[r["node"]][r["tree"]]
+
+    def met(a, b):
+        for t in range(jaccard.TREES):
+            if t in depth[a] and t in depth[b]:
+                shift = jaccard._shift(min(depth[a][t], depth[b][t]))
+                if keys[a][t] >> shift == keys[b][t] >> shift:
+                    return True
+        return False
+
+    found = sum(met(a, b) for a, b in want)
+    assert found >= 0.995 * len(want)  # the contract asks for 0.9, the target is 0.9999
+    assert len({d for own in depth.values() for d in own.values()}) >= 3
+    least = jaccard.least_depth(0.8, jaccard.TREES, jaccard.TARGET_RECALL)
+    assert all(least <= d <= jaccard.MAX_DEPTH for own in depth.values() for d in own.values())
+
+
+def test_prefix_depths_reach_the_target():
+    rng = np.random.default_rng(5)
+    for threshold, target in ((0.8, 0.9999), (0.9, 0.999), (0.5, 0.9)):
+        least = jaccard.least_depth(threshold, 24, target)
+        cool = rng.integers(0, jaccard.MAX_DEPTH + 2, (500, 24)).astype(np.int32)
+        depth = jaccard.chosen_depths(cool, threshold, target, least)
+        assert (1 - np.prod(1 - threshold ** depth.astype(float), axis=1) >= target).all()
+        # Crowded nodes stay deep where the other trees suffice.
+        few = np.where(np.arange(24) < 3, jaccard.MAX_DEPTH + 1, 0)[None].astype(np.int32)
+        assert (jaccard.chosen_depths(few, threshold, target, least)[0, :3] == jaccard.MAX_DEPTH).all() or threshold == 0.5
 
 
 def brute_repeats(rows, length=50):
