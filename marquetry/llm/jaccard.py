@@ -223,14 +223,15 @@ def _block_pairs(members: DataFrame, blocks: DataFrame) -> DataFrame:
     return pairs.union(blocks.select(F.col("block").alias("i"), F.col("block").alias("j")).distinct())
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, target_recall: float = TARGET_RECALL, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, target_recall: float = TARGET_RECALL, key_col: str = "doc_id", text_col: str = "text", heads: bool = False) -> DataFrame:
     """Documents whose sets of `size`-word shingles have a Jaccard similarity of at least `threshold`.
 
     One row (key_col, class_id, n_links) per row of docs. n_links counts the other rows whose text is similar, copies
     included; class_id is the least key of the component that the links form. A text of fewer than `size` words has one
     shingle, all its words. Texts without words, null ones too, have no shingles and no links: class_id is the row's own
     key. Null keys are never a class_id unless the whole class has none. Rows of equal key count separately. An empty
-    table gives an empty result; other columns of docs, whatever their names, are not looked at.
+    table gives an empty result; other columns of docs, whatever their names, are not looked at. heads adds digest (SHA-256
+    of the text) and is_head: whether the row's text is its class's first by least key, then digest.
 
     Equal texts are one node from the start. A node's signature gives one key per tree of the forest; `forest` chooses
     the prefix length at which it is matched in each tree. Two nodes are candidates if they share the shorter of their
@@ -326,10 +327,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
         used.append(joined)
     placed = nodes.select("node", "digest", "least", "copies").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialize(placed, "placed")
-    ids = materialize(placed.groupBy("root").agg(F.min("least").alias("class_id")), "ids")
-    classes = placed.join(ids, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    ids = materialize(placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("keyless"), "least", "digest")).alias("first")), "ids")
+    head = F.col("first.digest").alias("head")
+    classes = placed.join(ids, "root").select("digest", F.col("first.least").alias("class_id"), head, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("doc", "digest").join(classes, "digest", "left")
-    out = out.select(F.col("doc").alias(key_col), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    is_head = (F.coalesce("head", "digest") == F.col("digest")) & F.coalesce("class_id", "doc").eqNullSafe(F.col("doc"))
+    more = [F.lower(F.hex("digest")).alias("digest"), is_head.alias("is_head")] if heads else []
+    out = out.select(F.col("doc").alias(key_col), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *more)
     out = materialize(out, "links")
     for frame in [*used, checked, placed, ids]:
         discard(frame)

@@ -1,10 +1,11 @@
 """Suffix-array dedup: remove bytes that a long string repeats from a smaller document.
 
-Shards are suffix-sorted by external induction (`suffixes`). A shard must hold every copy of the strings it judges, so
-texts are dealt by content. A window of `length` bytes holds GRAM-byte grams at length - GRAM + 1 places; the one of
+Shards are suffix-sorted by external induction (`suffixes`): text, suffixes and queues on disk. A shard must hold every
+copy of the strings it judges, so texts are dealt by content. A window of `length` bytes holds GRAM-byte grams at length - GRAM + 1 places; the one of
 least hash is its anchor, the same for equal windows wherever they stand. Every window lies in the context of its
 anchor: the bytes from length - GRAM before the anchor to length after its start. All contexts of one gram meet in
-one shard. Grams of one text only are found first, by hashes alone, and send no context.
+one shard. Grams of one text only are found first, by hashes alone, and send no context. Equal contexts of a group of
+texts go as one, that of the least document.
 """
 
 from __future__ import annotations
@@ -22,22 +23,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquetry.llm.common import materialize
-from marquetry.llm.suffixes import BUDGET, sorted_suffixes
+from marquetry.llm.suffixes import BUDGET, Disk, RunSort, sorted_suffixes
 
 LENGTH = 50
 GRAM = 16
-#: Text bytes that one shard stands for, and least shards.
+#: Text bytes that one group of texts and one shard of grams stand for, and bounds on the shards (and so on what a batch sends).
 SHARD_BYTES = 8 << 20
-MIN_SHARDS = 48
+MIN_SHARDS, MAX_SHARDS = 48, 4096
 #: Text bytes whose grams or contexts are sent together, and window starts that are hashed at a time.
 BATCH_BYTES = 16 << 20
 CHUNK = 1 << 18
-#: Contexts of a shard that are judged in memory at once (about 2.3 kB for each different one while they are sorted);
+#: Contexts of a shard that are judged at once (about 150 bytes each in memory; their text and its suffixes are on disk);
 #: more are dealt to files, FAN at a time, and judged in parts of a quarter of that.
 PART_ROWS = 3 << 16
 FAN = 32
-#: Stands for a null key inside: larger than any other.
+#: Contexts of a gram from which on they go to shards by the bytes beside the gram as well.
+HOT_CONTEXTS = 1 << 15
+#: Bytes of digests up to which the list of repeated texts is broadcast.
+MAX_BROADCAST_BYTES = 16 << 20
+#: Stands for a null key inside: not smaller than any other.
 NO_DOC = int(np.iinfo(np.int64).max)
+#: Stands for more than one text.
+SEVERAL = np.uint64((1 << 64) - 1)
+
+#: Rows that are copied at a time.
+ROWS = 1 << 14
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -121,8 +131,8 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sorted_group(pdf: pd.DataFrame) -> tuple[np.ndarray, list[str], list[bytes]]:
-    """Distinct (document, digest) rows of a text group in order: both stages that read the group number them alike."""
-    pdf = pdf.drop_duplicates(["doc", "digest"]).sort_values(["doc", "digest"])
+    """Distinct texts of a group in order: both stages that read the group number them alike."""
+    pdf = pdf.drop_duplicates("digest").sort_values(["doc", "digest"])
     return pdf["doc"].to_numpy(), pdf["digest"].tolist(), [t.encode("utf-8", "replace") for t in pdf["text"]]
 
 
@@ -149,18 +159,75 @@ def _with_kin(contexts: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, leng
     left = (length - GRAM) // 2
     right = length - left + 1
     out = np.zeros(len(contexts), dtype=bool)
-    wide = np.concatenate([contexts, np.zeros((len(contexts), length), np.uint8)], axis=1)
     for back, span, ok in ((left, left + GRAM, offsets >= left), (0, right, sizes - offsets >= right)):
         at = np.flatnonzero(ok)
         if not len(at):
             continue
-        _, keys = _row_keys(wide[at[:, None], (offsets[at] - back)[:, None] + np.arange(span)])
+        keys = np.empty(len(at), dtype=np.uint64)
+        for k in range(0, len(at), ROWS):
+            part = at[k : k + ROWS]
+            place = np.minimum((offsets[part] - back)[:, None] + np.arange(span), contexts.shape[1] - 1)
+            keys[k : k + ROWS] = _row_keys(np.take_along_axis(contexts[part], place, axis=1))[1]
         order = np.argsort(keys)
         same = np.r_[False, keys[order][1:] == keys[order][:-1]]
         out[at[order[same | np.r_[same[1:], False]]]] = True
     return out
 
 
+class _Runs:
+    """Marks the windows of each run that belong to documents beyond the run's least; runs come in chunks and may go on."""
+
+    def __init__(self, docs: np.ndarray, folder: str | None):
+        self.docs, self.folder, self.mask = docs, folder, np.zeros(len(docs), dtype=np.uint64)
+        self.least, self.open, self.size = None, [], 0
+        self.spool = None
+
+    def _mark(self, row: np.ndarray, start: np.ndarray, least: np.ndarray | int) -> None:
+        hit = self.docs[row] > least
+        np.bitwise_or.at(self.mask, row[hit], np.uint64(1) << start[hit].astype(np.uint64))
+
+    def _keep(self, row: np.ndarray, start: np.ndarray) -> None:
+        """Hold part of the open run; much of it goes to a file."""
+        self.open.append((row, start))
+        self.size += len(row)
+        least = int(self.docs[row].min())
+        self.least = least if self.least is None else min(self.least, least)
+        if self.size > ROWS:
+            if self.spool is None:
+                self.spool = tempfile.TemporaryFile(dir=self.folder)
+            for r, s in self.open:
+                np.stack([r, s]).T.astype(np.int64).tofile(self.spool)
+            self.open, self.size = [], 0
+
+    def close(self) -> None:
+        """The open run ends."""
+        if self.spool is not None:
+            self.spool.seek(0)
+            while len(got := np.fromfile(self.spool, np.int64, 2 * ROWS).reshape(-1, 2)):
+                self._mark(got[:, 0], got[:, 1], self.least)
+            self.spool.close()
+        for row, start in self.open:
+            self._mark(row, start, self.least)
+        self.least, self.open, self.size, self.spool = None, [], 0, None
+
+    def add(self, row: np.ndarray, start: np.ndarray, joins: np.ndarray) -> None:
+        """Windows in order; joins tells which belong to the run of the one before."""
+        begins = np.flatnonzero(~joins)
+        if not len(begins):
+            if len(row):
+                self._keep(row, start)
+            return
+        if begins[0]:
+            self._keep(row[: begins[0]], start[: begins[0]])
+        self.close()
+        a, b = begins[0], begins[-1]
+        if b > a:
+            inner = begins[:-1] - a
+            least = np.repeat(np.minimum.reduceat(self.docs[row[a:b]], inner), np.diff(np.r_[inner, b - a]))
+            self._mark(row[a:b], start[a:b], least)
+        self._keep(row[b:], start[b:])
+
+
 def repeated_starts(docs: np.ndarray, contexts: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, length: int = LENGTH, scratch: str | None = None, budget: int = BUDGET) -> np.ndarray:
     """For each context, a bit for each start of a window that also starts in the context of a smaller document.
 
@@ -169,11 +236,16 @@ def repeated_starts(docs: np.ndarray, contexts: np.ndarray, sizes: np.ndarray, o
     are suffix-sorted: runs of suffixes that share `length` bytes hold equal windows.
     """
     m, width = contexts.shape
-    words, keys = _row_keys(contexts, sizes)
+    keys = np.empty(m, dtype=np.uint64)
+    for k in range(0, m, ROWS):
+        keys[k : k + ROWS] = _row_keys(contexts[k : k + ROWS], sizes[k : k + ROWS])[1]
     order = np.lexsort((docs, keys))
     first = np.r_[True, keys[order][1:] != keys[order][:-1]]
     head = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    other = np.flatnonzero((words[order] != words[head]).any(axis=1))  # unequal texts of one hash stand for themselves
+    other = np.zeros(m, dtype=bool)  # unequal texts of one hash stand for themselves
+    for k in range(0, m, ROWS):
+        a, b = order[k : k + ROWS], head[k : k + ROWS]
+        other[k : k + ROWS] = (contexts[a] != contexts[b]).any(axis=1) | (sizes[a] != sizes[b])
     first[other], head[other] = True, order[other]
     every = (np.uint64(1) << np.maximum(sizes - length + 1, 0).astype(np.uint64)) - np.uint64(1)
     out = np.zeros(m, dtype=np.uint64)
@@ -181,35 +253,38 @@ def repeated_starts(docs: np.ndarray, contexts: np.ndarray, sizes: np.ndarray, o
     out[order[later]] = every[order[later]]
 
     heads = order[first]
-    every_head = heads
-    kin = np.flatnonzero(_with_kin(contexts[heads], sizes[heads], offsets[heads], length))
-    heads = heads[kin]
+    kin = heads[_with_kin(contexts[heads], sizes[heads], offsets[heads], length)]
     column = np.arange(width + 1)
-    text = np.zeros((len(heads), width + 1), dtype=np.uint16)
-    text[:, :width] = contexts[heads]
-    text[:, :width] += 1
-    text[column >= sizes[heads][:, None]] = 0
-    mask = np.zeros(len(heads), dtype=np.uint64)
-    for at, shared in sorted_suffixes(text.reshape(-1), length, scratch, budget):
+
+    def pieces() -> Iterator[np.ndarray]:
+        for k in range(0, len(kin), ROWS):
+            part = kin[k : k + ROWS]
+            text = np.zeros((len(part), width + 1), dtype=np.uint16)
+            text[:, :width] = contexts[part]
+            text[:, :width] += 1
+            text[column >= sizes[part][:, None]] = 0
+            yield text
+
+    runs, ends = _Runs(docs[kin], scratch), sizes[kin]
+    broken = True  # whether a suffix without a whole window came since the last one
+    for at, shared in sorted_suffixes(pieces(), length, scratch, budget):
         row, start = at // (width + 1), at % (width + 1)
-        run = np.cumsum(shared < length)
-        whole = start + length <= sizes[heads[row]]
-        row, start, run = row[whole], start[whole], run[whole]
-        if not len(row):
+        whole = start + length <= ends[row]
+        if not whole.any():
+            broken = True
             continue
-        begins = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-        least = np.repeat(np.minimum.reduceat(docs[heads[row]], begins), np.diff(np.r_[begins, len(row)]))
-        hit = docs[heads[row]] > least
-        np.bitwise_or.at(mask, row[hit], np.uint64(1) << start[hit].astype(np.uint64))
-    whole_mask = np.zeros(len(every_head), dtype=np.uint64)
-    whole_mask[kin] = mask
-    heads, mask = every_head, whole_mask
+        gap = np.cumsum(shared < length)
+        at_whole = np.flatnonzero(whole)
+        joins = np.r_[not broken and gap[at_whole[0]] == 0, gap[at_whole[1:]] == gap[at_whole[:-1]]]
+        runs.add(row[at_whole], start[at_whole], joins)
+        broken = bool(gap[-1] != gap[at_whole[-1]])
+    runs.close()
+    mask = np.zeros(m, dtype=np.uint64)
+    mask[kin] = runs.mask
     of = np.empty(m, dtype=np.int64)
-    of[order] = np.searchsorted(np.flatnonzero(first), np.arange(m), side="right") - 1
-    same = np.empty(m, dtype=bool)
-    same[order] = docs[order] == docs[head]
+    of[order] = head
+    same = docs == docs[of]
     out[same] = mask[of[same]]
-    out[heads] = mask
     return out
 
 
@@ -354,33 +429,54 @@ def _kept(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, int
     return removed, int(removed[:1].sum() + (removed[1:] & ~removed[:-1]).sum())
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, shard_bytes: int = SHARD_BYTES, budget: int = BUDGET, part_rows: int = PART_ROWS) -> DataFrame:
+def _distinct_texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc, digest, text): of each text the row of least doc, once. Only digests of repeated texts are joined."""
+    again = keys.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("digest", "least")
+    again = materialize(again, "again")
+    n = again.count()
+    if not n:
+        return rows
+    first = keys.join(again, "digest").where("doc = least").groupBy("digest").agg(F.count("*").alias("firsts"))
+    again = materialize(again.join(first, "digest"), "firsts")  # how often a text comes under its least key
+    marked = rows.join(F.broadcast(again) if n * 96 <= MAX_BROADCAST_BYTES else again, "digest", "left").where("least is null or doc = least")
+    if not again.where("firsts > 1").head(1):
+        return marked.select("doc", "digest", "text")
+    twice = marked.where("firsts > 1").groupBy("digest").agg(F.first("doc").alias("doc"), F.first("text").alias("text"))  # each task sends one row
+    return marked.where("coalesce(firsts, 1) = 1").select("doc", "digest", "text").unionByName(twice)
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, shard_bytes: int = SHARD_BYTES, budget: int = BUDGET, part_rows: int = PART_ROWS, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts in a document of smaller key.
 
     One row per row of docs: key_col, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text also kept_text (the
-    remaining bytes as text, broken characters left out) and digest (MD5 of the text). Strings are judged on the input; null texts count as empty and texts
-    shorter than `length` lose nothing. A null key counts as larger than all others; rows of equal key are not smaller
-    than each other, so a repeated row keeps its text unless a smaller key holds it.
-
-    Copies of a whole text are settled by digest. The hot path ships hashes of grams first, then contexts of grams that two
-    different texts hold, compressed in blocks; texts are dealt once, by key, and that exchange serves both the cutting of
-    contexts and the removal. A shard of more than part_rows contexts is dealt to files on disk and judged in parts. `length` must lie between GRAM + 1 and 63 + GRAM.
+    remaining bytes as text, broken characters left out) and digest (SHA-256 of the text). Strings are judged on the input;
+    null texts count as empty and texts shorter than `length` lose nothing. A null key counts as larger than all others
+    (but for the largest long, which counts alike); rows of equal key are not smaller than each other, so a repeated
+    row keeps its text unless a smaller key holds it. An empty table gives an empty result; other columns of docs, whatever
+    their names, are not looked at.
+
+    Copies of a whole text are settled by digest, and only the least of them goes on. Hashes of grams are shipped first,
+    then contexts of grams that two texts hold, compressed in blocks, equal ones of a group of texts as one; texts are dealt
+    once, by digest, and that exchange serves both the cutting of contexts and the removal. A gram of more than
+    hot_contexts contexts is cut in two by where windows start, and goes to shards by the bytes that all windows of a
+    half share. A shard of more than part_rows contexts is dealt to files on disk and judged in parts. `length` must lie
+    between GRAM + 1 and 63 + GRAM. Working files lie in the task's own temporary folder and end with the task.
     """
     spark = docs.sparkSession
     before = length - GRAM
     width = before + length
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(key_col).cast("long"), F.lit(NO_DOC)).alias("doc"), F.md5(text).alias("digest"), text.alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(MIN_SHARDS, int(total // shard_bytes))
-    q = F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(shards)).cast("int")
-    dealt = rows.withColumn("q", q)
+    rows = docs.select(F.coalesce(F.col(key_col).cast("long"), F.lit(NO_DOC)).alias("doc"), F.sha2(text, 256).alias("digest"), text.alias("text"))
+    keys = materialize(rows.select("doc", "digest", F.octet_length("text").alias("bytes")), "keys")
+    total = keys.agg(F.sum("bytes")).first()[0] or 0
+    shards = int(min(MAX_SHARDS, max(MIN_SHARDS, total // shard_bytes)))
+    groups = int(max(MIN_SHARDS, total // shard_bytes))
+    dealt = _distinct_texts(rows, keys).withColumn("q", F.pmod(F.xxhash64("digest"), F.lit(groups)).cast("int"))
 
     def send_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t.encode("utf-8", "replace") for t in batch["text"]]
-            digest = np.array([int(d[:12], 16) for d in batch["digest"]], dtype=np.uint64)
-            group = batch["q"].to_numpy(dtype=np.int64)
+            number, group = batch["number"].to_numpy(dtype=np.uint64), batch["q"].to_numpy(dtype=np.int64)
             for lo, hi in _batches(texts):
                 buffer, lengths = _joined(texts[lo:hi])
                 place, h = anchors(buffer, lengths, length)
@@ -388,95 +484,174 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
                     continue
                 owner = lo + np.searchsorted(np.cumsum(lengths), place, side="right")
                 shard = ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-                h, to, d = h.astype(np.uint32), shard * shards + group[owner], digest[owner]
+                h, to, d = h.astype(np.uint32), shard * groups + group[owner], number[owner]
                 order = np.lexsort((h, to))
                 h, to, d = h[order], to[order], d[order]
                 first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (to[1:] != to[:-1])])
                 both = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)  # two texts here already
-                h, to, d = h[first], to[first], np.where(both, np.uint64(1 << 48), d[first])
-                cuts = np.searchsorted(to // shards, np.arange(shards + 1))
-                found = [(s, _pack((to[a:b] % shards).astype(np.uint32), h[a:b], d[a:b].astype(np.uint32), (d[a:b] >> np.uint64(32)).astype(np.uint32))) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                times = np.minimum(np.diff(np.r_[first, len(h)]), 65_535).astype(np.uint16)
+                h, to, d = h[first], to[first], np.where(both, SEVERAL, d[first])
+                cuts = np.searchsorted(to // groups, np.arange(shards + 1))
+                found = [(s, _pack((to[a:b] % groups).astype(np.uint32), h[a:b], d[a:b], times[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
                 yield pd.DataFrame(found, columns=["s", "body"])
 
-    def find_shared(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(b, "u4", "u4", "u4", "u4") for b in pdf["body"]]
-        group, h, low, high = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        d = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-        order = np.argsort(h, kind="stable")
-        group, h, d = group[order], h[order], d[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        most = np.maximum.reduceat(d, first)
-        live = (np.minimum.reduceat(d, first) != most) | (most == 1 << 48)
-        keep = np.repeat(live, np.diff(np.r_[first, len(h)]))
-        group, h = group[keep], h[keep]
-        order = np.argsort(group, kind="stable")
-        group, h = group[order], h[order]
-        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
-        s = int(pdf["s"].iloc[0])
-        return pd.DataFrame([(int(group[a]), s, _pack(h[a:b])) for a, b in zip(starts, [*starts[1:], len(group)], strict=True)] if len(group) else [], columns=["q", "s", "body"])
-
-    def cut_contexts(texts: pd.DataFrame, shared: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        columns = ["s", "q", "body"]
+    def find_shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each group of texts the grams of this shard that it shares with another text, by two sorts in runs."""
+        with tempfile.TemporaryDirectory() as folder:
+            disk, s = Disk(folder, 4 * budget), 0
+            runs, held, kind = RunSort(disk), 0, np.dtype([("d", "u8"), ("times", "u2")])
+            path = os.path.join(folder, "entries")
+            with open(path, "wb") as file:
+                for batch in batches:
+                    for s, body in zip(batch["s"], batch["body"], strict=True):
+                        group, h, d, times = _unpack(body, "u4", "u4", "u8", "u2")
+                        # Sorted by gram; the value leads to the rest of the entry.
+                        runs.add((h.astype(np.uint64) << np.uint64(32)) | group, np.arange(held, held + len(h)))
+                        np.rec.fromarrays([d, times], dtype=kind).tofile(file)
+                        held += len(h)
+            entries = np.memmap(path, dtype=kind, mode="r") if held else np.empty(0, kind)
+            by_group, rest = RunSort(disk), None
+            for key, value in itertools.chain(runs.chunks(), [(None, None)]):
+                if key is not None:
+                    part = key, value
+                    if rest is not None:
+                        part = np.concatenate([rest[0], key]), np.concatenate([rest[1], value])
+                    gram = part[0] >> np.uint64(32)
+                    cut = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on
+                    rest = part[0][cut:], part[1][cut:]
+                    key, value = part[0][:cut], part[1][:cut]
+                elif rest is not None:
+                    key, value = rest
+                if key is None or not len(key):
+                    continue
+                gram = key >> np.uint64(32)
+                first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+                d = entries["d"][value]
+                most = np.maximum.reduceat(d, first)
+                live = (np.minimum.reduceat(d, first) != most) | (most == SEVERAL)
+                hot = np.add.reduceat(entries["times"][value].astype(np.int64), first) > hot_contexts
+                size = np.diff(np.r_[first, len(key)])
+                live, hot = np.repeat(live, size), np.repeat(hot, size)
+                by_group.add(((key[live] & np.uint64(0xFFFFFFFF)) << np.uint64(32)) | gram[live], hot[live].astype(np.int64))
+            now, parts = None, []
+
+            def message() -> tuple[int, int, bytes]:
+                return int(now), int(s), _pack(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+            for key, hot in by_group.chunks():
+                group = key >> np.uint64(32)
+                starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+                out = []
+                for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
+                    if parts and group[a] != now:
+                        out.append(message())
+                        parts = []
+                    now = group[a]
+                    parts.append((key[a:b].astype(np.uint32), hot[a:b].astype(np.uint8)))
+                yield pd.DataFrame(out, columns=["q", "s", "body"])
+            yield pd.DataFrame([message()] if parts else [], columns=["q", "s", "body"])
+
+    half = before // 2
+
+    def cut_contexts(texts: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        columns = ["s", "q", "settled", "body"]
         if not len(texts) or not len(shared):
             return pd.DataFrame(columns=columns)
-        live = np.sort(np.concatenate([(np.uint64(s) << np.uint64(32)) | np.unique(_unpack(b, "u4")[0]).astype(np.uint64) for s, b in zip(shared["s"], shared["body"], strict=True)]))
+        known = [(np.uint64(s) << np.uint64(32), *_unpack(b, "u4", "u1")) for s, b in zip(shared["s"], shared["body"], strict=True)]
+        live = np.concatenate([s | h.astype(np.uint64) for s, h, _ in known])
+        hot = np.concatenate([f for *_, f in known])
+        order = np.argsort(live)
+        live, hot = live[order], hot[order].astype(bool)
         doc, _, every = _sorted_group(texts)
-        out = []
+        q, out = int(texts["q"].iloc[0]), []
         for lo, hi in _batches(every):
             buffer, lengths = _joined(every[lo:hi])
             place, h = anchors(buffer, lengths, length)
             shard = (h >> np.uint64(32)) % np.uint64(shards)
             key = (shard << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
             at = np.minimum(np.searchsorted(live, key), len(live) - 1)
-            keep = live[at] == key if len(live) else np.zeros(len(key), dtype=bool)
-            place, shard = place[keep], shard[keep].astype(np.int64)
+            keep = live[at] == key
+            place, shard, crowded = place[keep], shard[keep].astype(np.int64), hot[at[keep]]
             if not len(place):
                 continue
             ends = np.cumsum(lengths)
+            padded = np.concatenate([buffer, np.zeros(width, np.uint8)])
+            # Windows that start nearest to farthest bytes before the anchor: all of them, or two halves of a hot gram's.
+            nearest, farthest = np.zeros(len(place), np.int64), np.full(len(place), before)
+            if crowded.any():
+                more = np.flatnonzero(crowded)
+                farthest[more] = half
+                place, shard, crowded = np.r_[place, place[more]], np.r_[shard, shard[more]], np.r_[crowded, crowded[more]]
+                nearest, farthest = np.r_[nearest, np.full(len(more), half + 1)], np.r_[farthest, np.full(len(more), before)]
             owner = np.searchsorted(ends, place, side="right")
             begin = ends[owner] - lengths[owner]
-            left = np.maximum(place - before, begin)
-            size = np.minimum(place + length, ends[owner]) - left
-            column = np.arange(width)
-            padded = np.concatenate([buffer, np.zeros(width, np.uint8)])
-            context = padded[left[:, None] + column]
-            context[column >= size[:, None]] = 0
+            left = np.maximum(place - farthest, begin)
+            size = np.minimum(place - nearest + length, ends[owner]) - left
+            able = (size >= length) & (place - nearest >= begin)
+            for lead, reach in ((0, half), (half + 1, before)):  # both halves go by the bytes that all their windows share
+                k = np.flatnonzero(crowded & able & (nearest == lead))
+                if len(k):
+                    core = padded[(place[k] - lead)[:, None] + np.arange(lead + length - reach)]
+                    shard[k] = (_row_keys(core)[1] >> np.uint64(32)).astype(np.int64) % shards
+            place, shard, owner, begin, left, size = (x[able] for x in (place, shard, owner, begin, left, size))
+            if not len(place):
+                continue
+            context = padded[left[:, None] + np.arange(width)]
+            context[np.arange(width) >= size[:, None]] = 0
             # A context that a text holds more than once is sent once; the removal finds its other places.
-            _, code = _row_keys(context)
-            order = np.lexsort((left, code, owner, shard))
-            same = np.r_[False, (code[order][1:] == code[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (shard[order][1:] == shard[order][:-1])]
-            same[1:] &= (context[order][1:] == context[order][:-1]).all(axis=1)
+            code = _row_keys(context, size, place - left)[1]
+            own = doc[lo + owner]
+            order = np.lexsort((left, owner, own, code, shard))
+            equal = np.r_[False, (code[order][1:] == code[order][:-1]) & (shard[order][1:] == shard[order][:-1])]
+            equal[1:] &= (context[order][1:] == context[order][:-1]).all(axis=1) & (size[order][1:] == size[order][:-1])
+            same = equal & np.r_[False, owner[order][1:] == owner[order][:-1]]
             again = np.r_[same[1:], False]
-            pick, many = order[~same], again[~same]
-            cuts = np.searchsorted(shard[pick], np.arange(shards + 1))
-            for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a:
-                    p = pick[a:b]
-                    own = owner[p]
-                    out.append((s, int(texts["q"].iloc[0]), _pack(doc[lo + own], (lo + own).astype(np.uint32), left[p] - begin[p], size[p].astype(np.uint8), (place[p] - left[p]).astype(np.uint8), many[a:b].astype(np.uint8), np.ascontiguousarray(context[p]))))
+            # Of equal contexts those of larger documents are settled: the least one's document holds all their windows.
+            least = own[order][np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))]
+            settled = own[order] > least
+            pick, many, settled = order[~same], again[~same], settled[~same]
+            for done in (False, True):
+                mine, twice = pick[settled == done], many[settled == done]
+                cuts = np.searchsorted(shard[mine], np.arange(shards + 1))
+                for s in np.flatnonzero(np.diff(cuts)).tolist():
+                    a, b = cuts[s], cuts[s + 1]
+                    p = mine[a:b]
+                    number, at, wide, often = (lo + owner[p]).astype(np.uint32), left[p] - begin[p], size[p].astype(np.uint8), twice[a:b].astype(np.uint8)
+                    if done:
+                        mask = (np.uint64(1) << (size[p] - length + 1).astype(np.uint64)) - np.uint64(1)
+                        out.append((s, q, True, _pack(number, at, wide, often, mask)))
+                    else:
+                        out.append((s, q, False, _pack(own[p], number, at, wide, (place[p] - left[p]).astype(np.uint8), often, np.ascontiguousarray(context[p]))))
         return pd.DataFrame(out, columns=columns)
 
     kinds = ("i8", "u4", "i8", "u1", "u1", "u1", "u1")
 
-    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
-        for batch in batches:
-            for q, body in zip(batch["q"], batch["body"], strict=True):
-                doc, number, left, size, offset, many, context = _unpack(body, *kinds)
-                rows = np.empty(len(doc), dtype=_context_type(width))
-                rows["doc"], rows["number"], rows["left"], rows["size"], rows["offset"], rows["many"] = doc, number, left, size, offset, many
-                rows["group"], rows["context"] = q, context.reshape(-1, width)
-                yield rows
-
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready: list[tuple[int, bytes]] = []  # settled before; passed on as they come
+
+        def unpacked() -> Iterator[np.ndarray]:
+            for batch in batches:
+                for q, settled, body in zip(batch["q"], batch["settled"], batch["body"], strict=True):
+                    if settled:
+                        ready.append((int(q), body))
+                        continue
+                    doc, number, left, size, offset, many, context = _unpack(body, *kinds)
+                    rows = np.empty(len(doc), dtype=_context_type(width))
+                    rows["doc"], rows["number"], rows["left"], rows["size"], rows["offset"], rows["many"] = doc, number, left, size, offset, many
+                    rows["group"], rows["context"] = q, context.reshape(-1, width)
+                    yield rows
+
         with tempfile.TemporaryDirectory() as folder:
-            for rows, mask in _Judge(length, folder, budget, part_rows).rows(unpacked(batches)):
+            for rows, mask in _Judge(length, folder, budget, part_rows).rows(unpacked()):
                 hit = np.flatnonzero(mask)
                 hit = hit[np.argsort(rows["group"][hit], kind="stable")]
                 rows, mask = rows[hit], mask[hit]
                 to = rows["group"]
                 starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
                 out = [(int(to[a]), _pack(*(rows[c][a:b] for c in ("number", "left", "size", "many")), mask[a:b])) for a, b in zip(starts, [*starts[1:], len(to)], strict=True)] if len(to) else []
-                yield pd.DataFrame(out, columns=["q", "body"])
+                yield pd.DataFrame(ready + out, columns=["q", "body"])
+                ready.clear()
+        yield pd.DataFrame(ready, columns=["q", "body"])
 
     made = "doc long, digest string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
 
@@ -510,18 +685,15 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
             out.append([*row, int(removed.sum()), spans, hashlib.sha256(kept).hexdigest()] + [kept.decode("utf-8", "ignore")] * keep_text)
         return pd.DataFrame(out, columns=[f.split()[0] for f in made.split(", ")])
 
-    grams = dealt.mapInPandas(send_grams, "s int, body binary")
+    grams = dealt.withColumn("number", F.monotonically_increasing_id()).mapInPandas(send_grams, "s int, body binary")
     shared = grams.groupBy("s").applyInPandas(find_shared, "q int, s int, body binary")
-    groups = dealt.groupBy("q")
-    contexts = groups.cogroup(shared.groupBy("q")).applyInPandas(cut_contexts, "s int, q int, body binary")
+    by_group = dealt.groupBy("q")
+    contexts = by_group.cogroup(shared.groupBy("q")).applyInPandas(cut_contexts, "s int, q int, settled boolean, body binary")
     hits = contexts.groupBy("s").applyInPandas(judge, "q int, body binary")
-    cut = groups.cogroup(hits.groupBy("q")).applyInPandas(remove, made)
-    cut = materialize(cut, "cut")
+    cut = materialize(by_group.cogroup(hits.groupBy("q")).applyInPandas(remove, made), "cut").withColumnRenamed("doc", "least")
 
-    keys = materialize(rows.select("doc", "digest"), "keys")
-    least = materialize(keys.groupBy("digest").agg(F.min("doc").alias("least")), "least")  # a large group of copies can then be split in the join
+    final = keys.join(cut, "digest")
     whole = (F.col("least") < F.col("doc")) & (F.col("n_bytes") >= length)
-    final = keys.join(cut, ["doc", "digest"]).join(least, "digest")
     empty = hashlib.sha256(b"").hexdigest()
     return final.select(
         F.nullif("doc", F.lit(NO_DOC)).alias(key_col),

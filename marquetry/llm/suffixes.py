@@ -1,90 +1,231 @@
 """Suffix sorting with common-prefix values by external induced sorting.
 
-Suffixes are typed L (greater than their successor) or S. The starred S suffixes (an S after an L) are named by their
-substrings and sorted by recursion; one pass from the least symbol up then induces the L suffixes, one from the
-greatest down the S suffixes. Each pass pops a priority queue keyed by symbol and order of arrival, whose entries are tuples
-of a suffix and the prefix it shares with the entry before it. Entries of one symbol arrive in sorted order, so the
-queue is a row of first-in-first-out buckets; buckets spill to disk beyond a memory budget and are read back once.
-A bucket is popped as an array, and NumPy does for the array what a loop would do for each suffix.
+Text, types, suffix lists and queues lie on disk; memory holds chunks of them, so many that they stay within a budget,
+whatever the length of the text. Suffixes are typed L (greater than their successor) or S. The starred S suffixes (an S after
+an L) are sorted by their substrings in sorted runs that are merged, named, and where names repeat sorted by recursion on
+the text of names. One pass from the least symbol up then induces the L suffixes, one from the greatest down the S
+suffixes. A pass pops a priority queue keyed by symbol and order of arrival; entries of one symbol arrive in sorted order. At
+the top the queue is a row of first-in-first-out buckets by symbol, and its entries are tuples of a suffix and the
+prefix it shares with the entry before it. Texts of names have about as many symbols as suffixes; there the queue is a row of
+buckets by ranges of symbols, and as many symbols are popped at once as do not induce into one another. A chunk
+is an array, and NumPy does for the array what a loop would do for each suffix.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Reduced texts up to this length are sorted by prefix doubling in memory, longer ones by another induction.
-BASE = 1 << 22
-BUDGET = 128 << 20
+BASE = 1 << 12
+BUDGET = 16 << 20
+#: Bytes of memory that one entry of a chunk stands for while it is worked on.
+ENTRY_BYTES = 512
+
+
+class Disk:
+    """Arrays in files of one folder, which a process maps; the system may drop their pages from memory at any time."""
+
+    def __init__(self, folder: str, budget: int):
+        self.folder, self.budget, self.count = folder, budget, 0
+        self.chunk = max(64, budget // ENTRY_BYTES)
+
+    def path(self) -> str:
+        self.count += 1
+        return os.path.join(self.folder, f"array-{os.getpid()}-{self.count}")
+
+    def array(self, n: int, dtype: np.dtype | type) -> np.ndarray:
+        return np.memmap(self.path(), dtype=dtype, mode="w+", shape=(n,)) if n else np.empty(0, dtype)
+
+    def drop(self, *arrays: np.ndarray) -> None:
+        for a in arrays:
+            if isinstance(a, np.memmap):
+                os.unlink(a.filename)
+
+
+class RunSort:
+    """(key, value) records by key: sorted runs of half the budget, merged in chunks."""
+
+    def __init__(self, disk: Disk):
+        self.disk, self.held, self.size = disk, [], 0
+        self.limit = max(64, disk.budget // ENTRY_BYTES)
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        if not len(keys):
+            return
+        self.held.append((keys, values))
+        self.size += len(keys)
+        if self.size >= self.limit:
+            k, v = self._sorted()
+            run = self.disk.array(len(k), np.uint64), self.disk.array(len(v), np.int64)
+            run[0][:], run[1][:] = k, v
+            self.runs.append(run)
+
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, values = (np.concatenate([h[c] for h in self.held]) for c in (0, 1))
+        self.held, self.size = [], 0
+        order = np.argsort(keys, kind="stable")
+        return keys[order], values[order]
+
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        last = self._sorted() if self.held else None
+        if not self.runs:
+            if last is not None:
+                yield last
+            return
+        runs = self.runs + ([last] if last is not None else [])
+        step = max(16, self.limit // len(runs))
+        at = [0] * len(runs)
+        while any(a < len(k) for a, (k, _) in zip(at, runs, strict=True)):
+            # Keys up to the least of the blocks' last ones are all in memory.
+            cut = min((k[a + step - 1] for a, (k, _) in zip(at, runs, strict=True) if a + step < len(k)), default=np.uint64((1 << 64) - 1))
+            parts = []
+            for r, (k, v) in enumerate(runs):
+                block = np.asarray(k[at[r] : at[r] + step])
+                n = int(np.searchsorted(block, cut, side="right"))
+                if n:
+                    parts.append((block[:n], np.asarray(v[at[r] : at[r] + n])))
+                    at[r] += n
+            keys, values = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
+            order = np.argsort(keys, kind="stable")
+            yield keys[order], values[order]
+        for k, v in self.runs:
+            self.disk.drop(k, v)
 
 
 class BucketQueue:
-    """First-in-first-out buckets of (suffix, common prefix) by symbol; beyond the budget they go to one spill file."""
+    """First-in-first-out buckets of (suffix, common prefix) by number; beyond a quarter of the budget they go to two files."""
 
-    def __init__(self, scratch: str, budget: int):
+    def __init__(self, disk: Disk, width: np.dtype | type):
+        self.disk, self.width, self.chunk = disk, np.dtype(width), disk.chunk
         self.held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        self.spilled: dict[int, list[tuple[int, int, np.dtype, np.dtype]]] = {}
-        self.bytes, self.budget, self.spills = 0, budget, 0
-        handle, self.path = tempfile.mkstemp(dir=scratch)
-        self.file = os.fdopen(handle, "r+b")
-
-    def push(self, symbol: int, suffixes: np.ndarray, shared: np.ndarray) -> None:
-        self.held.setdefault(symbol, []).append((suffixes, shared))
-        self.bytes += suffixes.nbytes + shared.nbytes
-        if self.bytes > self.budget:
+        self.spilled: dict[int, tuple[array, array]] = {}  # first records and numbers of records
+        self.heads: dict[int, int] = {}  # segments of a bucket that are used up
+        self.bytes, self.records, self.spills = 0, 0, 0
+        self.files = [open(disk.path(), "w+b") for _ in range(2)]
+
+    def push(self, bucket: int, suffixes: np.ndarray, shared: np.ndarray) -> None:
+        self.held.setdefault(bucket, []).append((suffixes, shared))
+        self.bytes += suffixes.nbytes + shared.nbytes + 128
+        if self.bytes > self.disk.budget // 4:
             self._spill()
 
+    def deal(self, buckets: np.ndarray, suffixes: np.ndarray, shared: np.ndarray) -> None:
+        """Push entries that are ordered by bucket."""
+        if len(buckets):
+            starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(buckets)], strict=True):
+                self.push(int(buckets[a]), suffixes[a:b].copy(), shared[a:b].copy())
+
     def _spill(self) -> None:
-        self.file.seek(0, 2)
-        for symbol, parts in self.held.items():
+        for f in self.files:
+            f.seek(0, 2)
+        for bucket, parts in self.held.items():
+            n = sum(len(a) for a, _ in parts)
             for a, b in parts:
-                self.spilled.setdefault(symbol, []).append((self.file.tell(), len(a), a.dtype, b.dtype))
-                self.file.write(a.tobytes())
-                self.file.write(b.tobytes())
+                self.files[0].write(a.astype(np.int64, copy=False).tobytes())
+                self.files[1].write(b.astype(self.width, copy=False).tobytes())
+            first, count = self.spilled.setdefault(bucket, (array("q"), array("q")))
+            first.append(self.records)
+            count.append(n)
+            self.records += n
         self.held, self.bytes, self.spills = {}, 0, self.spills + 1
 
-    def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """All that the bucket holds, in order of arrival; None if it is empty."""
-        parts = []
-        for at, n, a, b in self.spilled.pop(symbol, ()):
-            self.file.seek(at)
-            parts.append((np.frombuffer(self.file.read(n * a.itemsize), a), np.frombuffer(self.file.read(n * b.itemsize), b)))
-        for a, b in self.held.pop(symbol, ()):
-            self.bytes -= a.nbytes + b.nbytes
-            parts.append((a, b))
-        if not parts:
+    def _read(self, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for f, t in zip(self.files, (np.dtype(np.int64), self.width), strict=True):
+            f.seek(first * t.itemsize)
+            out.append(np.frombuffer(f.read(n * t.itemsize), t))
+        return out[0], out[1]
+
+    def pop(self, bucket: int, back: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """The next entries of the bucket in order of arrival, at most a chunk; with back the last ones. None if it is empty."""
+        segments, held = self.spilled.get(bucket), self.held.get(bucket)
+        if held and (back or not segments):
+            size, k = 0, 0
+            while k < len(held) and (not k or size + len(held[-1 - k if back else k][0]) <= self.chunk):
+                size += len(held[-1 - k if back else k][0])
+                k += 1
+            parts = held[-k:] if back else held[:k]
+            self.bytes -= sum(a.nbytes + b.nbytes + 128 for a, b in parts)
+            if k == len(held):
+                del self.held[bucket]
+            else:
+                del held[-k if back else 0 : None if back else k]
+            return parts[0] if k == 1 else (np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]))
+        if not segments:
             return None
-        if len(parts) == 1:
-            return parts[0]
-        return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+        k = -1 if back else self.heads.get(bucket, 0)
+        first, n = segments[0][k], segments[1][k]
+        take = min(n, self.chunk)
+        if take < n:
+            segments[1][k] -= take
+            segments[0][k] += 0 if back else take
+        elif back:
+            segments[0].pop()
+            segments[1].pop()
+        else:
+            self.heads[bucket] = k + 1
+        if len(segments[0]) == self.heads.get(bucket, 0):
+            del self.spilled[bucket]
+            self.heads.pop(bucket, None)
+        return self._read(first + n - take if back else first, take)
+
+    def all(self, bucket: int) -> np.ndarray:
+        """All suffixes of the bucket in order of arrival; for buckets that are made small enough."""
+        parts = []
+        while (got := self.pop(bucket)) is not None:
+            parts.append(got[0])
+        return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
     def close(self) -> None:
-        self.file.close()
-        os.unlink(self.path)
+        for f in self.files:
+            f.close()
+            os.unlink(f.name)
 
 
 class _Sorter:
-    def __init__(self, text: np.ndarray, cap: int, scratch: str, budget: int, base: int, track: bool):
-        n = len(text)
-        self.n, self.cap, self.scratch, self.budget, self.base, self.track = n, cap, scratch, budget, base, track
+    """One level: `text` holds n symbols from 1 up, then zeros that stand for the end, below all symbols."""
+
+    def __init__(self, text: np.ndarray, n: int, cap: int, disk: Disk, base: int):
+        self.text, self.n, self.cap, self.disk, self.base = np.asarray(text), n, cap, disk, base
         self.width = np.uint8 if cap < 256 else np.int32
-        self.index = np.int32 if n < 1 << 31 else np.int64
-        symbol = np.uint16 if n == 0 or int(text.max()) < (1 << 16) - 1 else np.int64
-        self.text = np.zeros(n + cap + 8, dtype=symbol)  # zeros stand for the end, below all symbols
-        self.text[:n] = text
-        self.text[:n] += 1
-        # An S suffix is smaller than its successor; equal symbols take the type of the next suffix.
-        t = self.text
-        step = np.flatnonzero(t[:n] != t[1 : n + 1])  # the last symbol differs from the end
-        rising = t[step] < t[step + 1]
-        self.is_s = np.repeat(rising, np.diff(np.r_[-1, step]))
-        self.starred = (np.flatnonzero(self.is_s[1:] & ~self.is_s[:-1]) + 1).astype(self.index)
+        self.spills, self.levels = 0, 1
+        self.top = max((int(text[a : min(n, a + disk.chunk * 8)].max()) for a in range(0, n, disk.chunk * 8)), default=0)
+
+    # -- types and starred suffixes
+
+    def _typed(self) -> tuple[np.ndarray, np.ndarray]:
+        """(is S of each suffix, starred suffixes in falling order), from the text's end to its beginning by chunks."""
+        n, t, disk = self.n, self.text, self.disk
+        kinds, found, count = disk.array(n, np.bool_), disk.path(), 0
+        after = False
+        with open(found, "wb") as out:
+            for b in range(n, 0, -disk.chunk):
+                a = max(0, b - disk.chunk)
+                part = np.asarray(t[a : b + 1]).astype(np.int64)
+                step = np.flatnonzero(part[:-1] != part[1:])
+                kind = np.full(b - a + 1, after)
+                if len(step):
+                    kind[: step[-1] + 1] = np.repeat(part[step] < part[step + 1], np.diff(np.r_[-1, step]))
+                kinds[a:b] = kind[:-1]
+                star = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1 + a
+                star = star[star < n][::-1]
+                out.write(star.astype(np.int64).tobytes())
+                count += len(star)
+                after = bool(kind[0])
+        stars = np.memmap(found, dtype=np.int64, mode="r+", shape=(count,)) if count else np.empty(0, np.int64)
+        if not count:
+            os.unlink(found)
+        return kinds, stars
 
     def prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Symbols that the suffixes a[k] and b[k] share, up to the cap; four symbols at a time where they fit in 8 bytes."""
+        """Symbols that the suffixes a[k] and b[k] share, up to the cap; four at a time where a symbol has two bytes."""
         out = np.full(len(a), self.cap, dtype=np.int64)
         live = np.arange(len(a))
         a, b = a.astype(np.int64), b.astype(np.int64)
@@ -108,101 +249,179 @@ class _Sorter:
                     break
         return out.astype(self.width)
 
-    def starred_order(self) -> np.ndarray:
+    def _starred_order(self) -> np.ndarray:
         """The starred suffixes, sorted: named by substring, then by recursion where names repeat."""
-        at = self.starred.astype(np.int64)
-        m = len(at)
-        if m < 2:
-            return self.starred
-        length = np.diff(np.r_[at, self.n]) + np.r_[np.ones(m - 1, np.int64), 0]
-        code_bits = (2 * int(self.text.max()) + 2).bit_length()
-        each = 63 // code_bits
-
-        def chunk(of: np.ndarray, k: int) -> np.ndarray:
-            out = np.zeros(len(of), dtype=np.int64)
-            for x in range(k * each, (k + 1) * each):
-                inside = x < length[of]
-                p = np.where(inside, at[of] + x, 0)
-                out = (out << code_bits) | np.where(inside, 2 * self.text[p].astype(np.int64) + self.is_s[p] + 1, 0)
-            return out
-
-        rank = _ranks(chunk(np.arange(m), 0))
-        k = 1
-        while True:
-            size = np.bincount(rank, minlength=m)
-            longer = np.zeros(m, dtype=bool)
-            longer[rank[(length > k * each) & (size[rank] > 1)]] = True
-            sub = np.flatnonzero(longer[rank])
-            if not len(sub):
-                break
-            rank[sub] = _refined(rank[sub], chunk(sub, k))
-            k += 1
-        if size.max() > 1:
-            if m <= self.base:
-                rank = _double(rank)
-            else:
-                names = np.cumsum(size > 0)[rank] - 1
-                order = np.concatenate([np.concatenate([u, d]) for _, u, d in reversed(list(_Sorter(names, 0, self.scratch, self.budget, self.base, False).buckets()))])
-                return self.starred[order]
-        out = np.empty(m, dtype=self.index)
-        out[rank] = self.starred
+        disk = self.disk
+        kinds, falling = self._typed()
+        m = len(falling)
+        stars = falling[::-1]
+        names, repeat = self._named(kinds, stars)
+        out = disk.array(m, np.int64)
+        if not repeat:
+            for a in range(0, m, disk.chunk):
+                out[np.asarray(names[a : a + disk.chunk])] = stars[a : a + disk.chunk]
+        elif m <= self.base:
+            out[_double(np.array(names))] = stars
+        else:
+            reduced = disk.array(m + 8, np.int64)
+            for a in range(0, m, disk.chunk):
+                reduced[a : min(m, a + disk.chunk)] = names[a : a + disk.chunk] + 1
+            deeper, end = _Sorter(reduced, m, 0, disk, self.base), m
+            for part in deeper.ordered():
+                out[end - len(part) : end] = stars[part[::-1]]
+                end -= len(part)
+            self.levels, self.spills = 1 + deeper.levels, self.spills + deeper.spills
+            disk.drop(reduced)
+        disk.drop(kinds, names, falling)
         return out
 
-    def buckets(self) -> Iterator[tuple[int, np.ndarray, np.ndarray] | tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per symbol, from the greatest down: (symbol, L suffixes, S suffixes), with common prefixes also if tracked."""
+    def _named(self, kinds: np.ndarray, stars: np.ndarray) -> tuple[np.ndarray, bool]:
+        """(for each starred suffix how many have a smaller substring, whether some are equal).
+
+        Substrings reach to the next starred suffix. Rounds of sorted runs order those still alike by some more symbols.
+        """
+        disk, n, m = self.disk, self.n, len(stars)
+        names = disk.array(m, np.int64)
+        bits, name_bits = (2 * self.top + 2).bit_length(), max(1, m.bit_length())
+        active: np.ndarray | None = None  # all
+        done, repeat, first = 0, False, True
+        while first or active is not None:
+            each = max(1, (63 - (0 if first else name_bits)) // bits)
+            runs = RunSort(disk)
+            for a in range(0, m if first else len(active), disk.chunk):
+                k = np.arange(a, min(m, a + disk.chunk)) if first else np.asarray(active[a : a + disk.chunk])
+                at = np.asarray(stars[k])
+                end = np.where(k + 1 < m, stars[np.minimum(k + 1, m - 1)] + 1, n)
+                key = np.zeros(len(k), dtype=np.uint64) if first else np.asarray(names[k]).astype(np.uint64)
+                for x in range(done, done + each):
+                    inside = at + x < end
+                    p = np.where(inside, at + x, 0)
+                    code = np.where(inside, 2 * self.text[p].astype(np.int64) + kinds[p] + 1, 0)
+                    key = (key << np.uint64(bits)) | code.astype(np.uint64)
+                runs.add(key, k)
+            more, count = disk.path(), 0
+            low = np.uint64((1 << bits) - 1)
+            shift = np.uint64(bits * each)
+            seen, group_start, name_start, last, held = 0, 0, 0, None, None
+            with open(more, "wb") as out:
+                for key, k in runs.chunks():
+                    fresh = np.r_[last is None or key[0] != last, key[1:] != key[:-1]]
+                    old = np.r_[last is None or (key[0] >> shift) != (last >> shift), (key[1:] >> shift) != (key[:-1] >> shift)] if not first else np.r_[last is None, np.zeros(len(key) - 1, bool)]
+                    place = np.arange(seen, seen + len(key))
+                    start = np.maximum.accumulate(np.where(fresh, place, group_start))
+                    name_first = np.maximum.accumulate(np.where(old, place, name_start))
+                    base = np.zeros(len(key), dtype=np.int64) if first else (key >> shift).astype(np.int64)
+                    names[k] = base + start - name_first
+                    # Alike with a neighbour and not yet at the end: another round.
+                    if held is not None and (held[1] or not fresh[0]) and held[2]:
+                        out.write(np.int64(held[0]).tobytes())
+                        count += 1
+                    open_ = (key & low) != 0
+                    alike = ~fresh | np.r_[~fresh[1:], False]
+                    repeat |= bool((~fresh & ~open_).any())
+                    go = k[:-1][(alike & open_)[:-1]]
+                    out.write(go.astype(np.int64).tobytes())
+                    count += len(go)
+                    held = int(k[-1]), bool(alike[-1]), bool(open_[-1])
+                    seen, group_start, name_start, last = seen + len(key), int(start[-1]), int(name_first[-1]), key[-1]
+                if held is not None and held[1] and held[2]:
+                    out.write(np.int64(held[0]).tobytes())
+                    count += 1
+            if active is not None:
+                disk.drop(active)
+            active = np.memmap(more, dtype=np.int64, mode="r+", shape=(count,)) if count else None
+            if not count:
+                os.unlink(more)
+            done, first = done + each, False
+        return names, repeat
+
+    # -- many symbols: positions only
+
+    def ordered(self) -> Iterator[np.ndarray]:
+        """All suffixes from the greatest down, in chunks, by buckets of ranges of symbols."""
         if not self.n:
             return
-        n, t = self.n, self.text
-        sorted_star = self.starred_order()
-        star_symbol = t[sorted_star]
-        if self.track and len(sorted_star):
-            star_shared = np.r_[self.width(0), self.prefix(sorted_star[:-1], sorted_star[1:])].astype(self.width)
-        else:
-            star_shared = np.zeros(len(sorted_star), dtype=self.width)
-        symbols = np.flatnonzero(np.bincount(t[:n])) if t.dtype == np.uint16 else np.unique(t[:n])
-        bounds = np.searchsorted(star_symbol, symbols, side="left"), np.searchsorted(star_symbol, symbols, side="right")
-        # Up: L suffixes.
-        queue, done = BucketQueue(self.scratch, self.budget), BucketQueue(self.scratch, self.budget)
+        stars = self._starred_order()
+        n, disk = self.n, self.disk
+        ranges = int(min(self.top, max(1, n * ENTRY_BYTES * 2 // disk.budget)))
+        span = -(-(self.top + 1) // ranges)
+        queue, done = BucketQueue(disk, np.uint8), BucketQueue(disk, np.uint8)
+        try:
+            up = _Wave(self, queue, span, False)
+            up.push(np.array([n], dtype=np.int64))
+            at = 0
+            for r in range(ranges):
+                end = at
+                while end < len(stars) and self.text[stars[min(end + disk.chunk, len(stars)) - 1]] // span <= r:
+                    end = min(end + disk.chunk, len(stars))
+                tail = np.asarray(stars[end : end + disk.chunk])
+                end += int(np.searchsorted(self.text[tail] // span, r, side="right")) if len(tail) else 0
+                for dynamic, _ in up.range(queue.all(r), np.asarray(stars[at:end])):
+                    if len(dynamic):
+                        done.push(r, dynamic.copy(), np.zeros(len(dynamic), np.uint8))
+                at = end
+            down = _Wave(self, queue, span, True)
+            for r in range(ranges - 1, -1, -1):
+                for _, both in down.range(queue.all(r), done.all(r)[::-1]):
+                    yield both
+        finally:
+            self.spills += queue.spills + done.spills
+            queue.close()
+            done.close()
+            disk.drop(stars)
+
+    # -- few symbols: positions and common prefixes
+
+    def tracked(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(suffixes, common prefix with the one before) from the greatest down, in chunks."""
+        if not self.n:
+            return
+        stars = self._starred_order()
+        n, t, disk = self.n, self.text, self.disk
+        queue, done = BucketQueue(disk, self.width), BucketQueue(disk, self.width)
         try:
-            up = _Pass(self, queue, False)
-            up.source(np.array([n], dtype=self.index), np.zeros(1, dtype=self.width))
-            for c, lo, hi in zip(symbols.tolist(), *(b.tolist() for b in bounds), strict=True):
+            up, at = _Pass(self, queue, False), 0
+            up.source(np.array([n], dtype=np.int64), np.zeros(1, dtype=self.width))
+            for c in range(1, self.top + 1):
                 last = None
                 while (got := queue.pop(c)) is not None:
                     done.push(c, *got)
-                    last = got[0][-1:]
                     up.source(*got)
-                if hi > lo:
-                    shared = star_shared[lo:hi].copy()
-                    shared[0] = self.prefix(last, sorted_star[lo : lo + 1])[0] if self.track and last is not None else 0
-                    up.source(sorted_star[lo:hi], shared)
-            # Down: S suffixes; L suffixes are read back as sources.
+                    last = got[0][-1:]
+                while at < len(stars):
+                    part = np.asarray(stars[at : at + disk.chunk])
+                    part = part[: int(np.searchsorted(t[part], c, side="right"))]
+                    if not len(part):
+                        break
+                    before = np.r_[last if last is not None else part[:1], part[:-1]]
+                    shared = self.prefix(before, part)
+                    if last is None:
+                        shared[0] = 0
+                    up.source(part, shared)
+                    last, at = part[-1:], at + len(part)
+            # L suffixes are read back as sources of the S suffixes.
             down = _Pass(self, queue, True)
-            none = np.empty(0, dtype=self.index), np.empty(0, dtype=self.width)
-            for c in reversed(symbols.tolist()):
-                parts = []
+            for c in range(self.top, 0, -1):
+                last = None
                 while (got := queue.pop(c)) is not None:
-                    parts.append(got)
                     down.source(*got)
-                s, s_shared = (np.concatenate([x[k] for x in parts]) for k in (0, 1)) if parts else none
-                lower, l_shared = done.pop(c) or none
-                seam = self.prefix(lower[-1:], s[-1:])[0] if self.track and len(lower) and len(s) else 0
-                if len(lower):
+                    yield got
+                    last = got[0][-1:]
+                above = None
+                while (got := done.pop(c, back=True)) is not None:
+                    lower, shared = got
                     back = np.empty(len(lower), dtype=self.width)
-                    back[0], back[1:] = seam, l_shared[1:][::-1]
-                    down.source(lower[::-1], back)
-                if self.track:
-                    shared = np.empty(len(lower) + len(s), dtype=self.width)
-                    shared[: len(lower)] = l_shared
-                    if len(s):
-                        shared[len(lower)], shared[len(lower) + 1 :] = seam, s_shared[1:][::-1]
-                    yield c - 1, lower, s[::-1], shared
-                else:
-                    yield c - 1, lower, s[::-1]
+                    back[1:] = shared[1:][::-1]
+                    back[0] = above if above is not None else self.prefix(lower[-1:], last)[0] if last is not None else 0
+                    above = shared[0]
+                    lower = lower[::-1]
+                    down.source(lower, back, own=False)
+                    yield lower, back
         finally:
-            self.spills = queue.spills + done.spills
+            self.spills += queue.spills + done.spills
             queue.close()
             done.close()
+            disk.drop(stars)
 
 
 class _Pass:
@@ -210,25 +429,16 @@ class _Pass:
 
     def __init__(self, sorter: _Sorter, queue: BucketQueue, want_s: bool):
         self.sorter, self.queue, self.want_s = sorter, queue, want_s
-        k = int(sorter.text.max()) + 1 if sorter.track else 0
-        self.since = np.full(k, sorter.cap, dtype=sorter.width)  # least common prefix since a bucket's last arrival
-        self.fresh = np.ones(k, dtype=bool)
+        self.since = np.full(sorter.top + 1, sorter.cap, dtype=sorter.width)  # least common prefix since a bucket's last arrival
+        self.fresh = np.ones(sorter.top + 1, dtype=bool)
 
-    def source(self, suffixes: np.ndarray, shared: np.ndarray) -> None:
+    def source(self, suffixes: np.ndarray, shared: np.ndarray, own: bool = True) -> None:
         s = self.sorter
-        before = suffixes - 1
-        index = np.flatnonzero(before >= 0)
-        index = index[s.is_s[before[index]] == self.want_s]
-        if not s.track:
-            symbol = s.text[before[index]]
-            order = np.argsort(symbol, kind="stable")
-            self._push(symbol[order], before[index[order]], np.zeros(len(order), dtype=s.width))
-            return
+        index, symbol = _induced(s.text, suffixes, self.want_s, own)
         tail = np.minimum.accumulate(shared[::-1])[::-1]
         if not len(index):
             np.minimum(self.since, tail[0], out=self.since)
             return
-        symbol = s.text[before[index]]
         order = np.argsort(symbol, kind="stable")
         index, symbol = index[order], symbol[order]
         first = np.r_[True, symbol[1:] != symbol[:-1]]
@@ -242,14 +452,103 @@ class _Pass:
         np.minimum(self.since, tail[0], out=self.since)
         last = index[np.r_[first[1:], True]]
         self.since[heads] = np.where(last + 1 < len(shared), tail[np.minimum(last + 1, len(shared) - 1)], s.cap)
-        self._push(symbol, before[index], made)
+        self.queue.deal(symbol, suffixes[index] - 1, made)
+
+
+def _induced(text: np.ndarray, suffixes: np.ndarray, want_s: bool, own: bool | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the sources have a predecessor of the wanted type, its symbol).
 
-    def _push(self, symbol: np.ndarray, suffixes: np.ndarray, shared: np.ndarray) -> None:
-        if not len(symbol):
+    A suffix before an equal symbol has the type of that; own tells which sources are of the wanted type. Starred suffixes
+    follow a greater symbol, so on the way up equal ones may pass.
+    """
+    before = suffixes - 1
+    index = np.flatnonzero(before >= 0)
+    mine = text[suffixes[index]].astype(np.int64)
+    symbol = text[before[index]].astype(np.int64)
+    ok = (symbol < mine if want_s else symbol > mine) | ((symbol == mine) & (own if isinstance(own, bool) else own[index]))
+    return index[ok], symbol[ok]
+
+
+class _Wave:
+    """One direction over a text of many symbols: ranges of symbols that do not induce into one another go at once.
+
+    Keys are symbols on the way up, and symbols counted from the top on the way down.
+    """
+
+    def __init__(self, sorter: _Sorter, queue: BucketQueue, span: int, want_s: bool):
+        self.sorter, self.queue, self.span, self.want_s = sorter, queue, span, want_s
+        self.at_once = 64
+
+    def _key(self, symbols: np.ndarray) -> np.ndarray:
+        return self.sorter.top - symbols if self.want_s else symbols
+
+    def _made(self, suffixes: np.ndarray, own: bool | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(predecessors of the wanted type in order of their sources, their keys)."""
+        index, symbol = _induced(self.sorter.text, suffixes, self.want_s, own)
+        return suffixes[index] - 1, self._key(symbol)
+
+    def push(self, suffixes: np.ndarray) -> None:
+        self._send(*self._made(suffixes, True))
+
+    def _send(self, made: np.ndarray, key: np.ndarray) -> None:
+        bucket = (self.sorter.top - key if self.want_s else key) // self.span
+        order = np.argsort(bucket, kind="stable")
+        self.queue.deal(bucket[order], made[order], np.zeros(len(made), np.uint8))
+
+    def range(self, arrived: np.ndarray, fixed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(arrived entries, all entries) of one bucket in order: per symbol those that arrive, then the fixed ones."""
+        if not len(arrived) and not len(fixed):
             return
-        starts = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
-        for a, b in zip(starts, [*starts[1:], len(symbol)], strict=True):
-            self.queue.push(int(symbol[a]), suffixes[a:b], shared[a:b])
+        text = self.sorter.text
+        keyed = lambda s: self._key(text[s].astype(np.int64))
+        key = keyed(arrived)
+        order = np.argsort(key, kind="stable")
+        arrived, key, fixed_key = arrived[order], key[order], keyed(fixed)
+        bucket = int(text[(arrived if len(arrived) else fixed)[0]]) // self.span
+        last = self._key(bucket * self.span) if self.want_s else (bucket + 1) * self.span - 1  # the bucket's last key
+        a = f = 0
+        while a < len(arrived) or f < len(fixed):
+            w = self.at_once
+            now = int(min([*key[a : a + 1], *fixed_key[f : f + 1]]))
+            end = int(min([*key[a + w : a + w + 1], *fixed_key[f + w : f + w + 1], last + 1]))
+            end = now + 1 if w == 1 else max(end, now + 1)
+            b, g = int(np.searchsorted(key, end)), int(np.searchsorted(fixed_key, end))
+            mine = arrived[a:b]
+            order = np.argsort(np.concatenate([key[a:b], fixed_key[f:g]]), kind="stable")
+            both = np.concatenate([mine, fixed[f:g]])[order]
+            made, made_key = self._made(both, order < b - a)
+            if len(made) and made_key.min() < end:
+                if end > now + 1:
+                    self.at_once = max(1, min(w, b - a + g - f) // 2)
+                    continue
+                # One symbol that induces into itself: entries arrive in waves, before the fixed ones.
+                waves, more = [], mine
+                while len(more):
+                    waves.append(more)
+                    made, made_key = self._made(more, True)
+                    inner = made_key < end
+                    arrived, key = self._late(arrived, key, made[~inner], made_key[~inner], last)
+                    more = made[inner]
+                mine = np.concatenate(waves) if waves else mine
+                made, made_key = self._made(fixed[f:g], False)
+                both = np.concatenate([mine, fixed[f:g]])
+            else:
+                self.at_once = min(2 * w, self.sorter.disk.chunk)
+            arrived, key = self._late(arrived, key, made, made_key, last)
+            yield mine, both
+            a, f = b, g
+
+    def _late(self, arrived: np.ndarray, key: np.ndarray, made: np.ndarray, made_key: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Entries for this bucket go behind those of their symbol, others to their buckets."""
+        here = made_key <= last
+        if not here.all():
+            self._send(made[~here], made_key[~here])
+        if not here.any():
+            return arrived, key
+        order = np.argsort(made_key[here], kind="stable")
+        made, made_key = made[here][order], made_key[here][order]
+        at = np.searchsorted(key, made_key, side="right")
+        return np.insert(arrived, at, made), np.insert(key, at, made_key)
 
 
 def _range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -300,12 +599,28 @@ def _double(rank: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def sorted_suffixes(text: np.ndarray, cap: int, scratch: str | None = None, budget: int = BUDGET, base: int = BASE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The suffixes of text that start with one symbol, sorted, with the prefix each shares with the one before it, up to cap.
+def sorted_suffixes(pieces: np.ndarray | Iterable[np.ndarray], cap: int, scratch: str | None = None, budget: int = BUDGET, base: int = BASE, report: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The suffixes of a text from the greatest down, in chunks, with the prefix each shares with the one before it, up to cap.
 
-    Symbols come from the greatest down, so that nothing need wait for the whole order; within a symbol the order is
-    ascending and the first value is 0. A suffix that ends is smaller than one that goes on.
+    The text comes as an array of whole numbers from 0 up, or as pieces of one, which go to disk as they come. A suffix
+    that ends is smaller than one that goes on. Memory follows the budget, not the text. report, if given, receives the
+    number of levels of the recursion and of spills.
     """
     with tempfile.TemporaryDirectory(dir=scratch) as folder:
-        for _, lower, upper, shared in _Sorter(np.asarray(text), cap, folder, budget, base, True).buckets():
-            yield np.concatenate([lower, upper]), shared
+        disk, path, n, wide = Disk(folder, budget), os.path.join(folder, "text"), 0, False
+        with open(path, "wb") as out:
+            for piece in [pieces] if isinstance(pieces, np.ndarray) else pieces:
+                piece = piece.reshape(-1)
+                for a in range(0, len(piece), 8 * disk.chunk):
+                    part = piece[a : a + 8 * disk.chunk].astype(np.int64) + 1
+                    wide |= len(part) > 0 and int(part.max()) >= 1 << 16
+                    out.write((part.astype(np.int64) if wide else part.astype(np.uint16)).tobytes())
+                    if wide and n:
+                        raise ValueError("symbols beyond 65,534 must be met in the first piece")
+                    n += len(part)
+            out.write(bytes((cap + 8) * (8 if wide else 2)))
+        text = np.memmap(path, dtype=np.int64 if wide else np.uint16, mode="r+")
+        sorter = _Sorter(text, n, cap, disk, base)
+        yield from sorter.tracked()
+        if report is not None:
+            report.update(levels=sorter.levels, spills=sorter.spills)
