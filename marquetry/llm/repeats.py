@@ -46,8 +46,8 @@ NO_DOC = int(np.iinfo(np.int64).max)
 #: Stands for more than one text.
 SEVERAL = np.uint64((1 << 64) - 1)
 
-#: Rows that are copied at a time.
-ROWS = 1 << 14
+#: Rows that are copied at a time, and ranges of windows that are told apart by their common bytes.
+ROWS, PARTS = 1 << 14, 4
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -150,28 +150,29 @@ def _row_keys(rows: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return words, keys
 
 
-def _with_kin(contexts: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
-    """Which contexts, all different, may share a window with another: by the bytes that each half of the windows must hold.
+def _with_kin(contexts: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of each context, all different, may belong to a window that another holds too: (first, end), equal for none.
 
-    A window starts at most half of length - GRAM bytes before its anchor, and holds `right` bytes from there on; or it
-    starts further before and holds the anchor's gram and `left` bytes before it.
+    Windows are taken by where they start before the anchor, in PARTS ranges. All windows of a range hold its core: the
+    bytes from the range's nearest start to its farthest start's end. Only ranges whose core another context holds count.
     """
-    left = (length - GRAM) // 2
-    right = length - left + 1
-    out = np.zeros(len(contexts), dtype=bool)
-    for back, span, ok in ((left, left + GRAM, offsets >= left), (0, right, sizes - offsets >= right)):
-        at = np.flatnonzero(ok)
-        if not len(at):
+    edges = np.linspace(0, length - GRAM + 1, PARTS + 1).astype(np.int64)
+    near, far = np.full(len(contexts), length), np.full(len(contexts), -1)
+    for lo, hi in zip(edges[:-1].tolist(), (edges[1:] - 1).tolist(), strict=True):
+        at = np.flatnonzero((offsets >= lo) & (sizes - offsets >= length - hi))
+        if hi < lo or not len(at):
             continue
         keys = np.empty(len(at), dtype=np.uint64)
         for k in range(0, len(at), ROWS):
             part = at[k : k + ROWS]
-            place = np.minimum((offsets[part] - back)[:, None] + np.arange(span), contexts.shape[1] - 1)
+            place = (offsets[part] - lo)[:, None] + np.arange(length - hi + lo)
             keys[k : k + ROWS] = _row_keys(np.take_along_axis(contexts[part], place, axis=1))[1]
         order = np.argsort(keys)
         same = np.r_[False, keys[order][1:] == keys[order][:-1]]
-        out[at[order[same | np.r_[same[1:], False]]]] = True
-    return out
+        kin = at[order[same | np.r_[same[1:], False]]]
+        near[kin], far[kin] = np.minimum(near[kin], lo), np.maximum(far[kin], hi)
+    first = np.where(far < 0, 0, np.maximum(offsets - far, 0))
+    return first, np.where(far < 0, 0, np.minimum(offsets - near + length, sizes))
 
 
 class _Runs:
@@ -253,31 +254,30 @@ def repeated_starts(docs: np.ndarray, contexts: np.ndarray, sizes: np.ndarray, o
     out[order[later]] = every[order[later]]
 
     heads = order[first]
-    kin = heads[_with_kin(contexts[heads], sizes[heads], offsets[heads], length)]
-    column = np.arange(width + 1)
+    left, right = _with_kin(contexts[heads], sizes[heads], offsets[heads], length)
+    some = np.flatnonzero(right - left >= length)
+    kin, left, right = heads[some], left[some], right[some]
+    column = np.arange(width)
+    begins = np.cumsum(right - left + 1) - (right - left + 1)  # where each piece stands in the text
 
     def pieces() -> Iterator[np.ndarray]:
         for k in range(0, len(kin), ROWS):
-            part = kin[k : k + ROWS]
+            part, lo, hi = kin[k : k + ROWS], left[k : k + ROWS, None], right[k : k + ROWS, None]
             text = np.zeros((len(part), width + 1), dtype=np.uint16)
             text[:, :width] = contexts[part]
             text[:, :width] += 1
-            text[column >= sizes[part][:, None]] = 0
-            yield text
+            text[:, :width][column >= hi] = 0
+            yield text[(np.arange(width + 1) >= lo) & (np.arange(width + 1) <= hi)]  # each ends with a zero
 
-    runs, ends = _Runs(docs[kin], scratch), sizes[kin]
-    broken = True  # whether a suffix without a whole window came since the last one
+    runs = _Runs(docs[kin], scratch)
     for at, shared in sorted_suffixes(pieces(), length, scratch, budget):
-        row, start = at // (width + 1), at % (width + 1)
-        whole = start + length <= ends[row]
-        if not whole.any():
-            broken = True
-            continue
-        gap = np.cumsum(shared < length)
-        at_whole = np.flatnonzero(whole)
-        joins = np.r_[not broken and gap[at_whole[0]] == 0, gap[at_whole[1:]] == gap[at_whole[:-1]]]
-        runs.add(row[at_whole], start[at_whole], joins)
-        broken = bool(gap[-1] != gap[at_whole[-1]])
+        joins = shared >= length
+        use = joins | np.r_[joins[1:], True]  # the last may be joined by the next chunk
+        at, joins = at[use], joins[use]
+        row = np.searchsorted(begins, at, side="right") - 1
+        start = at - begins[row] + left[row]
+        whole = start + length <= right[row]  # of a run all or none
+        runs.add(row[whole], start[whole], joins[whole])
     runs.close()
     mask = np.zeros(m, dtype=np.uint64)
     mask[kin] = runs.mask

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Reduced texts up to this length are sorted by prefix doubling in memory, longer ones by another induction.
-BASE = 1 << 12
+BASE = 1 << 14
 BUDGET = 16 << 20
 #: Bytes of memory that one entry of a chunk stands for while it is worked on.
 ENTRY_BYTES = 512
@@ -439,7 +439,7 @@ class _Pass:
         if not len(index):
             np.minimum(self.since, tail[0], out=self.since)
             return
-        order = np.argsort(symbol, kind="stable")
+        order = np.argsort(symbol.astype(np.uint16) if s.top < 1 << 16 else symbol, kind="stable")  # two bytes go by radix
         index, symbol = index[order], symbol[order]
         first = np.r_[True, symbol[1:] != symbol[:-1]]
         low = np.where(first, 0, np.r_[0, index[:-1] + 1])
@@ -511,16 +511,26 @@ class _Wave:
             w = self.at_once
             now = int(min([*key[a : a + 1], *fixed_key[f : f + 1]]))
             end = int(min([*key[a + w : a + w + 1], *fixed_key[f + w : f + w + 1], last + 1]))
-            end = now + 1 if w == 1 else max(end, now + 1)
+            end = max(end, now + 1)
             b, g = int(np.searchsorted(key, end)), int(np.searchsorted(fixed_key, end))
             mine = arrived[a:b]
             order = np.argsort(np.concatenate([key[a:b], fixed_key[f:g]]), kind="stable")
             both = np.concatenate([mine, fixed[f:g]])[order]
             made, made_key = self._made(both, order < b - a)
-            if len(made) and made_key.min() < end:
-                if end > now + 1:
-                    self.at_once = max(1, min(w, b - a + g - f) // 2)
-                    continue
+            cut = int(made_key.min()) if len(made) else end
+            if now < cut < end:
+                # Below the least key that is induced all entries are known: those go, the others wait for what joins them.
+                end = cut
+                b, g = int(np.searchsorted(key, end)), int(np.searchsorted(fixed_key, end))
+                mine = arrived[a:b]
+                order = np.argsort(np.concatenate([key[a:b], fixed_key[f:g]]), kind="stable")
+                both = np.concatenate([mine, fixed[f:g]])[order]
+                made, made_key = self._made(both, order < b - a)
+                self.at_once = max(8, 2 * max(b - a, g - f))
+            elif cut == now:
+                end = now + 1
+                b, g = int(np.searchsorted(key, end)), int(np.searchsorted(fixed_key, end))
+                mine = arrived[a:b]
                 # One symbol that induces into itself: entries arrive in waves, before the fixed ones.
                 waves, more = [], mine
                 while len(more):
