@@ -33,11 +33,28 @@ PLACEHOLDERS = frozenset("changeme password secret token example placeholder und
 MIN_LITERAL = 8
 MIN_SCORE = 0.5
 
+#: Words of function names that read a value by the name they are given.
+READERS = frozenset("get getenv env environ read load fetch lookup find input open require".split())
+
 _NAME = r"[A-Za-z_$][\w$.-]*+"
-#: Assignments of source and configuration syntax: name, operator, then literals and names joined by `+`.
-_TARGET = re.compile(rf"""(?<![\w$.-])["']?({_NAME})["']?[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+""", re.ASCII)
-_TERM = re.compile(rf"""[rbuf]?"((?:[^"\\\n]|\\.)*+)"|[rbuf]?'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|({_NAME}(?![\w(+/=]))|([^\s"'`,;(){{}}\[\]]++)""", re.ASCII)
-_PLUS = re.compile(r"[\x20\t]*+\+[\x20\t]*+")
+#: Left sides of source and configuration syntax: a name, perhaps a subscript or the type declared for it, and an operator;
+#: or an element's tag; or a call that sets what its name says.
+_TARGET = re.compile(
+    rf"""(?<![\w$.-])["']?({_NAME})["']?(?:\[[\x20\t]*+["']([^"'\]\n]++)["'][\x20\t]*+\])?[\x20\t]*+"""
+    r"""(?::=|=>|=(?!=)|:[\x20\t]*+[&*]?[A-Za-z_][\w.&*<>\[\],|?\x20]{0,60}?[\x20\t]?=(?![=>])|:(?![:/=]))[\x20\t]*+"""
+    rf"""|<({_NAME})(?:\x20[^<>\n]*+)?>(?=[^<>]*+</)|(?<![A-Za-z])(?:set|with|put)_?({_NAME})[\x20\t]*+\((?=[\x20\t]*+["'`])""",
+    re.ASCII,
+)
+_STRING = re.compile(
+    r'''[rbufRBUF]{0,2}(?:"""((?:[^"\\]|\\.|"(?!""))*+)"""|\'\'\'((?:[^'\\]|\\.|'(?!\'\'))*+)\'\'\'|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)''', re.DOTALL
+)
+_REFERENCE = re.compile(rf"({_NAME})(?![\w+/=])", re.ASCII)
+_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++""")
+_BLANK = re.compile(r"(?:[\x20\t]|\\\n)*+")
+_SPACE = re.compile(r"(?:\s|#[^\n]*+\n|//[^\n]*+\n)*+")
+_LINE = re.compile(r"\n\s*+(?=[rbuf]{0,2}[\"'`])")
+_BLOCK = re.compile(r"[|>][+-]?[\x20\t]*+\n")
+MAX_NESTING = 16
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 Span = tuple[int, int, str]
@@ -78,41 +95,172 @@ def literal_strength(value: str) -> float:
     return min(1.0, bits * len(value) / 24 * min(1.0, bits / 2.5))
 
 
+Pieces = list[tuple[int, int]]
+
+
+class _Lexer:
+    """Reads right sides of assignments: strings, references, brackets, calls, bare words and block scalars."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.known: dict[str, list[tuple[int, Pieces]]] = {}  # by name: (indentation, literals), inner scopes last
+
+    def assigned(self, name: str, indent: int, pieces: Pieces) -> None:
+        """A name's value from here on, until the text goes back to a smaller indentation."""
+        scopes = self.known.setdefault(name, [])
+        while scopes and scopes[-1][0] >= indent:
+            scopes.pop()
+        scopes.append((indent, pieces))
+
+    def resolved(self, name: str, indent: int) -> Pieces | None:
+        scopes = self.known.get(name)
+        while scopes and scopes[-1][0] > indent:
+            scopes.pop()
+        return scopes[-1][1] if scopes else None
+
+    def string(self, pos: int) -> tuple[Pieces, int] | None:
+        if not (m := _STRING.match(self.text, pos)):
+            return None
+        k = m.lastindex
+        a, b = m.span(k)
+        if k < 3 and "\n" in m[k]:
+            return self.lines(a, b), m.end()
+        return [(a, b)], m.end()
+
+    def lines(self, a: int, b: int) -> Pieces:
+        """The lines from a to b that could be a secret or a part of it: those of one word."""
+        out = []
+        for line in re.finditer(r"[^\n]+", self.text[a:b]):
+            word = line[0].strip()
+            if word and not re.search(r"\s", word):
+                at = a + line.start() + line[0].index(word)
+                out.append((at, at + len(word)))
+        return out
+
+    def block(self, pos: int, indent: int) -> tuple[Pieces, int]:
+        """A block scalar: the lines that follow with a deeper indentation."""
+        start = end = pos
+        while end < len(self.text):
+            stop = self.text.find("\n", end)
+            stop = len(self.text) if stop < 0 else stop
+            line = self.text[end:stop]
+            if line.strip() and len(line) - len(line.lstrip()) <= indent:
+                break
+            end = min(stop + 1, len(self.text))
+        return self.lines(start, end), end
+
+    def value(self, pos: int, indent: int, nested: int = 0) -> tuple[Pieces, int] | None:
+        """(literals, end) of an expression: operands joined by `+`, or side by side within brackets. None if it is none."""
+        text, out, gap, read = self.text, [], _SPACE if nested else _BLANK, False
+        while pos < len(text):
+            got = self.operand(pos, indent, nested, bool(read))
+            if got is None:
+                break
+            out += got[0]
+            pos, read = got[1], True
+            after = gap.match(text, pos).end()
+            if text[after : after + 1] == "+" and text[after : after + 2] != "+=":
+                pos = gap.match(text, after + 1).end()
+            elif nested and _STRING.match(text, after):
+                pos = after
+            else:
+                break
+        return (out, pos) if read else None
+
+    def operand(self, pos: int, indent: int, nested: int, more: bool) -> tuple[Pieces, int] | None:
+        text = self.text
+        if got := self.string(pos):
+            return got
+        if text[pos] in "([" and nested < MAX_NESTING:
+            return self.items(pos + 1, ")" if text[pos] == "(" else "]", indent, nested + 1)
+        if m := _REFERENCE.match(text, pos):
+            name, end = m[1], m.end()
+            if text[end : end + 1] == "(" and nested < MAX_NESTING:
+                return self.call(name, end + 1, indent, nested + 1)
+            found = self.resolved(name, indent)
+            if found is not None:
+                return found, end
+            if nested or more or "." in name or not any(c.isdigit() for c in name):
+                return [], end  # a reference to what is not known here
+            return [m.span(1)], end
+        if not nested and not more and (m := _BARE.match(text, pos)):
+            return [m.span()], m.end()
+        return None
+
+    def items(self, pos: int, close: str, indent: int, nested: int) -> tuple[Pieces, int] | None:
+        """Values between commas up to the closing bracket; None if anything else stands there."""
+        text, out = self.text, []
+        while True:
+            pos = _SPACE.match(text, pos).end()
+            if pos >= len(text):
+                return None
+            if text[pos] == close:
+                return out, pos + 1
+            got = self.value(pos, indent, nested)
+            if got is None:
+                return None
+            out += got[0]
+            pos = _SPACE.match(text, got[1]).end()
+            if text[pos : pos + 1] == ",":
+                pos += 1
+            elif text[pos : pos + 1] != close:
+                return None
+
+    def call(self, name: str, pos: int, indent: int, nested: int) -> tuple[Pieces, int] | None:
+        """A call's arguments count, but for the name that a reading function is given first."""
+        first = _SPACE.match(self.text, pos).end()
+        key = self.string(first)
+        got = self.items(pos, ")", indent, nested)
+        if got is None:
+            return None
+        words = {p.lower() for p in _WORD.findall(name)}
+        pieces = [p for p in got[0] if p not in key[0]] if key and words & READERS else got[0]
+        return pieces, got[1]
+
+
 def literal_spans(text: str) -> list[tuple[Span, float]]:
     """Spans of literals that sensitive names receive, directly or through constants, with their scores.
 
-    Lines are lexed into name-literal pairs. A right side is literals and names joined by `+`; a name stands for the
-    literals last assigned to it above. Each literal of a resolved right side gets the target's weight times the strength
-    of the whole value.
+    The text is lexed into name-literal pairs. A left side is a name, quoted or not, a subscript, a declared type or an
+    element; a right side is strings (also of several lines), names and calls, joined or in brackets, bare words, and
+    block scalars. A name stands for the literals last assigned to it above at no deeper indentation. Each literal of a right
+    side gets the target's weight times the strength of the whole value; in a list each literal counts for itself.
     """
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "<" not in text and "(" not in text:
         return []
-    known: dict[str, list[tuple[int, int]]] = {}
+    lexer = _Lexer(text)
     scores: dict[tuple[int, int], float] = {}
-    at = 0
+    at = line = 0
     while m := _TARGET.search(text, at):
         at = pos = m.end()
-        pieces: list[tuple[int, int]] = []
-        while t := _TERM.match(text, pos):
-            k = t.lastindex
-            if k is None:
-                break
-            if k == 4:
-                pieces += known.get(t[4]) or ([] if "." in t[4] or t[4] in known else [t.span(4)])
-            else:
-                pieces.append(t.span(k))
-            at = pos = t.end()
-            if not (p := _PLUS.match(text, pos)):
-                break
-            pos = p.end()
-        if not pieces:
+        line = text.rfind("\n", 0, m.start()) + 1 if "\n" in text[line : m.start()] else line
+        indent = _BLANK.match(text, line).end() - line
+        name = m[2] or m[1] or m[3] or m[4]
+        listed = False
+        if m[3]:
+            end = text.find("<", pos)
+            inner = text[pos:end].strip()
+            got = ([(pos + text[pos:end].index(inner), pos + text[pos:end].index(inner) + len(inner))], end) if inner and text.startswith(f"</{m[3]}>", end) else None
+        elif m[4]:
+            got = lexer.items(pos, ")", indent, 1)
+        elif block := _BLOCK.match(text, pos):
+            got = lexer.block(block.end(), indent)
+        else:
+            if jump := _LINE.match(text, pos):
+                pos = jump.end()
+            listed = text[pos : pos + 1] == "["
+            got = lexer.value(pos, indent)
+        if got is None:
             continue
-        known[m[1]] = pieces
-        if weight := name_weight(m[1]):
-            score = weight * literal_strength("".join(text[a:b] for a, b in pieces))
-            for piece in pieces:
-                if score > scores.get(piece, 0.0) and piece[1] > piece[0]:
-                    scores[piece] = score
+        pieces, at = got[0], max(at, got[1])
+        if m[1] and not m[2]:
+            lexer.assigned(m[1], indent, pieces)
+        if pieces and (weight := name_weight(name)):
+            whole = literal_strength("".join(text[a:b] for a, b in pieces))
+            for a, b in pieces:
+                score = weight * (literal_strength(text[a:b]) if listed else whole)
+                if score > scores.get((a, b), 0.0) and b > a:
+                    scores[a, b] = score
     return [((a, b, "literal"), s) for (a, b), s in sorted(scores.items())]
 
 

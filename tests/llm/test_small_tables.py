@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -520,9 +521,56 @@ def test_secret_lexer():
     assert secrets.scan_text("é password=abcdefgh")[0] == [(2, 19, "assign")]
 
 
+SECRET, OTHER = "Zx81kQpL99aaBBcc", "q7Rt_55mNoP0x2Vw"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f'os.environ["DB_PASSWORD"] = "{SECRET}"', [SECRET]),
+        (f"config['api_token'] = '{SECRET}'", [SECRET]),
+        (f'password: str = "{SECRET}"', [SECRET]),
+        (f'const authKey: string = "{SECRET}";', [SECRET]),
+        (f'let private_key: &str = "{SECRET}";', [SECRET]),
+        (f'client_secret = """{SECRET}"""', [SECRET]),
+        (f'client_secret = """\n  {SECRET}\n  {OTHER}\n"""', [SECRET, OTHER]),
+        (f'secret_key = ("{SECRET}")', [SECRET]),
+        (f'secret_key = ("{SECRET[:8]}"\n    "{SECRET[8:]}")', [SECRET[:8], SECRET[8:]]),
+        (f'auth_tokens = ["{SECRET}",\n  "{OTHER}"]', [SECRET, OTHER]),
+        (f"private-key: |\n  {SECRET}\n  {OTHER}\nname: harmless9876text", [SECRET, OTHER]),
+        (f"a:\n  private-key: >-\n    {SECRET}\n  other: {OTHER}\n", [SECRET]),
+        (f'signing_key =\n    "{SECRET}"', [SECRET]),
+        (f"<db-password>{SECRET}</db-password>", [SECRET]),
+        (f'conn.setPassword("{SECRET}")', [SECRET]),
+        (f'{{"client_secret": "{SECRET}", "name": "{OTHER}"}}', [SECRET]),
+        (f'db_pwd = os.getenv("DB_PWD_VARIABLE1", "{SECRET}")', [SECRET]),
+        ('db_pwd = os.getenv("DB_PWD_VARIABLE1")', []),
+        (f'access_key = base64.b64decode("{SECRET}")', [SECRET]),
+        (f'connect(host="x", password="{SECRET}")', [SECRET]),
+        (f'KEY = "{SECRET}"\ndef f():\n    KEY = "{OTHER}"\nprivate_key = KEY', [SECRET]),
+        (f'KEY = "{SECRET}"\ndef f():\n    KEY = "{OTHER}"\n    private_key = KEY', [OTHER]),
+        (f"auth_key={SECRET}", [SECRET]),
+        ("private_key = load_settings(path)\nname = 1", []),
+        ("password = settings.database_password_1", []),
+        ("the secret: nobody knows anything about it", []),
+        ("don't = can't; it's a token of thanks", []),
+        (f'title = "{SECRET}"', []),
+    ],
+)
+def test_secret_lexer_reads_syntax(text, want):
+    assert [text[a:b] for (a, b, _), s in secrets.literal_spans(text) if s >= secrets.MIN_SCORE] == want
+
+
 def test_secret_lexer_is_linear():
-    secrets.scan_text("a" * 200_000 + "=" + "b" * 200_000 + " : " * 50_000)
-    secrets.scan_text("token " * 50_000)
+    """Twice the text takes about twice the time, for texts that invite it to read ahead again and again."""
+    for unit in ("a" * 999 + "=", "token ", "a=(b=[", 'x = """ ', "password: |\n", "<key>", "k = f(", "a = b\n  c = a + a\n", "x: y " * 9 + "= "):
+        times = []
+        for n in (60_000, 240_000):
+            text = unit * (n // len(unit))
+            began = time.process_time()
+            secrets.scan_text(text)
+            times.append(time.process_time() - began)
+        assert times[1] < 10 * times[0] + 0.3, unit
 
 
 @pytest.mark.parametrize(
