@@ -86,15 +86,21 @@ def license_sql() -> str:
     for k, (label, text) in enumerate(licenses.TEMPLATES):
         t = sorted(set(text.split()))
         need = max(1, math.ceil(licenses.THRESHOLD * len(t) - 1e-9))
-        templates.append(f"({k}, {_text(label)}, {_list(t)}, {len(t)}, {need})")
+        span = math.ceil(len(text.split()) / licenses.THRESHOLD - 1e-9)
+        templates.append(f"({k}, {_text(label)}, {_list(t)}, {len(t)}, {need}, {span})")
     return f"""
 with d as (select doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as t from documents),
 w as (select doc_id, regexp_extract_all(t, '{gap}') as words from d),
 spots as ({" union all ".join(spots)}),
 base as (select doc_id, count(*) as n_base, min(place)::bigint as first_word, max(place)::bigint as last_word from spots group by doc_id),
 blocks as (select doc_id, list_distinct(regexp_extract_all(line, '{gap}')) as b from (select doc_id, unnest(string_split(t, chr(10))) as line from d)),
-templates(k, label, words, size, need) as (values {", ".join(templates)}),
-met as (select doc_id, label, len(list_intersect(b, templates.words)) / size::double as share from blocks cross join templates where len(b) >= need and len(list_intersect(b, templates.words)) >= need),
+templates(k, label, words, size, need, span) as (values {", ".join(templates)}),
+able as (select w.doc_id, w.words, k from w join d using (doc_id) cross join templates where contains(t, chr(10)) and len(list_intersect(w.words, templates.words)) >= need),
+places as (select doc_id, words, k, unnest(range(1, len(words) + 1)) as i from able),
+stretches as (select doc_id, label, size, need, len(list_intersect(list_distinct(p.words[i:i + span - 1]), templates.words)) as n from places p join templates using (k)),
+met as (
+  select doc_id, label, len(list_intersect(b, templates.words)) / size::double as share from blocks cross join templates where len(b) >= need and len(list_intersect(b, templates.words)) >= need
+  union all select doc_id, label, n / size::double from stretches where n >= need),
 labels as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from spots union select doc_id, label from met) group by doc_id),
 base_labels as (select doc_id, string_agg(distinct label, ',' order by label) as base_labels from spots group by doc_id),
 shares as (select doc_id, max(share) as share from met group by doc_id)

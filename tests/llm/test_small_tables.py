@@ -103,10 +103,11 @@ def test_license_scan(docs, rows, none):
         at = [i for p, _ in licenses.PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
         labels = {label for p, label in licenses.PHRASES if any(words[i : i + len(p.split())] == p.split() for i in range(len(words)))}
         own, score = set(labels), 1.0 if at else 0.0
-        for block in low.split("\n"):
-            held = set(word.findall(block))
-            for label, template in licenses.TEMPLATES:
-                t = set(template.split())
+        for label, template in licenses.TEMPLATES:
+            t, span = set(template.split()), -(-len(template.split()) * 5 // 4)
+            stretches = [words[i : i + span] for i in range(len(words))] if "\n" in low and len(t & set(words)) >= 0.8 * len(t) else []
+            for block in [word.findall(line) for line in low.split("\n")] + stretches:
+                held = set(block)
                 share = len(t & held) / len(t)
                 if share >= licenses.THRESHOLD - 1e-9:
                     own.add(label)
@@ -157,6 +158,32 @@ def test_license_templates_are_found_across_lines(spark):
     assert (got[len(want)]["labels"], got[len(want)]["score"]) == ("", 0.0)
 
 
+def test_license_index_takes_many_templates(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(400)]
+    templates = tuple((f"label{k}", " ".join(rng.sample(vocabulary, rng.randint(3, 14)))) for k in range(500))
+    rows = []
+    for k in range(60):
+        words = rng.choice(templates)[1].split()
+        rng.shuffle(words)
+        drop = rng.randint(0, 2)
+        lines = [" ".join(rng.sample(vocabulary, 6)), " ".join(words[drop:] + rng.sample(vocabulary, rng.randint(0, 30)))]
+        rows.append((k, "\n".join(lines) if k % 2 else lines[1]))
+    got = {r["doc_id"]: r for r in collected(licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), templates))}
+    for k, text in rows:
+        words, want, score = text.split(), set(), 0.0
+        for label, template in templates:
+            t, span = set(template.split()), -(-len(template.split()) * 5 // 4)
+            blocks = [x.split() for x in text.split("\n")] + ([words[i : i + span] for i in range(len(words))] if "\n" in text else [])
+            share = max(len(t & set(b)) / len(t) for b in blocks)
+            if share >= 0.8 - 1e-9:
+                want.add(label)
+                score = max(score, share)
+        assert got[k]["labels"] == ",".join(sorted(want))
+        assert got[k]["score"] == pytest.approx(score)
+    assert licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), ()).where("labels <> ''").count() == 0
+
+
 def test_sharding(docs, rows, none):
     got = collected(sharding.shard_by_bytes(docs, 4))
     assert len(got) == len(rows)
