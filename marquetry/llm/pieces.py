@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ SPACE = "▁"
 BATCH_CHARS = 2 << 20
 INDEX_BYTES = 1 << 17
 KNOWN_WORDS = 500_000
-#: Words of more symbols are merged one at a time by a heap, not in rounds over all words.
+#: Words of more symbols keep their edges in a heap, others relax one each in rounds over all words: the same edges, the same order.
 LONG = 192
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -36,14 +37,62 @@ class Pieces:
     dummy_prefix: bool = True
 
 
-def load_pieces(path: str, unigram: bool = False) -> Pieces:
-    """Read a model file on the driver; the vocabulary then travels with the tasks."""
-    import sentencepiece
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a message's fields: whole numbers and byte strings; fixed-width values as bytes."""
+    at = 0
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    n = sp.get_piece_size()
-    kind = lambda i: "b" if sp.is_byte(i) else "u" if sp.is_unknown(i) else "c" if sp.is_control(i) or sp.is_unused(i) else "n"
-    return Pieces(tuple(sp.id_to_piece(i) for i in range(n)), tuple(sp.get_score(i) for i in range(n)), "".join(kind(i) for i in range(n)), sp.unk_id(), unigram)
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+            continue
+        size = {1: 8, 5: 4}.get(tag & 7) or number()
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+#: Fixed values of the model file: field numbers, and the kinds of models and pieces.
+_PIECE, _TRAINER, _NORMALIZER = 1, 2, 3
+_MODELS = {1: "unigram", 2: "bpe", 3: "word", 4: "char"}
+_KINDS = {1: "n", 2: "u", 3: "c", 4: "d", 5: "c", 6: "b"}
+
+
+def load_pieces(path: str) -> Pieces:
+    """Read a model file on the driver; the vocabulary then travels with the tasks.
+
+    The file says how it segments (byte pairs or unigrams) and whether texts get a mark in front. Models that change the
+    text in other ways, segment by words or characters or declare symbols of the user's are refused.
+    """
+    with open(path, "rb") as file:
+        fields = list(_fields(file.read()))
+    trainer = dict(kv for k, v in fields if k == _TRAINER for kv in _fields(v))
+    normalizer = dict(kv for k, v in fields if k == _NORMALIZER for kv in _fields(v))
+    pieces = [dict(_fields(v)) for k, v in fields if k == _PIECE]
+    kinds = "".join(_KINDS[p.get(3, 1)] for p in pieces)
+    model = _MODELS[trainer.get(3, 1)]
+    refused = {
+        f"model of kind {model}": model not in ("unigram", "bpe"),
+        "character map": bool(normalizer.get(2)),
+        "removal of spaces": bool(normalizer.get(4, 1)),
+        "spaces that stay as they are": not normalizer.get(5, 1),
+        "marks behind words": bool(trainer.get(24, 0)),
+        "symbols of the user's": "d" in kinds,
+    }
+    if any(refused.values()):
+        raise ValueError(f"{path}: not supported: {', '.join(k for k, bad in refused.items() if bad)}")
+    scores = tuple(struct.unpack("<f", p.get(2, bytes(4)))[0] for p in pieces)
+    return Pieces(tuple(p[1].decode() for p in pieces), scores, kinds, kinds.index("u"), model == "unigram", bool(normalizer.get(3, 1)))
 
 
 class _Numbered(dict):
@@ -196,7 +245,7 @@ class Codec:
         done = []
         alone = symbols[unit] > LONG
         for u in np.flatnonzero(symbols > LONG).tolist():
-            done.append(self._merge_long(buffer, at[unit == u], int(end[u])))
+            done.append(self._merge_long(table, width, at[unit == u], int(end[u])))
         at, stop, unit, ids = at[~alone], stop[~alone], unit[~alone], ids[~alone]
 
         def pair_ids(k: np.ndarray) -> np.ndarray:
@@ -234,33 +283,33 @@ class Codec:
         order = np.argsort(at, kind="stable")
         return at[order], stop[order], ids[order]
 
-    def _merge_long(self, buffer: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, ...]:
+    def _merge_long(self, table: np.ndarray, width: int, at: np.ndarray, end: int) -> tuple[np.ndarray, ...]:
+        """The same edges in the same order for one long unit: a heap keeps them, where a round each would pass over all symbols."""
         n = len(at)
-        stop = np.r_[at[1:], end]
-        chars = [buffer[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at, stop, strict=True)]
+        begin, stop = at.tolist(), [*at[1:].tolist(), end]
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap: list[tuple[float, int, str]] = []
+        ids = [int(table[a * width + b - a]) if b - a < width else -1 for a, b in zip(begin, stop, strict=True)]
+        heap: list[tuple[float, int, int]] = []
 
         def offer(k: int) -> None:
-            if k >= 0 and (m := after[k]) >= 0 and (i := self.ids.get(made := chars[k] + chars[m])) is not None:
-                heapq.heappush(heap, (-self.pieces.scores[i], k, made))
+            if k >= 0 and (m := after[k]) >= 0 and (size := stop[m] - begin[k]) < width and (i := int(table[begin[k] * width + size])) >= 0:
+                heapq.heappush(heap, (-self.pieces.scores[i], k, stop[m]))
 
         for k in range(n - 1):
             offer(k)
         while heap:
-            _, k, made = heapq.heappop(heap)
+            _, k, goal = heapq.heappop(heap)
             m = after[k]
-            if m < 0 or not chars[k] or chars[k] + chars[m] != made:
+            if m < 0 or stop[k] < 0 or stop[m] != goal:
                 continue
-            chars[k], chars[m] = made, ""
+            ids[k], stop[k], stop[m] = int(table[begin[k] * width + goal - begin[k]]), goal, -1
             after[k] = after[m]
             if after[m] >= 0:
                 before[after[m]] = k
             offer(before[k])
             offer(k)
-        kept = [k for k in range(n) if chars[k]]
-        first = at[kept]
-        return first, np.r_[first[1:], end], np.array([self.ids.get(chars[k], -1) for k in kept], dtype=np.int32)
+        kept = [k for k in range(n) if stop[k] >= 0]
+        return at[kept], np.array([stop[k] for k in kept], dtype=np.int64), np.array([ids[k] for k in kept], dtype=np.int32)
 
     def _shortest(self, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, matched: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         """Unigram order: edges are relaxed by position for the path of greatest total score; a lone character may be unknown."""
@@ -364,7 +413,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", check: bool
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """Add the text of each row's ids; null for null."""
+    """Add the text of each row's ids as text_col, in place of a column of that name; null for null. An empty table stays empty."""
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

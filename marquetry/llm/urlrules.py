@@ -1,4 +1,8 @@
-"""URL filters: pattern rules indexed by their rarest literal token; only rules fetched by a URL's tokens run their expression."""
+"""URL filters: pattern rules indexed by their rarest literal token; only rules fetched by a URL's tokens run their expression.
+
+Tokens are runs of letters and digits. A rule stands under the token that the fewest URLs hold; a token that may be part of a
+longer one in a URL stands by its first or last EDGE characters.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[0-9A-Za-z]+")
+EDGE = 4
+#: Rules that a table may hold: each task gets them all (about 1 kB each, compiled).
+MAX_RULES = 200_000
 
 
 @dataclass(frozen=True)
@@ -64,33 +71,49 @@ def _expression(rule: HostRule | PatternRule) -> str:
     return ".*?" + "".join(parts.get(c, re.escape(c)) for c in rule.pattern)
 
 
-def _whole_tokens(rule: HostRule | PatternRule) -> set[str]:
-    """Tokens that each fitting URL holds as whole tokens: those with a literal separator on both sides."""
+def _keys(rule: HostRule | PatternRule) -> set[str]:
+    """Keys that each fitting URL has: whole tokens, and edges of those with a literal separator on one side only."""
     if isinstance(rule, HostRule):  # host labels are whole; a path's last token may be a mere prefix
-        return {t.lower() for t in TOKEN.findall(rule.host)} | {m[0].lower() for m in TOKEN.finditer(rule.path) if m.end() < len(rule.path) and m.start()}
-    text = rule.pattern
-    sided = lambda k: 0 <= k < len(text) and text[k] != "*"
-    return {m[0].lower() for m in TOKEN.finditer(text) if sided(m.start() - 1) and sided(m.end())}
+        found = {t.lower() for t in TOKEN.findall(rule.host)}
+        spots, text, open_start = list(TOKEN.finditer(rule.path)), rule.path, False
+    else:
+        found, spots, text, open_start = set(), list(TOKEN.finditer(rule.pattern)), rule.pattern, True
+    for m in spots:
+        left = text[m.start() - 1] != "*" if m.start() else not open_start and not isinstance(rule, HostRule)
+        right = m.end() < len(text) and text[m.end()] != "*"
+        token = m[0].lower()
+        if left and right:
+            found.add(token)
+        elif left and len(token) >= EDGE:
+            found.add(token[:EDGE] + ">")
+        elif right and len(token) >= EDGE:
+            found.add("<" + token[-EDGE:])
+    return found
+
+
+def url_keys(address: str) -> set[str]:
+    """The keys under which rules for host + path may stand."""
+    tokens = {t.lower() for t in TOKEN.findall(address)}
+    return tokens | {t[:EDGE] + ">" for t in tokens} | {"<" + t[-EDGE:] for t in tokens}
 
 
 class RuleIndex:
-    """Rules under their rarest whole token (by count over all rules, then text); rules without one are always candidates."""
+    """Rules under their rarest key (by the URLs that hold it, then by rules, then text); rules without one are always candidates."""
 
-    def __init__(self, rules: Iterable[HostRule | PatternRule]):
+    def __init__(self, rules: Iterable[HostRule | PatternRule], urls: dict[str, int] | None = None):
         self.rules = list(rules)
         self.compiled = [re.compile(_expression(r), re.DOTALL) for r in self.rules]
-        tokens = [_whole_tokens(r) for r in self.rules]
-        count = Counter(t for own in tokens for t in own)
-        self.always = [k for k, own in enumerate(tokens) if not own]
-        self.by_token: dict[str, list[int]] = {}
-        for k, own in enumerate(tokens):
+        keys = [_keys(r) for r in self.rules]
+        count, urls = Counter(t for own in keys for t in own), urls or {}
+        self.always = [k for k, own in enumerate(keys) if not own]
+        self.by_key: dict[str, list[int]] = {}
+        for k, own in enumerate(keys):
             if own:
-                self.by_token.setdefault(min(own, key=lambda t: (count[t], t)), []).append(k)
+                self.by_key.setdefault(min(own, key=lambda t: (urls.get(t, 0), count[t], t)), []).append(k)
 
     def fitting(self, address: str) -> Iterator[HostRule | PatternRule]:
         """Rules that fit host + path; their expressions run for candidates only."""
-        seen = {t.lower() for t in TOKEN.findall(address)}
-        for k in self.always + [k for t in seen for k in self.by_token.get(t, ())]:
+        for k in self.always + [k for t in url_keys(address) for k in self.by_key.get(t, ())]:
             if self.compiled[k].match(address):
                 yield self.rules[k]
 
@@ -120,14 +143,45 @@ def judge_url(url: str | None, hosts: RuleIndex, patterns: RuleIndex) -> tuple[s
     return host, path, None, "allow"
 
 
+def read_rules(table: DataFrame) -> tuple[list[HostRule], list[PatternRule]]:
+    """Rules of a table (verdict, host, path, pattern): host rules where pattern is null. Their number is checked first."""
+    n = table.count()
+    if n > MAX_RULES:
+        raise ValueError(f"{n} rules; at most {MAX_RULES} go to every task")
+    hosts, patterns = [], []
+    for r in table.select("verdict", "host", "path", "pattern").toLocalIterator():
+        if r["verdict"] not in ("allow", "block"):
+            raise ValueError(f"verdict {r['verdict']!r}")
+        if r["pattern"] is None:
+            hosts.append(HostRule(r["verdict"], r["host"] or "", r["path"] or ""))
+        else:
+            patterns.append(PatternRule(r["verdict"], r["pattern"]))
+    return hosts, patterns
+
+
+def key_counts(pages: DataFrame, rules: Iterable[HostRule | PatternRule], url_col: str = "url") -> dict[str, int]:
+    """How many URLs hold each key of the rules; the keys of rules, no others, are counted and reach the driver."""
+    wanted = sorted({t for r in rules for t in _keys(r)})
+    if not wanted:
+        return {}
+    address = F.regexp_extract(F.substring_index(F.col(url_col), "://", -1), r"^[^?#]*", 0)
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(address), F.lit("([0-9a-z]+)")))
+    edges = F.concat(tokens, F.transform(tokens, lambda t: F.concat(F.left(t, F.lit(EDGE)), F.lit(">"))), F.transform(tokens, lambda t: F.concat(F.lit("<"), F.right(t, F.lit(EDGE)))))
+    held = pages.select(F.explode(F.array_distinct(edges)).alias("key")).where(F.col("key").isin(wanted))
+    return {r[0]: r[1] for r in held.groupBy("key").count().toLocalIterator()}
+
+
 def url_filter(pages: DataFrame, host_rules: Iterable[HostRule] = HOST_RULES, pattern_rules: Iterable[PatternRule] = PATTERN_RULES, url_col: str = "url") -> DataFrame:
     """Judge each URL; adds host, path, rule (null where the verdict is a pattern's or the default) and verdict.
 
     Null URLs and those without `://` have an empty host and path, fit no host rule and so get the patterns' verdict
-    or `allow`. Rows are judged one by one, in Arrow batches, without a shuffle; columns of pages that bear these
+    or `allow`. One pass counts in how many URLs the rules' keys occur; then rows are judged one by one, in Arrow batches,
+    without a shuffle, so long, empty and repeated URLs need no care; columns of pages that bear these
     names are replaced. An empty table gives an empty result.
     """
-    hosts, patterns = RuleIndex(host_rules), RuleIndex(pattern_rules)
+    host_rules, pattern_rules = list(host_rules), list(pattern_rules)
+    counts = key_counts(pages, [*host_rules, *pattern_rules], url_col)
+    hosts, patterns = RuleIndex(host_rules, counts), RuleIndex(pattern_rules, counts)
 
     @F.pandas_udf("struct<host:string,path:string,rule:string,verdict:string>")
     def judged(urls: pd.Series) -> pd.DataFrame:

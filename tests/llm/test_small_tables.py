@@ -633,10 +633,27 @@ def test_url_index_loses_no_rule():
         assert set(index.fitting(host + path)) == want
 
 
+def test_url_patterns_lose_no_rule():
+    rng = random.Random(4)
+    parts = ["casino", "ads", "track", "er", "x", "/", "^", "*", "-", "."]
+    rules = [urlrules.PatternRule("block", "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))) for _ in range(300)]
+    counts = {t: rng.randint(0, 9) for r in rules for t in urlrules._keys(r)}
+    index = urlrules.RuleIndex(rules, counts)
+    assert len(index.always) < len(rules)
+    expressions = [re.compile("".join({"*": ".*", "^": r"(?:[^0-9A-Za-z_.%-]|\Z)"}.get(c, re.escape(c)) for c in r.pattern), re.DOTALL) for r in rules]
+    for _ in range(400):
+        address = "".join(rng.choice(["casino", "CASINO", "ads", "track", "er", "x", "/", "-", ".", "?"]) for _ in range(rng.randint(1, 9)))
+        assert {r.pattern for r in index.fitting(address)} == {r.pattern for r, e in zip(rules, expressions, strict=True) if e.search(address)}
+
+
 def test_url_filter_frame(spark):
-    frame = spark.createDataFrame([(1, "http://a.com/en/1", "old"), (None, None, "old")], "page_id long, url string, verdict string")
-    assert sorted(map(str, (r["verdict"] for r in urlrules.url_filter(frame).collect()))) == ["allow", "block"]
+    frame = spark.createDataFrame([(1, "http://a.com/en/1", "old"), (None, None, "old"), (2, "", "old"), (2, "", "old"), (3, "http://x.org/" + "a/" * 50_000 + "casino", "old")], "page_id long, url string, verdict string")
+    assert sorted(map(str, (r["verdict"] for r in urlrules.url_filter(frame).collect()))) == ["allow", "allow", "allow", "block", "block"]
     assert urlrules.url_filter(frame.limit(0)).count() == 0
+    rules = spark.createDataFrame([("allow", "a.com", "/en/", None), ("block", None, None, "x.org^")], "verdict string, host string, path string, pattern string")
+    hosts, patterns = urlrules.read_rules(rules)
+    got = collected(urlrules.url_filter(frame, hosts, patterns))
+    assert sorted((r["page_id"] or 0, r["rule"], r["verdict"]) for r in got if r["page_id"] != 2) == [(0, None, "allow"), (1, "a.com/en/", "allow"), (3, None, "block")]
 
 
 def test_top_k(spark):
@@ -657,6 +674,13 @@ def test_top_k(spark):
     assert topk.top_k(frame.limit(0), frame["vec_id"] % 50 == 0).count() == 0
 
 
+def test_top_k_with_repeated_ids(spark):
+    frame = spark.createDataFrame([(0, [1.0]), (0, [5.0]), (3, [2.0]), (7, [-1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(frame, frame["vec_id"] == 0).collect())
+    one, five = 256 * 256, 5 * 256 * 256
+    assert got == sorted([(0, 1, 0, five), (0, 2, 3, 2 * one), (0, 3, 7, -one), (0, 1, 3, 2 * five), (0, 2, 0, five), (0, 3, 7, -five)])
+
+
 def test_top_k_with_few_rows(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<double>")
     got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(frame, frame["vec_id"] == 0).collect())
@@ -676,6 +700,28 @@ def test_pieces_equal_the_library(rows):
         assert codec.decode(ids.tolist()) == (text or "").replace("▁", " ")
 
 
+def test_pieces_of_texts_without_spaces():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    codec, rng = pieces.Codec(pieces.load_pieces(PIECES)), random.Random(7)
+    every = ["".join(rng.choice("的一是不了人我在有他这为之大来以个中上们") for _ in range(3000)), "0123456789abcdef" * 300, "https://" + "a-b/" * 400]
+    for text, ids in zip(every, codec.encode(every), strict=True):
+        assert ids.tolist() == sp.encode(text)
+
+
+def test_pieces_refuse_what_they_cannot_encode(tmp_path):
+    with open(PIECES, "rb") as file:
+        body = file.read()
+    (tmp_path / "unigram.model").write_bytes(body + bytes([0x12, 2, 0x18, 1]))  # a later field wins: model kind 1
+    assert pieces.load_pieces(str(tmp_path / "unigram.model")).unigram and not pieces.load_pieces(PIECES).unigram
+    (tmp_path / "word.model").write_bytes(body + bytes([0x12, 2, 0x18, 3]))
+    (tmp_path / "spaces.model").write_bytes(body + bytes([0x1A, 2, 0x20, 1]))
+    for name in ("word", "spaces"):
+        with pytest.raises(ValueError, match="not supported"):
+            pieces.load_pieces(str(tmp_path / f"{name}.model"))
+
+
 def test_pieces_unigram_takes_the_best_path():
     rng = random.Random(8)
     alphabet = "abc"
