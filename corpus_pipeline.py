@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquetry.llm import jaccard, packing, quality, repeats, secrets
-from marquetry.llm.common import materialize
+from marquetry.llm.common import discard, materialize
 
 
 # Every stage takes tables with nulls in any column, repeated rows and keys, empty tables and further columns, which it
@@ -74,7 +74,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each written as Parquet in the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)  # nothing reads the stage before the last any more
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

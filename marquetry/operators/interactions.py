@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marquetry.functions.contracts import ContractError, assert_contract, exclusion_reason, is_missing_id, is_valid_id, playtime_rule, positive_zero
 from marquetry.functions.scalars import observed_confidence
+from marquetry.operators import prefix
 
 KEYS = ("user_id", "item_id")
 PLAY = ("playtime_forever", "playtime_2weeks")
@@ -76,10 +77,10 @@ def distribution(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
     """One row: count, sum, zero count, min, linear quantiles, max and mean."""
     c = F.col(column).cast("double")
     quantiles = [("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)]
-    cuts = F.percentile(c, F.array(*[F.lit(q) for _, q in quantiles]))
-    out = df.agg(F.count(c).alias("n"), F.sum(c).alias("total"), F.count_if(c == 0).alias("zero_count"), F.min(c).alias("least"), F.max(c).alias("most"), F.avg(c).alias("mean"), cuts.alias("_q"))
+    cuts = F.broadcast(prefix.quantiles(df, column, dict(quantiles)))  # one row
+    out = df.agg(F.count(c).alias("n"), F.sum(c).alias("total"), F.count_if(c == 0).alias("zero_count"), F.min(c).alias("least"), F.max(c).alias("most"), F.avg(c).alias("mean")).crossJoin(cuts)
     rounded = lambda x: F.round(x, digits)
-    return out.select("n", rounded(F.col("total")).alias("total"), "zero_count", "least", *[rounded(F.col("_q")[k]).alias(name) for k, (name, _) in enumerate(quantiles)], "most", rounded(F.col("mean")).alias("mean"))
+    return out.select("n", rounded(F.col("total")).alias("total"), "zero_count", "least", *[rounded(F.col(name)).alias(name) for name, _ in quantiles], "most", rounded(F.col("mean")).alias("mean"))
 
 
 def storage_bytes(edges: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def confidence(edges: DataFrame, alpha_o: float, alpha_p: float, tau: float) ->
 
 def deciles(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
     """Buckets by quantile edges of the values (right-closed, equal edges merged), so equal values share a bucket."""
-    edges = df.agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(k / buckets) for k in range(buckets + 1)])).alias("_edges"))
+    edges = prefix.quantiles(df, column, {f"q{k}": k / buckets for k in range(buckets + 1)}).select(F.array(*[f"q{k}" for k in range(buckets + 1)]).alias("_edges"))
     cuts = F.array_sort(F.array_distinct(F.col("_edges")))
     placed = df.crossJoin(F.broadcast(edges.select(cuts.alias("_edges"))))  # one row of `buckets` + 1 numbers
     above = F.aggregate("_edges", F.lit(0), lambda n, e: n + F.when(e < F.col(column), F.lit(1)).otherwise(F.lit(0)))

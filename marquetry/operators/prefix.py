@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,3 +24,35 @@ def running_sums(df: DataFrame, order: Column, sums: dict[str, str], before: boo
     out = ranged.join(F.broadcast(starts), "_range")  # one row per range
     made = {n: F.col(f"_s_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}
     return out.withColumns(made).drop("_range", *[f"_s_{n}" for n in sums])
+
+
+def running_sums_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+    """`running_sums` that start anew in each group, of columns that are not negative: a group of any size is dealt over ranges.
+
+    Groups and order together must tell rows apart; group columns must not be null.
+    """
+    keys = [F.col(g) for g in groups]
+    out = running_sums(df, F.struct(*keys, *[o.alias(f"_o{k}") for k, o in enumerate(order)]), sums)
+    firsts = out.groupBy(*groups).agg(*[F.min(F.col(n) - F.col(c)).alias(f"_f_{n}") for n, c in sums.items()])
+    out = out.join(firsts, list(groups))
+    return out.withColumns({n: F.col(n) - F.col(f"_f_{n}") for n in sums}).drop(*[f"_f_{n}" for n in sums])
+
+
+def nth_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str = "_nth") -> DataFrame:
+    """df with each row's number in its group, from 1."""
+    return running_sums_within(df.withColumn("_one", F.lit(1).cast("long")), groups, order, {name: "_one"}).drop("_one")
+
+
+def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row of exact linear quantiles (name: share) of a column's values that are not null; null for none.
+
+    Values are counted by level and levels summed up by ranges, so that no task sees the whole column.
+    """
+    levels = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    levels = running_sums(levels, F.col("_v"), {"_upto": "_n"})
+    total = F.broadcast(levels.agg(F.sum("_n").alias("_all")))  # one row
+    at = {n: F.lit(float(q)) * (F.col("_all") - 1) for n, q in shares.items()}
+    value = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_v")))
+    ends = levels.crossJoin(total).groupBy("_all").agg(*[value(F.floor(p)).alias(f"_a{k}") for k, p in enumerate(at.values())], *[value(F.ceil(p)).alias(f"_b{k}") for k, p in enumerate(at.values())])
+    made = [(F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * (p - F.floor(p))).alias(n) for k, (n, p) in enumerate(at.items())]
+    return ends.select(*made).groupBy().agg(*[F.max(n).alias(n) for n in shares])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquetry.operators.prefix import running_sums
+from marquetry.operators.prefix import running_sums, running_sums_within
 
 
 def size_costs(cost: float | Sequence[float], sizes: Sequence[int]) -> list[float]:
@@ -61,12 +61,15 @@ def choice_shares(panel: DataFrame, prices: Sequence[float], sizes: Sequence[int
 def price_scan(values: DataFrame, by: Sequence[str], value: str, cost: float = 0.0, users: int | None = None) -> DataFrame:
     """Per group the best price at an observed value: by, price, buyers, profit per user; nulls and 0 for no sale.
 
-    Values are counted by level first, so a tied block is never split and the window runs over distinct levels. Ties of
+    Values are counted by level first, so a tied block is never split; levels are summed up by ranges, so a large group is dealt out. Ties of
     profit go to the smallest price. `users` is the panel's size, or the group's rows.
     """
     levels = values.groupBy(*by, F.col(value).alias("price")).agg(F.count("*").alias("_n"))
-    above = Window.partitionBy(*by).orderBy(F.desc("price")).rowsBetween(Window.unboundedPreceding, 0)
-    levels = levels.withColumn("buyers", F.sum("_n").over(above)).withColumn("_users", F.lit(users) if users else F.sum("_n").over(Window.partitionBy(*by)))
+    levels = running_sums_within(levels, by, [-F.col("price")], {"buyers": "_n"})
+    if users:
+        levels = levels.withColumn("_users", F.lit(users))
+    else:
+        levels = levels.join(values.groupBy(*by).agg(F.count("*").alias("_users")), list(by))
     levels = levels.withColumn("profit", (F.col("price") - F.lit(float(cost))) * F.col("buyers") / F.col("_users"))
     best = levels.groupBy(*by).agg(F.max_by(F.struct("price", "buyers", "profit"), F.struct("profit", -F.col("price"))).alias("_b"))
     sold = F.col("_b.profit") > 0

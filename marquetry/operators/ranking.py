@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 
 from marquetry.functions.contracts import assert_contract, is_finite
 from marquetry.functions.scalars import expected_ndcg, expected_rank, expected_recall
-from marquetry.operators.prefix import running_sums
+from marquetry.operators.prefix import quantiles, running_sums
+from marquetry.sources.scratch import saver
 
 KS = (10, 20)
+#: Items of consecutive ranks that users are joined to at once.
+STEP = 64
+#: Bytes of item factors that each task may get a copy of, and users of a block beyond that.
 MAX_CATALOGUE_BYTES = 256 << 20
+USERS_PER_BLOCK = 4096
 
 
 def candidates(users: DataFrame, catalogue: DataFrame, *excluded: DataFrame) -> DataFrame:
@@ -45,18 +50,20 @@ def tie_counts(scores: DataFrame, targets: DataFrame) -> DataFrame:
 def item_score_ties(item_scores: DataFrame, targets: DataFrame, excluded: DataFrame) -> DataFrame:
     """`tie_counts` where a score depends on the item alone, without user-item pairs.
 
-    item_scores: item_id, score over the whole catalogue; targets: user_id, target_item_id; excluded: user_id, item_id that
-    are no candidates of the user (training items and other held-out ones, not the target). The catalogue is reduced to one
-    row per distinct score, with counts above; each user then subtracts what it excludes. The work follows edges.
+    item_scores: item_id, score over the whole catalogue; targets: user_id, target_item_id, any number per user; excluded:
+    user_id, item_id that are no candidates of the user (training items and other held-out ones; a target itself is always one).
+    The catalogue is reduced to one row per distinct score, with counts above; each user then subtracts what it excludes. The
+    work follows edges, times the targets of a user.
     """
     levels = item_scores.groupBy("score").agg(F.count("*").alias("_at"))
     levels = running_sums(levels, F.desc("score"), {"_above": "_at"}, before=True)
     scored = item_scores.select("item_id", "score")
     own = targets.join(scored.withColumnRenamed("item_id", "target_item_id"), "target_item_id").join(levels, "score")
-    lost = excluded.select("user_id", "item_id").join(scored, "item_id").withColumnRenamed("score", "_lost").select("user_id", "_lost")
+    lost = excluded.select("user_id", "item_id").join(scored, "item_id").withColumnRenamed("score", "_lost").select("user_id", "item_id", "_lost")
     own = own.withColumnRenamed("score", "_target").select("user_id", "target_item_id", "_target", "_at", "_above")
-    lost = lost.join(own.select("user_id", "_target"), "user_id").groupBy("user_id").agg(F.count_if(F.col("_lost") > F.col("_target")).alias("_lost_above"), F.count_if(F.col("_lost") == F.col("_target")).alias("_lost_at"))
-    out = own.join(lost, "user_id", "left")
+    lost = lost.join(own.select("user_id", "target_item_id", "_target"), "user_id").where("item_id <> target_item_id").groupBy("user_id", "target_item_id")
+    lost = lost.agg(F.count_if(F.col("_lost") > F.col("_target")).alias("_lost_above"), F.count_if(F.col("_lost") == F.col("_target")).alias("_lost_at"))
+    out = own.join(lost, ["user_id", "target_item_id"], "left")
     return out.select("user_id", "target_item_id", (F.col("_above") - F.coalesce("_lost_above", F.lit(0))).alias("strictly_above"), (F.col("_at") - F.coalesce("_lost_at", F.lit(0))).alias("tied_block_size"))
 
 
@@ -84,14 +91,19 @@ def top_k_inclusion(scores: DataFrame, k: int, user: str = "user_id") -> DataFra
 def item_top_k_inclusion(item_scores: DataFrame, users: DataFrame, excluded: DataFrame, k: int) -> DataFrame:
     """`top_k_inclusion` where a score depends on the item alone: (user_id, item_id, inclusion) without all pairs.
 
-    A user needs only the k + (its exclusions) best items and their ties, so the catalogue's head is cut there first.
+    A user needs only the k + (its own exclusions) best items and the ties of the last of them. Items are numbered by
+    falling score and users meet them by steps of STEP numbers, so the pairs made follow k and each user's own edges.
     """
-    most = excluded.groupBy("user_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    ranked = item_scores.orderBy(F.desc("score"), "item_id").limit(k + most)
-    floor = ranked.agg(F.min("score").alias("_floor"))
-    head = item_scores.crossJoin(F.broadcast(floor)).where(F.col("score") >= F.col("_floor")).select("item_id", "score")  # one row
-    pairs = users.select("user_id").crossJoin(F.broadcast(head)).join(excluded.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return top_k_inclusion(pairs, k)
+    ranked = running_sums(item_scores.select("item_id", "score").withColumn("_one", F.lit(1).cast("long")), F.struct((-F.col("score")).alias("_o"), "item_id"), {"_nth": "_one"}).drop("_one")
+    ends = ranked.groupBy("score").agg(F.max("_nth").alias("_end"))
+    ranked = saver(ranked.sparkSession)(ranked.join(ends, "score"))
+    n = ranked.count()
+    owned = excluded.groupBy("user_id").agg(F.count("*").alias("_own"))
+    need = users.select("user_id").distinct().join(owned, "user_id", "left").withColumn("_nth", F.least(F.coalesce("_own", F.lit(0)) + k, F.lit(n)))
+    need = need.join(ranked.select("_nth", "_end"), "_nth").select("user_id", "_end", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"_end div {STEP}"))).alias("_step"))
+    heads = ranked.withColumn("_step", F.expr(f"_nth div {STEP}")).select("item_id", "score", "_nth", "_step")
+    pairs = need.join(heads, "_step").where("_nth <= _end").select("user_id", "item_id", "score")
+    return top_k_inclusion(pairs.join(excluded.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"), k)
 
 
 def expected_coverage(inclusion: DataFrame, n_items: int) -> DataFrame:
@@ -109,19 +121,19 @@ def concentration(inclusion: DataFrame, top_items: DataFrame) -> DataFrame:
 def factor_tie_counts(users: DataFrame, items: DataFrame, targets: DataFrame, excluded: DataFrame, k: int = 20) -> DataFrame:
     """Tie counts of factor scores by dense blocks: user_id, target_item_id, strictly_above, tied_block_size, shown (k items).
 
-    users: user_id, vec; items: item_id, vec and optional bias, the whole catalogue, whose size is checked before each task
-    gets a copy. Scores are single-precision products; exact equality counts as a tie, also inside one block only, as the sums
-    of a row are the same in every block. Users are dealt by id; no user-item pair is ever a row.
+    users: user_id, vec; items: item_id, vec and optional bias, the whole catalogue. Up to MAX_CATALOGUE_BYTES, each task gets a
+    copy and scores its users by one product; larger catalogues are dealt into blocks (`_counts_by_blocks`). Scores are
+    single-precision; exact equality counts as a tie. No user-item pair is ever a row. One target per user.
     """
     n, width = items.count(), len(items.select("vec").first()[0])
-    if n * width * 4 > MAX_CATALOGUE_BYTES:
-        raise ValueError(f"a catalogue of {n} x {width} floats is beyond {MAX_CATALOGUE_BYTES} bytes; score it by item blocks with tie_counts")
     columns = ["item_id", "vec"] + ["bias"] * ("bias" in items.columns)
+    hidden = excluded.groupBy("user_id").agg(F.collect_set("item_id").alias("hidden"))  # a user's own edges
+    rows = users.join(targets, "user_id").join(hidden, "user_id", "left").select("user_id", "vec", "target_item_id", "hidden")
+    if n * width * 4 > MAX_CATALOGUE_BYTES:
+        return _counts_by_blocks(rows, items.select(*columns), k, -(-n * width * 4 // MAX_CATALOGUE_BYTES))
     local = items.select(*columns).orderBy("item_id").toPandas()
     ids, matrix = local["item_id"].to_numpy(), np.stack(local["vec"]).astype(np.float32)
     bias = local["bias"].to_numpy(dtype=np.float32) if "bias" in local else np.zeros(n, np.float32)
-    hidden = excluded.groupBy("user_id").agg(F.collect_set("item_id").alias("hidden"))
-    rows = users.join(targets, "user_id").join(hidden, "user_id", "left").select("user_id", "vec", "target_item_id", "hidden")
 
     def count(batches):
         for batch in batches:
@@ -135,13 +147,83 @@ def factor_tie_counts(users: DataFrame, items: DataFrame, targets: DataFrame, ex
                         at = np.searchsorted(ids, hide)
                         at = at[(at < n) & (ids[np.minimum(at, n - 1)] == hide) & (at != mine)]
                         scores[at] = -np.inf
-                    shown = np.argsort(-scores, kind="stable")[:k]
+                    top = np.argpartition(-scores, min(k, n - 1))[:k] if k < n else np.arange(n)
+                    at_least = np.flatnonzero(scores >= scores[top].min())  # with the ties of the last place
+                    shown = at_least[np.argsort(-scores[at_least], kind="stable")][:k]
                     out.append((user, target, int((scores > scores[mine]).sum()), int((scores == scores[mine]).sum()), ids[shown].tolist()))
             yield pd.DataFrame(out, columns=["user_id", "target_item_id", "strictly_above", "tied_block_size", "shown"])
 
     return rows.mapInPandas(count, "user_id long, target_item_id long, strictly_above long, tied_block_size long, shown array<long>")
 
 
+def _scored(users: np.ndarray, items: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Single-precision scores, summed factor by factor: the same bits whatever block an item stands in."""
+    out = np.zeros((len(users), len(items)), dtype=np.float32)
+    for f in range(users.shape[1]):
+        out += users[:, f, None] * items[None, :, f]
+    return out + bias
+
+
+def _counts_by_blocks(rows: DataFrame, items: DataFrame, k: int, blocks: int) -> DataFrame:
+    """`factor_tie_counts` for a catalogue of any size: items and users in blocks, each pair of blocks one task.
+
+    A user's row carries its target's score, worked out alone in the same order of sums. A block returns counts and its k best;
+    both are merged by user.
+    """
+    if "bias" not in items.columns:
+        items = items.withColumn("bias", F.lit(0.0).cast("float"))
+    save = saver(items.sparkSession)
+    target = items.select(F.col("item_id").alias("target_item_id"), F.col("vec").alias("_vec"), F.col("bias").alias("_bias"))
+
+    @F.pandas_udf("float")
+    def own(vec: pd.Series, other: pd.Series, bias: pd.Series) -> pd.Series:
+        if not len(vec):
+            return pd.Series([], dtype=np.float32)
+        a, b = np.stack(vec).astype(np.float32), np.stack(other).astype(np.float32)
+        out = np.zeros(len(a), dtype=np.float32)
+        for f in range(a.shape[1]):
+            out += a[:, f] * b[:, f]
+        return pd.Series(out + bias.to_numpy(dtype=np.float32))
+
+    aimed = save(rows.join(target, "target_item_id").withColumn("mine", own("vec", "_vec", "_bias")).drop("_vec", "_bias"))
+    parts = max(1, aimed.count() // USERS_PER_BLOCK)
+    asked = aimed.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1))))
+    held = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(int(blocks))).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def count(users: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
+        columns = ["user_id", "target_item_id", "above", "tied", "best"]
+        if not len(users) or not len(pool):
+            return pd.DataFrame(columns=columns)
+        pool = pool.sort_values("item_id", ignore_index=True)
+        ids, matrix, bias = pool["item_id"].to_numpy(), np.stack(pool["vec"]).astype(np.float32), pool["bias"].to_numpy(dtype=np.float32)
+        out = []
+        for a in range(0, len(users), 128):
+            part = users.iloc[a : a + 128]
+            for scores, user, aim, mine, hide in zip(_scored(np.stack(part["vec"]).astype(np.float32), matrix, bias), part["user_id"], part["target_item_id"], part["mine"], part["hidden"], strict=True):
+                if hide is not None and len(hide):
+                    scores[np.isin(ids, hide) & (ids != aim)] = -np.inf
+                best = np.argsort(-scores, kind="stable")[:k]
+                out.append((user, aim, int((scores > mine).sum()), int((scores == mine).sum()), [{"score": -float(scores[x]), "item": int(ids[x])} for x in best]))
+        return pd.DataFrame(out, columns=columns)
+
+    each = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(count, "user_id long, target_item_id long, above long, tied long, best array<struct<score:double,item:long>>")
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)  # k for each block of items
+    merged = each.groupBy("user_id", "target_item_id").agg(F.sum("above").alias("strictly_above"), F.sum("tied").alias("tied_block_size"), best.alias("_best"))
+    return merged.select("user_id", "target_item_id", "strictly_above", "tied_block_size", F.transform("_best", lambda x: x["item"]).alias("shown"))
+
+
+def plain_metrics(counts: DataFrame, candidates: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
+    """hit_at_k (the target is among the first k whatever the order of ties) and auc (ties count half) of tie counts.
+
+    candidates: user_id, candidates, the number of items a user's target is ranked among, itself included.
+    """
+    last = F.col("strictly_above") + F.col("tied_block_size")
+    out = counts.join(candidates.select("user_id", "candidates"), "user_id")
+    below = F.col("candidates") - last + (F.col("tied_block_size") - 1) / 2
+    out = out.withColumn("auc", F.when(F.col("candidates") > 1, below / (F.col("candidates") - 1)))
+    return out.withColumns({f"hit_at_{k}": (last <= k).cast("int") for k in ks})
+
+
 def within_user_midrank(scores: DataFrame, user: str = "user_id", score: str = "score") -> DataFrame:
     """(lower + half of equal ones) / n of each score within its user."""
     w = Window.partitionBy(user)
@@ -159,10 +241,9 @@ def user_zscore(scores: DataFrame, user: str = "user_id", score: str = "score")
 
 def global_parameters(scores: DataFrame, score: str = "score") -> DataFrame:
     """One row of exact global parameters: min, linear quantiles and count."""
-    names = ("global_q05", "global_q25", "global_median", "global_q75", "global_q95")
-    cuts = F.percentile(F.col(score), F.array(*[F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    out = scores.agg(F.min(score).alias("global_min"), cuts.alias("_q"), F.count(score).alias("sample_count"))
-    return out.select("global_min", *[F.col("_q")[k].alias(n) for k, n in enumerate(names)], "sample_count")
+    shares = {"global_q05": 0.05, "global_q25": 0.25, "global_median": 0.5, "global_q75": 0.75, "global_q95": 0.95}
+    out = scores.agg(F.min(score).alias("global_min"), F.count(score).alias("sample_count")).crossJoin(F.broadcast(quantiles(scores, score, shares)))  # one row each
+    return out.select("global_min", *shares, "sample_count")
 
 
 def masked(score: Column, is_candidate: Column, fill: float = float("-inf")) -> Column:

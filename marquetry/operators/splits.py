@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marquetry.functions.contracts import ContractError, assert_contract
 from marquetry.functions.hashing import canonical_json_bytes, id_json, json_string, stable_hash
 from marquetry.functions.scalars import activity_band
+from marquetry.operators.prefix import nth_within, running_sums
 
 BANDS = (5, 10, 25, 50, 100, 200)
 
@@ -27,8 +28,8 @@ def outer_split(activity: DataFrame, bands: Sequence[int] = BANDS, assessment: s
     hashed = F.when(F.col("activity_band") >= 0, stable_hash(namespace, F.col("activity_band").cast("string"), id_json(F.col("user_id")))).otherwise(F.lit(""))
     rows = rows.withColumn("assignment_hash", hashed)
     sizes = rows.groupBy("activity_band").agg(F.count("*").alias("_size"))
-    nth = F.row_number().over(Window.partitionBy("activity_band").orderBy("assignment_hash", "user_id"))
-    rows = rows.withColumn("_nth", nth).join(F.broadcast(sizes), "activity_band")  # one row per band
+    rows = nth_within(rows, ["activity_band"], [F.col("assignment_hash"), F.col("user_id")])  # a band may hold most users
+    rows = rows.join(F.broadcast(sizes), "activity_band")  # one row per band
     wanted = F.expr(f"(_size * {share.numerator}) div {share.denominator}")
     split = F.when(F.col("activity_band") < 0, "excluded_low_activity").when(F.col("_nth") <= wanted, "assessment").otherwise("design")
     return rows.select("user_id", "raw_ownership_count", "activity_band", split.alias("split"), "assignment_hash")
@@ -53,8 +54,7 @@ def hamilton_quotas(counts: DataFrame, stratum: str, target: int, within: Sequen
 def take_quotas(rows: DataFrame, strata: Sequence[str], quotas: DataFrame, hashed: Column, key: str) -> DataFrame:
     """The first `quota` rows of each stratum in hash order, with selection_hash and quota."""
     rows = rows.join(quotas.select(*strata, "quota"), list(strata)).withColumn("selection_hash", hashed)
-    nth = F.row_number().over(Window.partitionBy(*strata).orderBy("selection_hash", key))
-    return rows.withColumn("_nth", nth).where(F.col("_nth") <= F.col("quota")).drop("_nth")
+    return nth_within(rows, strata, [F.col("selection_hash"), F.col(key)]).where(F.col("_nth") <= F.col("quota")).drop("_nth")
 
 
 def evaluation_sample(users: DataFrame, size: int, namespace: str = "evaluation-sample") -> DataFrame:
@@ -188,3 +188,9 @@ def driver_quotas(counts: dict, target: int) -> dict:
     for k in sorted(counts, key=lambda k: (-(target * counts[k] % total), canonical_json_bytes(k)))[:spare] if total else ():
         quotas[k] += 1
     return quotas
+
+
+def numbered(ids: DataFrame, key: str, name: str) -> DataFrame:
+    """Distinct ids with a number from 0 in their order."""
+    ones = ids.select(key).distinct().withColumn("_one", F.lit(1).cast("long"))
+    return running_sums(ones, F.col(key), {name: "_one"}, before=True).drop("_one")

@@ -6,11 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquetry.functions.scalars import clip_rate, logistic, logit, normal_cdf, probit
-from marquetry.operators.prefix import running_sums
+from marquetry.operators.prefix import running_sums, running_sums_within
 
 
 def gram(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[np.ndarray, np.ndarray, float, float, int]:
@@ -89,14 +89,15 @@ def aggregate_calibration(items: DataFrame, n_users: int, link: str = "probit")
 def group_quantiles(scores: DataFrame, rates: DataFrame, key: str = "item_id", score: str = "score") -> DataFrame:
     """(key, quantile): per group the linear quantile of scores at 1 - rate, which differs by group.
 
-    rates: key, rate. The two neighbours are picked by row number, so no group is collected.
+    rates: key, rate. Scores are counted by level and summed up by ranges; the two neighbours are picked by their numbers, so no
+    group is collected or sorted in one task.
     """
-    order = Window.partitionBy(key).orderBy(score)
-    n = F.count("*").over(Window.partitionBy(key))
-    rows = scores.select(key, score, F.row_number().over(order).alias("_k"), n.alias("_n")).join(rates.select(key, "rate"), key)
-    rows = rows.withColumn("_at", (1 - F.col("rate")) * (F.col("_n") - 1))
+    levels = scores.groupBy(key, score).agg(F.count("*").alias("_m"))
+    levels = running_sums_within(levels, [key], [F.col(score)], {"_upto": "_m"})
+    sizes = scores.groupBy(key).agg(F.count("*").alias("_n")).join(rates.select(key, "rate"), key)
+    rows = levels.join(sizes.select(key, ((1 - F.col("rate")) * (F.col("_n") - 1)).alias("_at")), key)
     low = F.floor("_at") + 1
-    ends = rows.where((F.col("_k") == low) | (F.col("_k") == low + 1)).groupBy(key).agg(F.min(F.when(F.col("_k") == low, F.col(score))).alias("_a"), F.min(F.when(F.col("_k") == low + 1, F.col(score))).alias("_b"), F.first("_at").alias("_at"))
+    ends = rows.groupBy(key, "_at").agg(F.min(F.when(F.col("_upto") >= low, F.col(score))).alias("_a"), F.min(F.when(F.col("_upto") >= low + 1, F.col(score))).alias("_b"))
     return ends.select(key, (F.col("_a") + (F.coalesce("_b", "_a") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias("quantile"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from marquetry.functions import hashing, scalars
 from marquetry.operators import bundles, composition, evaluation, features, interactions, models, pricing, ranking, splits, statistics, sweeps
-from marquetry.plans import evaluate, tables
+from marquetry.plans import evaluate, orchestrate, tables
 from marquetry.plans.evaluate import rounded
 from marquetry.plans.tables import BUNDLES_SQL, EDGES_SQL, NESTED_SQL, OUTER_SQL, PANEL_SQL, RAW_SQL, hash_sql, id_sql
-from marquetry.sources.scratch import saver
+from marquetry.sources.scratch import saver, shared_folder
 
 FLAGSHIP = "popularity_leaderboard"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -707,6 +708,156 @@ def literal_records(spark, d):
     return rows.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.count("*").alias("items"), F.max("playtime_forever").alias("most"))
 
 
+@query("select p_partkey as item_id, p_name, round(p_retailprice, 2) as price from part")
+def csv_parts(spark, d):
+    """Parts written as CSV with a header to the shared folder and read back under a schema."""
+    from marquetry.sources import files
+
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    tables.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), "p_name", F.round("p_retailprice", 2).alias("price")).write.option("header", True).csv(path)
+    return files.read_csv(spark, path, "item_id long, p_name string, price double")
+
+
+@query("select s_suppkey, s_name, s_nationkey from supplier")
+def published_suppliers(spark, d):
+    """Suppliers published with a manifest and loaded again, rows and digest checked."""
+    from marquetry.sources import files
+
+    folder = f"{shared_folder(spark)}/artefact-{uuid.uuid4().hex}"
+    files.publish(spark, folder, {"suppliers": tables.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")})
+    return files.load_published(spark, folder, "suppliers")
+
+
+@query("select key, count(*) as rows from (select unnest(case when c_custkey % 3 = 0 then ['k', 'n'] when c_custkey % 3 = 1 then ['k', 'n', 'b'] else ['k'] end) as key from customer) group by 1")
+def json_keys(spark, d):
+    """Top-level keys of customers written as JSON of differing fields."""
+    from marquetry.sources import files
+
+    k = F.col("c_custkey")
+    body = F.to_json(F.struct(k.alias("k"), F.when(k % 3 < 2, F.col("c_nationkey")).alias("n"), F.when(k % 3 == 1, F.col("c_acctbal")).alias("b")))
+    return files.keys_of_json(tables.table(spark, d, "customer").select(body.alias("body")), "body")
+
+
+@query(f"with {EDGES_SQL} select count(*) as records, 0::bigint as empty_records, sum(n)::bigint as raw_rows, sum(n)::bigint as edges, count(*) as users, (select count(distinct item_id) from edges) as items, 0::bigint as duplicate_excess from (select user_id, count(*) as n from edges group by 1)")
+def library_diagnostics(spark, d):
+    """Counts of nested library records made of the edges."""
+    item = F.struct(F.col("item_id").cast("string").alias("item_id"), "playtime_forever", "playtime_2weeks")
+    records = tables.edges(spark, d).groupBy("user_id").agg(F.collect_list(item).alias("items"))
+    return interactions.source_diagnostics(records.select(F.col("user_id").cast("string").alias("user_id"), F.lit(None).cast("string").alias("steam_id"), "items"))
+
+
+@query(
+    f"""with t as (select {_BAD_USER} as u, {_BAD_ITEM} as i, l_quantity, l_extendedprice from orders join lineitem on o_orderkey = l_orderkey),
+g as (select u::bigint as user_id, i::bigint as item_id, l_quantity, l_extendedprice from t where {_VALID.format("u")} and {_VALID.format("i")})
+select user_id, item_id, max(l_quantity)::double as playtime_forever, max(l_extendedprice)::double as playtime_2weeks from g group by 1, 2"""
+)
+def loaded_edges(spark, d):
+    """Canonical edges of the rows whose ids are valid, from text with ids spoilt by rule."""
+    rows = tables.raw(spark, d)
+    key, u, i = F.col("l_orderkey"), F.col("user_id").cast("string"), F.col("item_id").cast("string")
+    user = F.when((key % 97 == 0) & (F.col("l_linenumber") == 1), "").when(key % 89 == 0, F.concat(F.lit("0"), u)).when(key % 83 == 0, F.lit(None)).when(key % 61 == 0, F.concat(u, F.lit(".0"))).otherwise(u)
+    item = F.when(key % 79 == 0, "").when(key % 73 == 0, F.concat(F.lit("x"), i)).when(key % 71 == 0, "9223372036854775808").otherwise(i)
+    return interactions.load_interactions(rows.select(user.alias("user_id"), item.alias("item_id"), "playtime_forever", "playtime_2weeks"))[0]
+
+
+@query(f"with {EDGES_SQL} select e.user_id, e.item_id, e.playtime_forever from edges e where user_id in (select c_custkey from customer where c_nationkey < 5) and item_id in (select p_partkey from part where p_size <= 10)")
+def sliced_edges(spark, d):
+    users = tables.table(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("user_id"))
+    items = tables.table(spark, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("item_id"))
+    return interactions.slice_edges(tables.edges(spark, d), users, items).select("user_id", "item_id", "playtime_forever")
+
+
+@query(f"select c_custkey from customer order by {hash_sql('user-sample', id_sql('c_custkey'))}, c_custkey limit 100")
+def hashed_customers(spark, d):
+    """A seeded sample of 100 customers that does not depend on the order of rows."""
+    return splits.hashed_sample(tables.table(spark, d, "customer").select("c_custkey"), "c_custkey", 100)
+
+
+@query(f"with {_CHOICE_SQL}, r as (select coalesce(size, 0)::int as size from users u left join picks p on p.user_id = u.user_id) select size, count(*) as users, round(count(*) / (select count(*) from r)::double, 6) as share from r group by 1")
+def choice_shares(spark, d):
+    return rounded(pricing.choice_shares(tables.panel(spark, d), tables.MENU, tables.SIZES, tables.UNIT_COST), 6)
+
+
+@query(f"with {PANEL_SQL}, price as (select item_id, median(v) as price from panel group by 1) select p.item_id, round(avg(1 / (1 + exp(-greatest(least((2 + 1.5 * v - price) / 3.0, 700), -700)))), 8) as rate from panel p join price using (item_id) group by 1")
+def predicted_rates(spark, d):
+    """Mean purchase chance of each event type at its median value as price, under a logit link."""
+    panel = tables.panel(spark, d)
+    prices = panel.groupBy("item_id").agg(F.median("v").alias("price"))
+    return rounded(statistics.predicted_rates(panel.withColumnRenamed("v", "score"), prices, 2.0, 1.5, 3.0, "logit"))
+
+
+@query(
+    f"with {_PARAMETERS_SQL}, v as (select user_id, item_id, v as score from (select user_id, event_id as item_id, value as v from events where value is not null and user_id is not null)), "
+    "par2 as (select min(score) as lo, quantile_cont(score, 0.05) as q05, quantile_cont(score, 0.25) as q25, quantile_cont(score, 0.5) as q50, quantile_cont(score, 0.75) as q75, quantile_cont(score, 0.95) as q95 from v), "
+    "u as (select least(greatest((score - lo) / greatest(q95 - q05, 1e-6), 0), 1e6) as a, ln(1 + exp(least(greatest((score - q50) / greatest(q75 - q25, 1e-6), -40), 40))) as b, "
+    "(rank() over (partition by user_id order by score) - 1 + 0.5::double * count(*) over (partition by user_id, score)) / count(*) over (partition by user_id) as c, "
+    "least(greatest((score - avg(score) over (partition by user_id)) / greatest(stddev_pop(score) over (partition by user_id), 1e-6), 0), 100) as d from v cross join par2), "
+    "l as (select 'global_shift' as scenario, a as x from u union all select 'softplus', b from u union all select 'midrank', c from u union all select 'zscore', d from u) "
+    "select scenario, count(*) as n, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as deviation, round(max(x), 6) as most, round(avg((x = 0)::int), 6) as share_zero from l group by 1"
+)
+def utility_diagnostics(spark, d):
+    """Scenario diagnostics of event values as scores."""
+    rows = tables.table(spark, d, "events").where("value is not null and user_id is not null")
+    return rounded(orchestrate.freeze_utilities(rows.select("user_id", F.col("event_id").alias("item_id"), F.col("value").alias("score")))[1], 6)
+
+
+# ---- more of the evaluation
+
+
+@query(f"with {_METRICS_SQL}, m as (select family, avg(ndcg_at_20) as a from metric_rows group by 1) select x.family, 1 as training_seed, round(x.a - y.a, 8) as difference from m x join m y on x.family = 'volume' and y.family = 'popularity'")
+def seed_contrasts(spark, d):
+    rows = saver(spark)(evaluate.both_families(evaluate.prepare(spark, d)))
+    return rounded(orchestrate.seed_contrasts(rows.where("family = 'volume'").withColumn("training_seed", F.lit(1)), rows.where("family = 'popularity'")))
+
+
+@query(
+    f"with {_METRICS_SQL}, n as (select count(*) as n from warm_items), h as (select user_id, count(*) as hidden from hidden group by 1), "
+    "c as (select m.*, n - coalesce(hidden, 0) as candidates from metric_rows m cross join n left join h on h.user_id = m.user_id) "
+    "select family, user_id, (strictly_above + tied_block_size <= 10)::int as hit_at_10, (strictly_above + tied_block_size <= 20)::int as hit_at_20, "
+    "round(case when candidates > 1 then (candidates - strictly_above - tied_block_size + (tied_block_size - 1) / 2.0::double) / (candidates - 1) end, 8) as auc from c"
+)
+def plain_rank_metrics(spark, d):
+    """Hits and areas under the curve of every evaluable user's target."""
+    ready = evaluate.prepare(spark, d)
+    out = ranking.plain_metrics(evaluate.both_families(ready), candidate_counts(spark, d))
+    return out.select("family", "user_id", "hit_at_10", "hit_at_20", F.round("auc", 8).alias("auc"))
+
+
+_KIND_SQL = (
+    f"{NESTED_SQL}, sup as (select item_id, count(*) as s from nested where role = 'training' group by 1), cold as (select item_id from sup where s between 10 and 24), "
+    "kinds as (select p_type, count(*) as n from nested join part on p_partkey = item_id where role = 'training' and item_id not in (select item_id from cold) group by 1), "
+    "cs as (select c.item_id, coalesce(n, 0)::double as score from cold c join part on p_partkey = c.item_id left join kinds k on k.p_type = part.p_type), "
+    "own as (select n.user_id, n.item_id, score from nested n join cs on cs.item_id = n.item_id where role = 'training')"
+)
+
+
+@query(
+    f"with {_KIND_SQL}, lv as (select score, count(*) as n from cs group by 1), "
+    "w as (select o.user_id, o.item_id, o.score, coalesce(sum(l.n) filter (l.score > o.score), 0) as above, sum(l.n) filter (l.score = o.score) as tied from own o cross join lv l group by 1, 2, 3), "
+    "x as (select a.user_id, a.item_id, count(*) filter (b.score > a.score) as above, count(*) filter (b.score = a.score) as tied from own a join own b on a.user_id = b.user_id and a.item_id <> b.item_id group by 1, 2) "
+    "select w.user_id, w.item_id as target_item_id, (w.above - coalesce(x.above, 0))::bigint as strictly_above, (w.tied - coalesce(x.tied, 0))::bigint as tied_block_size from w left join x on x.user_id = w.user_id and x.item_id = w.item_id"
+)
+def pseudo_cold_targets(spark, d):
+    """Every training edge of items with 10 to 24 of them, ranked among these by what the other items of their kind sell."""
+    ready = evaluate.prepare(spark, d)
+    cold = interactions.support(ready.trained, "item_id", "s").where("s between 10 and 24").select("item_id")
+    kinds = tables.items(spark, d).select("item_id", "p_type")
+    sold = ready.trained.join(cold, "item_id", "left_anti").join(kinds, "item_id").groupBy("p_type").agg(F.count("*").cast("double").alias("n"))
+    scores = cold.join(kinds, "item_id").join(sold, "p_type", "left").select("item_id", F.coalesce("n", F.lit(0.0)).alias("score"))
+    return orchestrate.pseudo_cold(ready, cold, scores).select("user_id", "target_item_id", "strictly_above", "tied_block_size")
+
+
+@query()
+def contested_edge_split(spark, d):
+    """The capacity-aware holdout where items are scarce: event types as items, each with room for a few users. Tested against the scan."""
+    kinds = tables.table(spark, d, "events").select("event_type").distinct()
+    numbers = splits.numbered(kinds, "event_type", "item_id")
+    owned = tables.table(spark, d, "events").where("user_id is not null").join(F.broadcast(numbers), "event_type").select("user_id", "item_id").distinct()  # one row per event type
+    supports = owned.groupBy("item_id").agg(F.count("*").alias("n"))
+    least = supports.agg(F.min("n")).first()[0] or 0
+    return splits.nested_split(owned, before=1, after=max(0, least - 40), required=3, save=saver(spark))
+
+
 # ---- models
 
 
@@ -714,24 +865,53 @@ def _weighted(ready: evaluate.Prepared) -> DataFrame:
     return ready.trained.select("user_id", "item_id", scalars.observed_confidence(F.col("playtime_forever"), 20.0, 0.0, 1.0).alias("confidence"))
 
 
+def _ranked(ready: evaluate.Prepared, users: DataFrame, items: DataFrame, family: str) -> DataFrame:
+    """A leaderboard row of factors on the test targets."""
+    counts = ranking.factor_tie_counts(users.withColumnRenamed("id", "user_id"), items, ready.targets, ready.hidden)
+    return evaluation.leaderboard(ranking.tie_metrics(counts.drop("shown")).withColumn("family", F.lit(family)), "family")
+
+
 @query()
 def als_fit_rank(spark, d):
-    """Implicit ALS on the training edges, ranked on the test targets: a leaderboard row."""
+    """Implicit ALS on the training edges with 64 factors and 12 iterations, ranked on the test targets: a leaderboard row."""
     ready = evaluate.prepare(spark, d)
-    users, items = models.fit_als(_weighted(ready), factors=16, ridge=0.05, iterations=3, save=saver(spark))
-    counts = ranking.factor_tie_counts(users.withColumnRenamed("id", "user_id"), items.withColumnRenamed("id", "item_id"), ready.targets, ready.hidden)
-    rows = ranking.tie_metrics(counts.drop("shown")).withColumn("family", F.lit("als"))
-    return evaluation.leaderboard(rows, "family")
+    users, items = models.fit_als(_weighted(ready), factors=64, ridge=0.05, iterations=12, save=saver(spark))
+    return _ranked(ready, users, items.withColumnRenamed("id", "item_id"), "als")
 
 
 @query()
 def als_fold_in(spark, d):
     """Assessment users folded in against frozen item factors: norms per user."""
     ready = evaluate.prepare(spark, d)
-    _, items = models.fit_als(_weighted(ready), factors=8, ridge=0.05, iterations=2, save=saver(spark))
+    _, items = models.fit_als(_weighted(ready), factors=32, ridge=0.05, iterations=12, save=saver(spark))
     new = tables.outer(spark, d).where("split = 'assessment'").select("user_id")
     fresh = tables.edges(spark, d).join(new, "user_id", "left_semi").select("user_id", "item_id", F.lit(21.0).alias("confidence"))
-    return models.fold_in_als(fresh, items).select(F.col("id").alias("user_id"), F.sqrt(scalars.dot(F.col("vec"), F.col("vec"))).alias("norm"))
+    return models.fold_in_als(fresh, items, save=saver(spark)).select(F.col("id").alias("user_id"), F.sqrt(scalars.dot(F.col("vec"), F.col("vec"))).alias("norm"))
+
+
+@query()
+def bpr_fit_rank(spark, d):
+    """Pairwise ranking with 64 factors and 12 epochs, ranked on the test targets: a leaderboard row."""
+    ready = evaluate.prepare(spark, d)
+    return _ranked(ready, *models.fit_bpr(ready.trained, save=saver(spark)), "bpr")
+
+
+@query()
+def bpr_genre_fit_rank(spark, d):
+    """The same with the labels of items as features."""
+    ready = evaluate.prepare(spark, d)
+    labels = features.label_features(tables.items(spark, d))
+    return _ranked(ready, *models.fit_bpr(ready.trained, labels, save=saver(spark)), "bpr_genre")
+
+
+@query()
+def bpr_fold_in(spark, d):
+    """Assessment users folded in against frozen pairwise item factors: norms per user."""
+    ready = evaluate.prepare(spark, d)
+    _, items = models.fit_bpr(ready.trained, factors=32, save=saver(spark))
+    new = tables.outer(spark, d).where("split = 'assessment'").select("user_id")
+    folded = models.fold_in_bpr_users(tables.edges(spark, d).join(new, "user_id", "left_semi"), items)
+    return folded.select(F.col("id").alias("user_id"), F.sqrt(scalars.dot(F.col("vec"), F.col("vec"))).alias("norm"))
 
 
 @query()
@@ -743,14 +923,14 @@ def bootstrap_interval(spark, d):
 
 @query()
 def poisson_bootstrap(spark, d):
-    """The distributed bootstrap: 50 replicate means without collecting users."""
-    return evaluation.poisson_bootstrap(paired_metric_diff(spark, d), replicates=50)
+    """The distributed bootstrap: 200 replicate means without collecting users."""
+    return evaluation.poisson_bootstrap(paired_metric_diff(spark, d))
 
 
 @query()
 def svd_values(spark, d):
     """Leading singular values of the training matrix."""
-    values, _, _ = models.truncated_svd(_weighted(evaluate.prepare(spark, d)), 4, rounds=3)
+    values, _, _ = models.truncated_svd(_weighted(evaluate.prepare(spark, d)), 4)
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "position int, value double")
 
 

@@ -103,10 +103,10 @@ def read_manifest(spark: SparkSession, path: str) -> dict[str, Any]:
 
 
 def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], about: dict[str, Any] | None = None) -> dict[str, Any]:
-    """Write tables as Parquet to a staging folder, rename it to `folder`, and write the manifest last.
+    """Write tables as Parquet and their manifest to a staging folder and rename it to `folder`, so that both appear at once.
 
-    Nothing is overwritten; a failure before the rename leaves no trace. The manifest holds row counts and digests that do
-    not depend on row order.
+    Nothing is overwritten; a failure leaves no trace at `folder`, so the next try starts afresh. The manifest holds row
+    counts and digests that do not depend on row order.
     """
     fs, target = _path(spark, folder)
     if fs.exists(target):
@@ -118,13 +118,13 @@ def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], abou
             df.write.parquet(f"{staging}/{name}")
             rows, digest = table_digest(spark.read.parquet(f"{staging}/{name}")).first()
             entries[name] = {"rows": rows, "digest": digest, "columns": [list(c) for c in df.dtypes]}
-        if not fs.rename(_path(spark, staging)[1], target):
+        manifest = {"tables": entries, "about": about or {}}
+        write_manifest(spark, f"{staging}/manifest.json", manifest)
+        if fs.exists(target) or not fs.rename(_path(spark, staging)[1], target):
             raise FileExistsError(folder)
     except BaseException:
         fs.delete(_path(spark, staging)[1], True)
         raise
-    manifest = {"tables": entries, "about": about or {}}
-    write_manifest(spark, f"{folder}/manifest.json", manifest)
     return manifest
 
 

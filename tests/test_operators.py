@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquetry.functions import contracts, hashing, scalars
-from marquetry.operators import bundles, evaluation, features, interactions, models, moments, pricing, ranking, splits, statistics
+from marquetry.operators import bundles, evaluation, features, interactions, models, moments, prefix, pricing, ranking, splits, statistics
 
 
 def one(df):
@@ -453,22 +453,116 @@ def test_bpr_gradient_and_fold_in():
         up = models.bpr_gradient(p, q, b, triples, 0.01)[0]
         x[k] -= 1e-6
         assert (up - loss) / 1e-6 == pytest.approx(g[k], abs=1e-4)
-    users, items = np.array([0, 0, 1, 2]), np.array([0, 1, 2, 3])
-    fit = models.fit_bpr(users, items, 3, 4, 2, epochs=6, samples=200)
-    again = models.fit_bpr(users, items, 3, 4, 2, epochs=6, samples=200)
-    assert fit["losses"][-1] < fit["losses"][0] and (fit["users"] == again["users"]).all()
+    loss, gp, gq, gb = models.bpr_gradient(p, q, b, triples, 0.0)
+    sums = models.bpr_sums(p, q, b, triples)
+    for mine, mean in zip(sums, (loss, gp, gq, gb), strict=True):
+        assert np.asarray(mine) / 3 == pytest.approx(np.asarray(mean))
     negatives = models.fold_in_negatives([0, 1], 4, "c", 9)
     assert not set(negatives) & {0, 1} and negatives == models.fold_in_negatives([0, 1], 4, "c", 9)
     x = models.fold_in_bpr([0, 1], negatives, q, b, 0.1)
     assert np.abs(x).max() < 100
 
 
+def test_bpr_fit_equals_numpy(spark):
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 12, 60), rng.integers(0, 9, 60), strict=True)})
+    edges = spark.createDataFrame([(10 * u, 100 + i) for u, i in rows], "user_id long, item_id long")
+    labels = [(100 + i, f"genre::{i % 3}", 0.5) for i in range(9)]
+    features_ = spark.createDataFrame(labels, "item_id long, feature_name string, weight double")
+    losses = []
+    users, items = models.fit_bpr(edges, features_, 4, 0.01, 0.1, epochs=3, rounds=1, save=lambda df: df.checkpoint(), losses=losses)
+    # The same rounds in one process, group by group with the same draws, by scattered sums.
+    group = {r["user_id"]: r["g"] for r in edges.select("user_id", F.pmod(F.xxhash64("user_id", F.lit(5)), F.lit(spark.sparkContext.defaultParallelism)).alias("g")).collect()}
+    ids = sorted({100 + i for _, i in rows})
+    seed, n = 104_729, len(rows)
+    rng = np.random.default_rng(models.namespaced_seed(seed, "items"))
+    q, bias = 0.01 * rng.standard_normal((len(ids), 4)), np.zeros(len(ids))
+    f = 0.01 * rng.standard_normal((3, 4))
+    w = np.array([[0.5 * (i % 3 == k) for k in range(3)] for i in range(9) if 100 + i in ids])
+    names = sorted({10 * u for u, _ in rows})
+    p = np.stack([0.01 * np.random.default_rng(models.namespaced_seed(seed, "user", u)).standard_normal(4) for u in names])
+    seen = [np.full_like(x, 1e-8) for x in (p, q, bias, f)]
+    for turn in range(3):
+        triples = []
+        for g in sorted(set(group.values())):
+            own = [(10 * u, 100 + i) for u, i in rows if group[10 * u] == g]
+            mine = sorted({u for u, _ in own})
+            u, i = np.array([mine.index(a) for a, _ in own]), np.array([ids.index(b) for _, b in own])
+            j = models._own_draws(u, i, len(ids), models.namespaced_seed(seed, "draws", turn, g))
+            assert not {(a, b) for a, b in zip(u.tolist(), j.tolist(), strict=True)} & set(zip(u.tolist(), i.tolist(), strict=True))
+            triples += [(names.index(mine[a]), b, c) for a, b, c in zip(u, i, j, strict=True)]
+        loss, gp, gv, gb = models.bpr_gradient(p, q + w @ f, bias, np.array(triples), 0.0)
+        assert losses[turn] == pytest.approx(loss, rel=1e-5)
+        for x, g, s in zip((p, q, bias, f), (gp, gv, gb, w.T @ gv), seen, strict=True):
+            g = g + 0.01 * x
+            s += g * g
+            x -= 0.1 * g / np.sqrt(s)
+    got = {r["id"]: r["vec"] for r in users.collect()}
+    assert all(got[u] == pytest.approx(p[k], rel=1e-3, abs=1e-5) for k, u in enumerate(names))
+    for r in items.collect():
+        k = ids.index(r["item_id"])
+        assert r["vec"] == pytest.approx((q + w @ f)[k], rel=1e-3, abs=1e-5) and r["bias"] == pytest.approx(bias[k], rel=1e-3, abs=1e-5)
+    folded = models.fold_in_bpr_users(edges.where("user_id < 30"), items).collect()
+    assert {r["id"] for r in folded} == {u for u in names if u < 30}
+
+
+def test_als_cuts_keys_over_tasks(spark):
+    """A popular item's edges lie in several tasks; partial sums give the same factors."""
+    rows = [(u, 0, 2.0 + u % 3) for u in range(300)] + [(u, 1 + u % 5, 3.0) for u in range(300)]
+    edges = spark.createDataFrame(rows, "user_id long, item_id long, confidence double")
+    users = models.initial_factors(edges, "user_id", 3, 1, 0.5)
+    laid = models.dealt_by(edges, "item_id", lambda df: df)
+    assert laid.rdd.getNumPartitions() > 1
+    v = {r["id"]: np.array(r["vec"], float) for r in users.collect()}
+    gram = sum(np.outer(x, x) for x in v.values())
+    for r in models.half_step(laid, "item_id", "user_id", users, 0.1).collect():
+        own = [(u, c) for u, i, c in rows if i == r["id"]]
+        left = gram + 0.1 * np.eye(3) + sum((c - 1) * np.outer(v[u], v[u]) for u, c in own)
+        assert r["vec"] == pytest.approx(np.linalg.solve(left, sum(c * v[u] for u, c in own)), rel=1e-4)
+
+
+def test_json_strings_escape_every_control_character(spark):
+    every = "".join(map(chr, range(32))) + '"\\é'
+    frame = spark.createDataFrame([(every,), ("plain",)], "t string")
+    got = [r[0] for r in frame.select(hashing.json_string(F.col("t"))).collect()]
+    assert [f"{g}\n".encode() for g in got] == [hashing.canonical_json_bytes(every), hashing.canonical_json_bytes("plain")]
+
+
+def test_numbers_and_quantiles_by_ranges(spark):
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 3), rng.randint(0, 50), k) for k in range(500)]
+    frame = spark.createDataFrame(rows, "g long, v long, k long").repartition(5)
+    got = {r["k"]: r["_nth"] for r in prefix.nth_within(frame, ["g"], [F.col("v"), F.col("k")]).collect()}
+    for g in range(4):
+        own = sorted((v, k) for a, v, k in rows if a == g)
+        assert [got[k] for _, k in own] == list(range(1, len(own) + 1))
+    cut = one(prefix.quantiles(frame, "v", {"a": 0.1, "b": 0.5, "c": 0.95}))
+    want = np.quantile([v for _, v, _ in rows], [0.1, 0.5, 0.95])
+    assert [cut["a"], cut["b"], cut["c"]] == pytest.approx(list(want))
+    assert one(prefix.quantiles(frame.limit(0), "v", {"a": 0.5})) == {"a": None}
+
+
+def test_blocks_of_items_give_the_same_counts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vec = rng.integers(-3, 4, (40, 3)).astype(float)  # many ties, exact in single precision
+    items = spark.createDataFrame([(i, [float(x) for x in v], 0.5 * (i % 2)) for i, v in enumerate(vec)], "item_id long, vec array<float>, bias float")
+    users = spark.createDataFrame([(u, [float(x) for x in rng.integers(-3, 4, 3)]) for u in range(25)], "user_id long, vec array<float>")
+    targets = spark.createDataFrame([(u, u % 40) for u in range(25)], "user_id long, target_item_id long")
+    hidden = spark.createDataFrame([(u, (u * 7 + k) % 40) for u in range(25) for k in range(u % 4)], "user_id long, item_id long")
+    whole = ranking.factor_tie_counts(users, items, targets, hidden, 5).collect()
+    monkeypatch.setattr(ranking, "MAX_CATALOGUE_BYTES", 100)
+    monkeypatch.setattr(ranking, "USERS_PER_BLOCK", 8)
+    blocks = ranking.factor_tie_counts(users, items, targets, hidden, 5).collect()
+    key = lambda r: (r["user_id"], r["target_item_id"], r["strictly_above"], r["tied_block_size"], tuple(r["shown"]))
+    assert sorted(map(key, whole)) == sorted(map(key, blocks))
+
+
 def test_hashed_triples_reject_owned_items(spark):
     edges = spark.createDataFrame([(u, i) for u in range(5) for i in range(u, u + 4)], "user_id long, item_id long")
     items = spark.createDataFrame([(i,) for i in range(12)], "item_id long")
     got = models.hashed_triples(edges, items, 2).collect()
     owned = {(r["user_id"], r["item_id"]) for r in edges.collect()}
-    assert len(got) >= 38 and all((r["user_id"], r["negative"]) not in owned for r in got)
+    assert len(got) == 40 and all((r["user_id"], r["negative"]) not in owned for r in got)
 
 
 def test_svd_and_nmf(spark):
