@@ -30,7 +30,8 @@ class Rule:
     min_words: int = 0
 
 
-#: The threshold table. Numerators and denominators are columns of `measures`.
+#: The threshold table. Numerators and denominators are columns of `measures`. Shares of stop words and lines say little about
+#: texts of a few words (a title has none, two equal lines are half of four), so these rules ask for 50 words.
 RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 20.0),
     Rule("symbols", "n_symbols", "n_words", 0.0, 0.3),

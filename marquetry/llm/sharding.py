@@ -32,6 +32,25 @@ def splitters(sized: DataFrame, total: int, n_ranges: int) -> np.ndarray:
     return np.union1d(cuts, cuts[(times > 1) & (cuts < np.iinfo(np.int64).max)] + 1)
 
 
+def subdivisions(ranged: DataFrame, crowded: dict[int, int], share: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Boundaries (keys, checksums, numbers) inside each crowded range: quantiles of a sample of its rows, by hash.
+
+    About SAMPLES_PER_RANGE rows for each part that a range is cut into reach the driver.
+    """
+    unit = F.pmod(F.xxhash64("_s_key", "_s_crc", "_s_number", F.lit(19)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = ranged.where(F.col("_s_range").isin(list(crowded)) & (unit < F.lit(SAMPLES_PER_RANGE / share)))
+    found: dict[int, list[tuple[int, int, int]]] = {r: [] for r in crowded}
+    for r, *row in drawn.select("_s_range", F.coalesce("_s_key", F.lit(0).cast("long")), "_s_crc", "_s_number").toLocalIterator():
+        found[r].append(tuple(row))
+    out = {}
+    for r, rows in found.items():
+        rows.sort()
+        parts = crowded[r] // share + 1
+        picked = sorted({rows[k * len(rows) // parts] for k in range(1, parts)}) if rows else []
+        out[r] = tuple(np.array([x[c] for x in picked], dtype=np.int64) for c in range(3))
+    return out
+
+
 def shard_by_bytes(docs: DataFrame, n_shards: int = 16, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deal rows into n_shards runs of key_col of near equal bytes; text_col is replaced by size, text_crc32, law, shard, slot, grown_shard.
 
@@ -41,8 +60,10 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, key_col: str = "doc_id",
     key and text are interchangeable; each gets a slot of its own. An empty table gives an empty result.
 
     No task sees the whole order: splitters cut the keys into ranges; a range with over OVERFULL times its share of
-    rows is subdivided, evenly by key, or by checksum where a single key fills it; every range adds the totals of the
-    ranges before it. Only these totals meet in one task, at most MAX_RANGES of them besides subdivisions.
+    rows is subdivided at quantiles of a sample of its own rows by key, checksum and number, so that clustered keys, one key
+    or one text that fills a range are cut as well; every range adds the totals of the ranges before it. Only these totals
+    meet in one task, at most MAX_RANGES of them besides subdivisions. The splitters decide which task orders a row; the
+    totals make shard boundaries exact, so they are those of the whole order, whatever the sample.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keep = [c for c in docs.columns if c not in NAMES and (c != text_col or c == key_col)]
@@ -51,6 +72,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, key_col: str = "doc_id",
         F.col(key_col).cast("long").alias("_s_key"),
         (F.octet_length(text) + 1).cast("long").alias("_s_size"),
         F.crc32(text.cast("binary")).alias("_s_crc"),
+        F.monotonically_increasing_id().alias("_s_number"),  # kept once written; tells equal rows apart
     )
     sized = materialize(sized, "sized")
     n, total = sized.agg(F.count("*"), F.coalesce(F.sum("_s_size"), F.lit(0))).first()
@@ -64,18 +86,30 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, key_col: str = "doc_id",
     # Range 0 holds null keys, which never reach Python: they would turn a batch into floating point numbers.
     ranged = sized.withColumn("_s_range", F.when(F.col("_s_key").isNull(), F.lit(0)).otherwise(range_of(F.coalesce("_s_key", F.lit(0).cast("long")))))
     share = max(n // (len(cuts) + 1), 64)
-    counts = ranged.groupBy("_s_range").agg(F.count("*").alias("n"), F.min("_s_key").alias("lo"), F.max("_s_key").alias("hi"))
-    sub = F.lit(0)
-    for k, rows, lo, hi in counts.where(F.col("n") > OVERFULL * share).toLocalIterator():
-        parts = rows // share + 1
-        at = F.col("_s_crc") / F.lit(float(1 << 32)) if lo == hi else (F.col("_s_key") - lo) / F.lit(float(hi - lo + 1))
-        sub = F.when(F.col("_s_range") == k, F.floor(at * parts).cast("int")).otherwise(sub)
+    crowded = {r: rows for r, rows in ranged.groupBy("_s_range").agg(F.count("*").alias("n")).where(F.col("n") > OVERFULL * share).toLocalIterator()}
+    within = subdivisions(ranged, crowded, share) if crowded else {}
+
+    @F.pandas_udf("int")
+    def sub_of(ranges: pd.Series, keys: pd.Series, crcs: pd.Series, numbers: pd.Series) -> pd.Series:
+        """How many of its range's boundaries stand before each row, by one sort of rows and boundaries."""
+        out = np.zeros(len(ranges), dtype=np.int32)
+        for r in np.unique(ranges):
+            if r in within:
+                mine, cut = np.flatnonzero(ranges == r), within[r]
+                order = np.lexsort([np.concatenate([c, x.to_numpy()[mine]]) for c, x in zip(cut[::-1], (numbers, crcs, keys), strict=True)])
+                passed = np.cumsum(order < len(cut[0]))
+                rows = order >= len(cut[0])
+                out[mine[order[rows] - len(cut[0])]] = passed[rows]
+        return pd.Series(out)
+
+    zero = F.lit(0).cast("long")
+    sub = F.when(F.col("_s_range").isin(list(within)), sub_of("_s_range", F.coalesce("_s_key", zero), "_s_crc", "_s_number")).otherwise(F.lit(0)) if within else F.lit(0)
     part = ["_s_range", "_s_sub"]
     ranged = ranged.withColumn("_s_sub", sub)
     totals = ranged.groupBy(*part).agg(F.sum("_s_size").alias("_s_bytes"), F.count("*").alias("_s_rows"))
     before = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*part, *[F.coalesce(F.sum(a).over(before), F.lit(0)).alias(b) for a, b in (("_s_bytes", "_s_start"), ("_s_rows", "_s_first"))])
-    inside = Window.partitionBy(*part).orderBy(F.col("_s_key").asc_nulls_first(), "_s_crc").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*part).orderBy(F.col("_s_key").asc_nulls_first(), "_s_crc", "_s_number").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumns({"_s_cum": F.coalesce(F.sum("_s_size").over(inside), F.lit(0)), "_s_nth": F.count("*").over(inside)})
     placed = placed.join(F.broadcast(starts), part)  # bounded by MAX_RANGES and the subdivisions
     shard = F.expr(f"({n_shards} * (2 * (_s_start + _s_cum) + _s_size)) div {2 * max(total, 1)}")

@@ -211,6 +211,21 @@ def test_sharding_splits_a_hot_key(spark):
     assert (got.sort_values(["shard", "slot"]).groupby("shard")["slot"].apply(list).map(lambda s: s == list(range(len(s))))).all()
 
 
+def test_sharding_subdivides_clustered_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 64)
+    monkeypatch.setattr(sharding, "SAMPLES_PER_RANGE", 8)
+    data = spark.range(6000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 7 else 1000000 * (id % 2) + id end as doc_id", "case when id % 3 = 1 then 'equal' else concat('text ', id) end as text")
+    parts = []
+    whole = sharding.subdivisions
+    monkeypatch.setattr(sharding, "subdivisions", lambda ranged, crowded, share: parts.append((crowded, share)) or whole(ranged, crowded, share))
+    got = sharding.shard_by_bytes(data, 8).toPandas()
+    assert len(got) == 6000 and got["doc_id"].isna().sum() == 2000
+    assert len(parts[0][0]) >= 2  # the null keys and key 7
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() - sizes.min() <= 2 * got["size"].max()
+    assert (got.sort_values(["shard", "slot"]).groupby("shard")["slot"].apply(list).map(lambda s: s == list(range(len(s))))).all()
+
+
 def contents(histogram, capacities, opened=None, **more):
     """Bins of a plan as (final capacity, lengths in order); every item has one place and the places of a bin adjoin."""
     bins, seen = collections.defaultdict(list), collections.Counter()
