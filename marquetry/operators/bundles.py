@@ -92,7 +92,7 @@ def user_components(candidates: DataFrame, bundle_items: DataFrame) -> DataFrame
     exploded = distinct.select("bundles", F.explode("bundles").alias("bundle_id")).join(bundle_items.where("item_id is not null").select("bundle_id", "item_id").distinct(), "bundle_id")
     grouped = exploded.groupBy("bundles", "bundle_id").agg(F.collect_set("item_id").alias("items")).groupBy("bundles").agg(F.collect_list(F.struct("bundle_id", "items")).alias("members"))
 
-    @F.udf("array<array<long>>")
+    @F.udf("array<array<long>>", useArrow=True)
     def components(members):
         parts: list[tuple[set, set]] = []
         for m in sorted(members, key=lambda m: m["bundle_id"]):
@@ -175,7 +175,7 @@ def mincost_attribution(components: DataFrame, bundle_items: DataFrame, bundle_c
     names = ["soft_tau_" + f"{t:g}".replace(".", "_") for t in taus]
     made = "array<struct<bundle_id:long,hard:double,optimal:int" + "".join(f",{n}:double" for n in names) + ">>"
 
-    @F.udf(made)
+    @F.udf(made, useArrow=True)
     def solved(rows):
         solo = {i["item_id"]: i["cents"] for r in rows for i in r["items"]}
         hard, soft, best = cover_shares([r["price"] for r in rows], [[i["item_id"] for i in r["items"]] for r in rows], solo, taus)

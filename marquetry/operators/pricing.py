@@ -141,6 +141,39 @@ def menu_search(panel: DataFrame, menus: Sequence[Sequence[float]], sizes: Seque
     return gathered.groupBy("menu").agg(F.avg(margin).alias("profit"))
 
 
+def optimise_menu(panel: DataFrame, sizes: Sequence[int], cost: float | Sequence[float] = 0.0, rounds: int = 20, population: int = 16, seed: int = 0, start: Sequence[float] | None = None, floor: bool = True) -> tuple[list[float], float]:
+    """(prices, profit) of a size menu by differential evolution; all candidates of a round are one `menu_search`.
+
+    Prices start between 0 and the greatest top sum of their size, and are kept in order of size. Every round makes for each menu
+    a mutant from the best and two others and keeps the better one, so profit never falls.
+    """
+    import numpy as np
+
+    sums = panel.sparkSession.createDataFrame([(int(s),) for s in sizes], "size int").join(top_sums(panel, sizes, floor), "size").groupBy("size").agg(F.max("w").alias("top"))
+    tops = {r["size"]: float(r["top"]) for r in sums.collect()}  # one row per size
+    high = np.array([tops.get(int(s), 0.0) for s in sizes])
+    rng = np.random.default_rng(seed)
+    menus = np.sort(rng.random((population, len(sizes))), axis=1) * high
+    if start is not None:
+        menus[0] = start
+
+    def profits(rows: np.ndarray) -> np.ndarray:
+        got = {r["menu"]: r["profit"] for r in menu_search(panel, np.maximum.accumulate(rows, axis=1).tolist(), sizes, cost, floor).collect()}  # one row per menu
+        return np.array([got.get(k, 0.0) for k in range(len(rows))])
+
+    value = profits(menus)
+    for _ in range(rounds):
+        one, two = (rng.integers(0, population, population) for _ in range(2))
+        mutant = menus + 0.7 * (menus[value.argmax()] - menus) + 0.6 * (menus[one] - menus[two])
+        cross = rng.random(menus.shape) < 0.8
+        mutant = np.clip(np.where(cross, mutant, menus), 0.0, high)
+        made = profits(mutant)
+        better = made > value
+        menus[better], value[better] = mutant[better], made[better]
+    best = int(value.argmax())
+    return np.maximum.accumulate(menus[best]).tolist(), float(value[best])
+
+
 def moments(panel: DataFrame, sizes: Sequence[int], floor: bool = False) -> DataFrame:
     """(size_a, size_b, omega_a, omega_b, sigma): means and sample covariances of top sums, for size_a <= size_b."""
     w = top_sums(panel, sizes, floor)

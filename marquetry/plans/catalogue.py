@@ -801,6 +801,30 @@ def utility_diagnostics(spark, d):
     return rounded(orchestrate.freeze_utilities(rows.select("user_id", F.col("event_id").alias("item_id"), F.col("value").alias("score")))[1], 6)
 
 
+@query(f"with {EDGES_SQL}, o as (select item_id, count(*) as owners from edges group by 1) select item_id, owners, p_retailprice as price from o join part on p_partkey = item_id where p_retailprice > 0 order by owners desc, item_id limit 8")
+def top_priced_items(spark, d):
+    """The eight priced items of most owners, ties to the smaller id."""
+    owners = interactions.support(tables.edges(spark, d), "item_id", "owners")
+    return owners.join(tables.items(spark, d).where("price > 0").select("item_id", "price"), "item_id").orderBy(F.desc("owners"), "item_id").limit(8)
+
+
+@query(f"with {EDGES_SQL} select user_id, item_id, playtime_forever::float as value from edges")
+def matrix_archive(spark, d):
+    """Edges written as a matrix in compressed rows and read back."""
+    from marquetry.sources import matrices
+
+    path = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex}.npz"
+    digest = matrices.write_csr(tables.edges(spark, d), path, "playtime_forever")
+    return matrices.read_csr(spark, path, {path.rsplit("/", 1)[-1]: digest})
+
+
+@query()
+def menu_optimum(spark, d):
+    """A size menu by differential evolution: prices and profit, at least that of the menu it starts from."""
+    prices, profit = pricing.optimise_menu(tables.panel(spark, d), tables.SIZES, tables.UNIT_COST, start=tables.MENU)
+    return spark.createDataFrame([(int(s), float(p), profit) for s, p in zip(tables.SIZES, prices, strict=True)], "size int, price double, profit double")
+
+
 # ---- more of the evaluation
 
 

@@ -68,7 +68,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def write_text(spark: SparkSession, path: str, body: bytes) -> None:
+def write_bytes(spark: SparkSession, path: str, body: bytes) -> None:
     """Write a small file whole: to a name of its own first, then renamed; an existing target is an error."""
     fs, target = _path(spark, path)
     if fs.exists(target):
@@ -90,7 +90,7 @@ def write_manifest(spark: SparkSession, path: str, manifest: dict[str, Any]) ->
     """Canonical JSON with its own digest under `manifest_id`; returns the digest."""
     body = {k: v for k, v in manifest.items() if k != "manifest_id"}
     digest = semantic_sha256(body)
-    write_text(spark, path, canonical_json_bytes(body | {"manifest_id": digest}))
+    write_bytes(spark, path, canonical_json_bytes(body | {"manifest_id": digest}))
     return digest
 
 

@@ -9,7 +9,8 @@ import pytest
 
 import __spark_entry__
 from marquetry.functions.contracts import ContractError
-from marquetry.plans import catalogue, evaluate, orchestrate
+from marquetry.operators import pricing
+from marquetry.plans import catalogue, evaluate, monitor, orchestrate, pipeline
 from marquetry.sources.scratch import saver
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -95,3 +96,32 @@ def test_cold_production_and_utilities(spark):
 def test_pushdown(spark):
     plan = catalogue.queries()["canonical_edges"](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "CartesianProduct" not in plan
+
+
+def test_monitor_stops_a_run(spark):
+    with monitor.Monitor(spark, interval=0.05) as m:
+        spark.range(10).count()
+    assert m.peak > 0 and m.table().count() == len(m.samples) >= 2
+    with pytest.raises(monitor.OverBudget), monitor.Monitor(spark, max_bytes=1, interval=0.05):
+        spark.range(10).count()
+
+
+def test_whole_run_resumes(spark, tmp_path):
+    grids = {"popularity": [{"configuration_id": "popularity"}], "bpr": orchestrate.bpr_grid([4], [1e-4], [0.1], epochs=1)}
+    first = pipeline.run(spark, str(FOLDER), str(tmp_path), grids, [1])
+    again = pipeline.run(spark, str(FOLDER), str(tmp_path), grids, [1])
+    assert first["result"] == again["result"] and first["verdict"]["families"] == again["verdict"]["families"]
+    assert {r["table"] for r in again["evidence"].collect()} == {"leaderboard", "selected", "segments"}
+    with pytest.raises(ContractError):
+        pipeline.EstimatorSpec("nothing", (("configuration_id", "x"),), (1,))
+    a, b = pipeline.specs(grids, [1]), pipeline.specs(grids, [2])
+    assert len(a) == 2 and a[0].spec_id != b[0].spec_id
+
+
+def test_menu_by_evolution_is_no_worse_than_its_start(spark):
+    panel = spark.createDataFrame([(u, f"i{k}", float((u * 7 + k * 3) % 11)) for u in range(40) for k in range(4)], "user_id long, item_id string, v double")
+    start = [6.0, 12.0, 18.0]
+    base = pricing.menu_search(panel, [start], (1, 2, 3), 0.5).first()["profit"]
+    prices, profit = pricing.optimise_menu(panel, (1, 2, 3), 0.5, rounds=4, population=8, start=start)
+    assert profit >= base and prices == sorted(prices)
+    assert pricing.menu_search(panel, [prices], (1, 2, 3), 0.5).first()["profit"] == pytest.approx(profit)

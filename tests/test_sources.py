@@ -1,10 +1,11 @@
 """Readers, sinks, manifests and streams."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marquetry.functions.contracts import ContractError
-from marquetry.sources import files, literal
+from marquetry.sources import files, literal, matrices, scratch
 from marquetry.streaming import edges as streams
 
 
@@ -68,3 +69,45 @@ def test_streams(spark, tmp_path):
     assert all(r["events"] == 1 for r in got)
     static = streams.running_edges(frame).collect()
     assert {(r["user_id"], r["item_id"]): r["playtime_forever"] for r in static}[7, "view"] == 1.0
+
+
+def test_matrix_archives(spark, tmp_path):
+    rows = [(u, i, float(u * i % 7 + 1)) for u in range(1, 30) for i in range(u % 4, 20, 3)]
+    edges = spark.createDataFrame(rows, "user_id long, item_id long, value double")
+    path = str(tmp_path / "m.npz")
+    digest = matrices.write_csr(edges, path, "value")
+    assert sorted(tuple(r) for r in matrices.read_csr(spark, path, {"m.npz": digest}).collect()) == sorted(rows)
+    with np.load(path) as a:
+        assert a["shape"].tolist() == [29, len({i for _, i, _ in rows})] and a["indptr"][-1] == len(rows)
+    with pytest.raises(FileExistsError):
+        matrices.write_csr(edges, path, "value")
+    with pytest.raises(Exception, match="does not match"):
+        matrices.read_csr(spark, path, {"m.npz": "0" * 64}).collect()
+    factors = spark.createDataFrame([(3, [1.0, 2.0], 0.5), (1, [0.0, -1.0], 0.25)], "id long, vec array<float>, bias float")
+    digest = matrices.write_factors(factors, str(tmp_path / "f.npz"))
+    assert sorted(tuple(r) for r in matrices.read_factors(spark, str(tmp_path / "f.npz"), {"f.npz": digest}).collect()) == [(1, [0.0, -1.0], 0.25), (3, [1.0, 2.0], 0.5)]
+
+
+def test_publication_after_a_crash(spark, tmp_path, monkeypatch):
+    """A crash before the rename leaves nothing at the folder, so that the next try succeeds."""
+    folder = str(tmp_path / "out")
+    monkeypatch.setattr(files, "write_manifest", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        files.publish(spark, folder, {"a": spark.range(5).toDF("x")})
+    monkeypatch.undo()
+    files.publish(spark, folder, {"a": spark.range(5).toDF("x")})
+    assert files.verify_published(spark, folder) == {"a": 5}
+
+
+def test_published_tables_follow_their_sources(spark, tmp_path):
+    source, calls = str(tmp_path / "t.parquet"), []
+    spark.range(3).write.parquet(source)
+
+    def make():
+        calls.append(1)
+        return spark.read.parquet(source).selectExpr("id * 2 as twice")
+
+    for _ in range(2):
+        assert scratch.published(spark, "twice", [source], make).count() == 3
+    spark.range(2).write.mode("append").parquet(source)
+    assert scratch.published(spark, "twice", [source], make).count() == 5 and len(calls) == 2
