@@ -48,12 +48,12 @@ class Disk:
 
 
 class RunSort:
-    """(key, value) records by key: sorted runs of half the budget, merged in chunks."""
+    """(key, value) records by key: sorted runs of a quarter of the budget, one after the other in two files, merged in chunks."""
 
     def __init__(self, disk: Disk):
         self.disk, self.held, self.size = disk, [], 0
-        self.limit = max(64, disk.budget // ENTRY_BYTES)
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.limit = max(64, disk.budget // 64)
+        self.paths, self.ends = (disk.path(), disk.path()), array("q", [0])
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         if not len(keys):
@@ -61,10 +61,11 @@ class RunSort:
         self.held.append((keys, values))
         self.size += len(keys)
         if self.size >= self.limit:
-            k, v = self._sorted()
-            run = self.disk.array(len(k), np.uint64), self.disk.array(len(v), np.int64)
-            run[0][:], run[1][:] = k, v
-            self.runs.append(run)
+            for path, column, kind in zip(self.paths, self._sorted(), (np.uint64, np.int64), strict=True):
+                with open(path, "ab") as out:
+                    column.astype(kind, copy=False).tofile(out)
+                n = len(column)
+            self.ends.append(self.ends[-1] + n)
 
     def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
         keys, values = (np.concatenate([h[c] for h in self.held]) for c in (0, 1))
@@ -74,11 +75,13 @@ class RunSort:
 
     def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         last = self._sorted() if self.held else None
-        if not self.runs:
+        if len(self.ends) == 1:
             if last is not None:
                 yield last
             return
-        runs = self.runs + ([last] if last is not None else [])
+        whole = [np.asarray(np.memmap(p, dtype=kind, mode="r")) for p, kind in zip(self.paths, (np.uint64, np.int64), strict=True)]
+        runs = [(whole[0][a:b], whole[1][a:b]) for a, b in zip(self.ends[:-1], self.ends[1:], strict=True)]
+        runs += [last] if last is not None else []
         step = max(16, self.limit // len(runs))
         at = [0] * len(runs)
         while any(a < len(k) for a, (k, _) in zip(at, runs, strict=True)):
@@ -94,8 +97,8 @@ class RunSort:
             keys, values = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
             order = np.argsort(keys, kind="stable")
             yield keys[order], values[order]
-        for k, v in self.runs:
-            self.disk.drop(k, v)
+        for path in self.paths:
+            os.unlink(path)
 
 
 class BucketQueue:
