@@ -587,3 +587,64 @@ def test_deciles_keep_equal_values_together(spark):
     got = interactions.deciles(frame, "v").collect()
     assert len({r["decile"] for r in got if r["v"] == 1}) == 1
     assert max(r["decile"] for r in got) > 3
+
+
+@pytest.fixture
+def nothing_collected(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: (_ for _ in ()).throw(AssertionError("collected")))
+
+
+def test_als_keeps_factors_off_the_driver(spark, nothing_collected):
+    rows = [(u, i, 2.0) for u in range(9) for i in range(u % 3, 8, 2)]
+    edges = spark.createDataFrame(rows, "user_id long, item_id long, confidence double")
+    users, items = models.fit_als(edges, 3, 0.1, 1, 1)
+    assert users.count() == 9 and items.count() == 8
+    assert models.fold_in_als(edges.where("user_id < 2"), items).count() == 2
+
+
+def test_counts_without_what_is_shown(spark, nothing_collected, monkeypatch):
+    """Blocks of a few items, ties between equal vectors in different ones, and hidden items."""
+    monkeypatch.setattr(ranking, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(10, 3)).astype(np.float32)
+    pool = [(100 + i, vectors[i % 10].tolist(), float(i % 10)) for i in range(30)]
+    users = [(u, rng.normal(size=3).astype(np.float32).tolist()) for u in range(8)]
+    aims, lost = [(u, 100 + 3 * u) for u in range(8)], [(u, 100 + i) for u in range(8) for i in range(u, 30, 4)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = ranking.factor_tie_counts(frame(users, "user_id long, vec array<float>"), frame(pool, "item_id long, vec array<float>, bias float"), frame(aims, "user_id long, target_item_id long"), frame(lost, "user_id long, item_id long"), k=0).collect()
+    assert len(got) == 8
+    for r in got:
+        u, aim = r["user_id"], r["target_item_id"] - 100
+        score = lambda i: float(np.dot(users[u][1], pool[i][1]) + pool[i][2])
+        left = [i for i in range(30) if i == aim or (u, 100 + i) not in lost]
+        assert r["tied_block_size"] == sum(i % 10 == aim % 10 for i in left)
+        assert r["strictly_above"] == sum(i % 10 != aim % 10 and score(i) > score(aim) for i in left)
+
+
+def test_pairwise_fit_keeps_items_off_the_driver(spark, nothing_collected):
+    rows = [(u, i) for u in range(9) for i in range(u % 3, 8, 2)]
+    edges = spark.createDataFrame(rows, "user_id long, item_id long")
+    labels = spark.createDataFrame([(i, f"genre::{i % 3}", 0.5) for i in range(8)], "item_id long, feature_name string, weight double")
+    for named in (None, labels):
+        users, items = models.fit_bpr(edges, named, 3, epochs=1)
+        assert users.count() == 9 and items.count() == 8
+        folded = models.fold_in_bpr_users(edges.where("user_id < 4"), items)
+        assert folded.rdd.getNumPartitions() > 1 and folded.count() == 4
+
+
+def test_inner_products_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS_PER_BLOCK", 3)
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.normal(size=4).astype(np.float32).tolist(), k % 2) for k in range(15)] + [(20, None, 0), (21, [1.0, None, 2.0, 1.0], 0), (22, [1.0, 2.0], 0), (23, [], 1), (24, [float("inf"), 0.0, 0.0, 0.0], 1), (3, [1.0] * 4, 1), (None, [1.0] * 4, 1), (30, [1.0] * 4, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(((r[0], r[1], r[2]) for r in ranking.inner_products(table, "label", "vec_id", "embedding").collect()), key=repr)
+    want = []
+    for i, a, x in rows:
+        for j, b, y in rows:
+            if x == y and x is not None and None not in (i, j) and i != j:
+                each = [float(p) * float(q) for p, q in zip(a or [], b or [], strict=False) if p is not None and q is not None]
+                want.append((i, j, sum(each) if each else None))
+    assert repr(got) == repr(sorted(want, key=repr))
+    values = np.array([0.0000005, -0.0000005, 2.5e-6, 1.0000015, -1.2345675, 1e-9, -1e-9, 1e12 + 0.1, np.inf, 1e300])
+    rounded = [r[0] for r in spark.createDataFrame([(float(v),) for v in values], "v double").select(F.round("v", 6)).collect()]
+    assert ranking.rounded_half_up(values, 6).tolist() == rounded
