@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release() -> None:
+    """Give free memory of this process back to the system.
+
+    Python workers outlive their tasks: each would keep the most that any of its tasks took, beside the executor's JVM.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def words(text: Column) -> Column:
     """Words of text between ASCII white space; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquetry.llm.common import discard, materialize
+from marquetry.llm.common import discard, materialize, release
 from marquetry.llm.components import components
 
 SHINGLE = 5
@@ -190,6 +190,8 @@ def forest(nodes: DataFrame, threshold: float, trees: int, target_recall: float)
             run = pd.concat(parts, ignore_index=True)
             at, cool = walked(run["tree"].to_numpy(), run["key"].to_numpy(), least, HOT)
             yield run.iloc[at].assign(cool=cool[at])
+            del parts, run, at, cool
+            release()
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -205,6 +207,8 @@ def forest(nodes: DataFrame, threshold: float, trees: int, target_recall: float)
                 cool = np.zeros((number.max() + 1, trees), dtype=np.int32)
                 cool[number, tree] = part["cool"]
                 yield part.drop(columns="cool").assign(depth=chosen_depths(cool, threshold, target_recall, least)[number, tree])
+                del part, number, tree, cool
+                release()
 
     rows = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
     runs = max(1, nodes.count() * trees // RUN_ROWS)
@@ -252,6 +256,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
                 counts.append(len(h))
                 keys.append(trie_keys(h, trees) if len(h) else None)
             yield batch.assign(n=counts, keys=keys)
+            del batch, keys, counts
+            release()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(key_col).cast("long").alias("doc"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
@@ -303,6 +309,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(hashes=[np.unique(shingle_hashes(t, size)).tobytes() for t in batch.pop("text")])
+            del batch
+            release()
 
     sets = texts.select("node", "copies", "i", "j", "block", "large", "text").mapInPandas(shingle, "node long, copies long, i long, j long, block long, large boolean, hashes binary")
 
@@ -312,6 +320,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
         pdf = pdf.assign(later=pdf["block"] != first).sort_values(["later", "node"], ignore_index=True)
         split = int((~pdf["later"]).sum()) if large and first != second else 0
         i, j = similar_pairs([np.frombuffer(h, dtype=np.uint64) for h in pdf["hashes"]], threshold, split)
+        release()
         copies = pdf["copies"].to_numpy(dtype=np.float64)
         n = len(pdf)
         links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)

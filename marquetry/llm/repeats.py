@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquetry.llm.common import materialize
+from marquetry.llm.common import materialize, release
 from marquetry.llm.suffixes import BUDGET, Disk, RunSort, sorted_suffixes
 
 LENGTH = 50
@@ -420,6 +420,17 @@ class _Judge:
                     yield rows[later], mask
 
 
+def _rows_at(text: np.ndarray, left: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """The `width` bytes of text from each place, zeros after the first size[k] of them."""
+    out = np.empty((len(left), width), dtype=np.uint8)
+    column = np.arange(width)
+    for k in range(0, len(left), ROWS):  # an index takes eight times the bytes that it picks
+        part = out[k : k + ROWS]
+        part[:] = text[left[k : k + ROWS, None] + column]
+        part[column >= size[k : k + ROWS, None]] = 0
+    return out
+
+
 def _kept(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, int]:
     """(mask of removed bytes, number of removed runs)."""
     edge = np.zeros(len(text) + 1, dtype=np.int32)
@@ -475,7 +486,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
 
     def send_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t.encode("utf-8", "replace") for t in batch["text"]]
+            texts = [t.encode("utf-8", "replace") for t in batch.pop("text")]
             number, group = batch["number"].to_numpy(dtype=np.uint64), batch["q"].to_numpy(dtype=np.int64)
             for lo, hi in _batches(texts):
                 buffer, lengths = _joined(texts[lo:hi])
@@ -485,8 +496,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
                 owner = lo + np.searchsorted(np.cumsum(lengths), place, side="right")
                 shard = ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
                 h, to, d = h.astype(np.uint32), shard * groups + group[owner], number[owner]
+                del buffer, place, owner, shard
                 order = np.lexsort((h, to))
                 h, to, d = h[order], to[order], d[order]
+                del order
                 first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (to[1:] != to[:-1])])
                 both = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)  # two texts here already
                 times = np.minimum(np.diff(np.r_[first, len(h)]), 65_535).astype(np.uint16)
@@ -494,6 +507,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
                 cuts = np.searchsorted(to // groups, np.arange(shards + 1))
                 found = [(s, _pack((to[a:b] % groups).astype(np.uint32), h[a:b], d[a:b], times[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
                 yield pd.DataFrame(found, columns=["s", "body"])
+                del h, to, d, times, first, both, found
+                release()
 
     def find_shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """For each group of texts the grams of this shard that it shares with another text, by two sorts in runs."""
@@ -550,6 +565,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
                     parts.append((key[a:b].astype(np.uint32), hot[a:b].astype(np.uint8)))
                 yield pd.DataFrame(out, columns=["q", "s", "body"])
             yield pd.DataFrame([message()] if parts else [], columns=["q", "s", "body"])
+            del entries, runs, by_group, rest, parts
+        release()
 
     half = before // 2
 
@@ -596,14 +613,16 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
             place, shard, owner, begin, left, size = (x[able] for x in (place, shard, owner, begin, left, size))
             if not len(place):
                 continue
-            context = padded[left[:, None] + np.arange(width)]
-            context[np.arange(width) >= size[:, None]] = 0
+            context = _rows_at(padded, left, size, width)
             # A context that a text holds more than once is sent once; the removal finds its other places.
             code = _row_keys(context, size, place - left)[1]
             own = doc[lo + owner]
             order = np.lexsort((left, owner, own, code, shard))
             equal = np.r_[False, (code[order][1:] == code[order][:-1]) & (shard[order][1:] == shard[order][:-1])]
-            equal[1:] &= (context[order][1:] == context[order][:-1]).all(axis=1) & (size[order][1:] == size[order][:-1])
+            equal[1:] &= size[order][1:] == size[order][:-1]
+            for k in range(0, len(order), ROWS):  # all but the first of a chunk's rows, which begins with the last of the one before
+                near = context[order[max(0, k - 1) : k + ROWS]]
+                equal[max(1, k) : k + ROWS] &= (near[1:] == near[:-1]).all(axis=1)
             same = equal & np.r_[False, owner[order][1:] == owner[order][:-1]]
             again = np.r_[same[1:], False]
             # Of equal contexts those of larger documents are settled: the least one's document holds all their windows.
@@ -622,6 +641,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
                         out.append((s, q, True, _pack(number, at, wide, often, mask)))
                     else:
                         out.append((s, q, False, _pack(own[p], number, at, wide, (place[p] - left[p]).astype(np.uint8), often, np.ascontiguousarray(context[p]))))
+            del buffer, padded, context, place, shard, owner, begin, left, size, order
+            release()
         return pd.DataFrame(out, columns=columns)
 
     kinds = ("i8", "u4", "i8", "u1", "u1", "u1", "u1")
@@ -651,6 +672,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
                 out = [(int(to[a]), _pack(*(rows[c][a:b] for c in ("number", "left", "size", "many")), mask[a:b])) for a, b in zip(starts, [*starts[1:], len(to)], strict=True)] if len(to) else []
                 yield pd.DataFrame(ready + out, columns=["q", "body"])
                 ready.clear()
+                del rows, mask, to, out
+                release()
         yield pd.DataFrame(ready, columns=["q", "body"])
 
     made = "doc long, digest string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
@@ -683,6 +706,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key_col: str = "doc_id",
             removed, spans = _kept(text, np.unique(np.concatenate(starts)), length)
             kept = np.frombuffer(text, np.uint8)[~removed].tobytes()
             out.append([*row, int(removed.sum()), spans, hashlib.sha256(kept).hexdigest()] + [kept.decode("utf-8", "ignore")] * keep_text)
+        del texts, hits, every, parts, number, left, size, many, mask, order
+        release()
         return pd.DataFrame(out, columns=[f.split()[0] for f in made.split(", ")])
 
     grams = dealt.withColumn("number", F.monotonically_increasing_id()).mapInPandas(send_grams, "s int, body binary")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquetry.llm.common import release
+
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "literal")
 #: The base patterns and their least lengths.
@@ -310,6 +312,8 @@ def secret_scan(docs: DataFrame, text_col: str = "text", redact: bool = False, m
                 row = [n["assign"], n["access"], n["hex"], n["literal"], hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans)]
                 rows.append(row + [redacted(text, spans) if text else text] * redact)
             yield pd.DataFrame(rows, columns=names + ["redacted"] * redact)
+            del batch, rows
+            release()
 
     out = docs.withColumn("_s", scanned(F.col(text_col)))
     if redact:
