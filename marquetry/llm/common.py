@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,14 @@ def release() -> None:
         trim(0)
 
 
+def fresh(taken: Iterable[str], base: str) -> str:
+    """A working column's name that none of the taken ones equals, whatever their case."""
+    used, name = {c.lower() for c in taken}, f"_{base}"
+    while name in used:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """Words of text between ASCII white space; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

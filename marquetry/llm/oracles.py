@@ -145,6 +145,45 @@ select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'bytes' a
     )
 
 
+def spelling_sql() -> str:
+    # Near words share what is left when one character of each, or of the longer one, is left out.
+    return (
+        _CRC
+        + f""",
+runs as (select doc_id, translate(run, '{_UPPER}', '{_LOWER}') as run from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) as run from documents) where length(run) >= 5),
+counted as (select doc_id, run, count(*) as times, doc_id || ':' || run as mark from runs group by doc_id, run),
+bytes as (select *, list_transform(range(1, octet_length(encode(mark)) + 1), lambda i: ('0x' || substr(hex(encode(mark)), 2 * i - 1, 2))::bigint) as b from counted),
+hashed as (select run, times, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1]), 4294967295), 4294967295) as h from bytes cross join crc_table),
+words as (
+  select word, sum(times)::bigint as n
+  from (select times, case when h % 97 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run) + 2)::bigint) else run end as word from hashed)
+  where length(word) >= 5 group by word having sum(times) >= 3),
+left_out as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+pairs as (
+  select a.word as a, b.word as b from left_out a join left_out b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select a.word, w.word from left_out a join words w on a.rest = w.word
+  union select w.word, a.word from left_out a join words w on a.rest = w.word),
+near as (select a, b, n as near_n, count(*) over (partition by a) as n_near, row_number() over (partition by a order by n desc, b) as turn from pairs join words on word = b),
+forms as (select word, n, case when near_n >= 2 * n then b end as form, coalesce(n_near, 0) as n_near, case when near_n >= 2 * n then near_n end as form_n from words left join near on a = word and turn = 1),
+chain(word, here, step) as (select word, word, 0 from forms union all select chain.word, form, step + 1 from chain join forms on forms.word = here where form is not null),
+roots as (select word, arg_max(here, step) as root from chain group by word)
+select word, form, root, n, n_near, form_n from forms join roots using (word)"""
+    )
+
+
+def infill_sql() -> str:
+    part = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::bigint"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || doc_id) as h from documents),
+c as (
+  select doc_id, t, n, least({part(0)} % (n + 1), {part(1)} % (n + 1)) as a, greatest({part(0)} % (n + 1), {part(1)} % (n + 1)) as b,
+    case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or {part(2)} % 100 >= 90 then 'plain' when {part(3)} % 100 < 20 then 'spm' else 'psm' end as form from d),
+p as (select *, substr(t, 1, a) as prefix, substr(t, a + 1, b - a) as middle, substr(t, b + 1) as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else t end) as output_sha256,
+  sha256(t) as restored_sha256 from p"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality_sql(),
@@ -154,4 +193,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_license_scans": license_sql(),
         "op9_suffix_dedup": repeats_sql(),
         "op10_sharding": sharding_sql(),
+        "op12_spelling_groups": spelling_sql(),
+        "op13_fill_in_middle": infill_sql(),
     }

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquetry.llm import jaccard, licenses, packing, pieces, quality, repeats, secrets, sharding, topk, urlrules
+from marquetry.llm import infill, jaccard, licenses, packing, pieces, quality, repeats, secrets, sharding, topk, toxicity, urlrules, variants
 from marquetry.llm.common import table
 
 
@@ -68,6 +68,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(docs)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    evidence = F.transform("neighbours", lambda x: x["id"].cast("long")).alias("evidence")
+    return toxicity.toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", evidence)
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.spelling_groups(variants.corpus_words(docs))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = infill.fill_in_middle(docs)
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries() -> dict:
     found = (op1_best_fit_packing, op2_quality_rules, op3_exact_topk, op4_jaccard_join, op5_secret_scans, op6_pieces, op7_url_filters, op8_license_scans, op9_suffix_dedup, op10_sharding)
+    found += (op11_toxicity, op12_spelling_groups, op13_fill_in_middle)
     return {f.__name__: f for f in found}
