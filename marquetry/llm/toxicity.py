@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,9 +27,12 @@ MIN_EXAMPLES = 5
 NEIGHBOURS = 15
 PRIOR_VOTES = 0.5
 NEAREST = 0.05
-#: Examples of a block, and blocks that a query opens at first.
+#: Examples of a block, blocks that a query opens in the first and in the second wave, and queries that are asked together.
 BLOCK = 64
-OPENED = 4
+WAVES = (4, 16)
+ASKED = 256
+#: The step of weights: a product takes 48 of a double's 53 bits.
+GRAIN = 2.0**-24
 #: From this score on a text is called toxic.
 THRESHOLD = 0.3
 #: Texts beyond so many characters are tokenised word by word instead of by a list.
@@ -53,32 +56,40 @@ def terms_of(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in STEMS if k <= len(word)]]
 
 
-def term_counts(text: str | None, vocabulary: dict[str, int]) -> Counter:
+def term_counts(text: str | None, vocabulary: dict[str, int], heads: frozenset[str] | None = None) -> Counter:
     """Occurrences of the vocabulary's terms in a whole text; all its words together are one more term, the last.
 
-    Through that term a vector knows how much else a text says beside the terms that speak for a label.
+    Through that term a vector knows how much else a text says beside the terms that speak for a label. `heads` are the first
+    letters, four at most, of the vocabulary's terms, if they are known: words that begin otherwise are passed over.
     """
     counts = word_counts(text)
     out: Counter = Counter({len(vocabulary): counts.total()} if counts else {})
     for word, n in counts.items():
-        for term in terms_of(word):
+        for term in terms_of(word) if heads is None or word[: STEMS[0]] in heads else ():
             if (found := vocabulary.get(term)) is not None:
                 out[found] += n
     return out
 
 
+def heads_of(vocabulary: dict[str, int]) -> frozenset[str]:
+    return frozenset(term.rstrip("*")[: STEMS[0]] for term in vocabulary)
+
+
 def unit_vector(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms in rising order and their weights (1 + ln count) * idf, scaled to length 1."""
+    """Terms in rising order and their weights (1 + ln count) * idf, scaled to length 1, in whole steps of GRAIN.
+
+    Products of such weights and their sums are exact in doubles, in whatever order they are added: equal vectors tie exactly.
+    """
     terms = np.array(sorted(counts), dtype=np.int64)
     weights = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * idf[terms]
-    return terms, weights / np.sqrt((weights * weights).sum()) if len(terms) else weights
+    return terms, np.maximum(np.round(weights / np.sqrt((weights * weights).sum()) / GRAIN), 1) * GRAIN if len(terms) else weights
 
 
 class BlockMaxIndex:
     """Postings by term, then block of vectors, with the greatest weight of each such run.
 
     Examples of one vector are one entry. Entries that share their heaviest term stand together, so that blocks differ in what
-    they can reach.
+    they can reach. A block's runs are a matrix of its terms and entries, 0 where an entry lacks the term.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], block: int = BLOCK):
@@ -101,58 +112,69 @@ class BlockMaxIndex:
         owner = np.repeat(np.arange(len(single)), [len(t) for t, _ in single])
         terms = np.concatenate([none, *(t for t, _ in single)])
         turn = np.lexsort((owner, terms))
-        self.owner, self.weights = owner[turn], np.concatenate([np.empty(0), *(w for _, w in single)])[turn]
-        keys = terms[turn] * self.blocks + self.owner // block
-        self.starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else none
-        self.ends = np.r_[self.starts[1:], len(keys)].astype(np.int64) if len(keys) else none
-        self.keys = keys[self.starts]
-        self.most = np.maximum.reduceat(self.weights, self.starts) if len(keys) else np.empty(0)
+        owner, weights = owner[turn], np.concatenate([np.empty(0), *(w for _, w in single)])[turn]
+        keys = owner // block * (1 << 32) + terms[turn]
+        by_block = np.argsort(keys, kind="stable")
+        keys, owner, weights = keys[by_block], owner[by_block], weights[by_block]
+        starts = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=bool)
+        run, keys = np.cumsum(starts) - 1, keys[starts]
+        runs = np.zeros((len(keys), block))
+        runs[run, owner % block] = weights
+        cut = np.searchsorted(keys, np.arange(self.blocks + 1) << 32)
+        self.parts = [(keys[a:b] & (2**32 - 1), runs[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        self.width, self.n_terms = block, int(terms.max(initial=-1)) + 1
+        self.most = np.zeros((self.n_terms, self.blocks))
+        self.most[keys & (2**32 - 1), keys >> 32] = runs.max(axis=1, initial=0)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, barred: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0 (ties to the smaller number) and their cosines; `barred` ones take no part.
+        """The k examples of greatest cosine above 0 (ties to the smaller number) and their cosines; `barred` ones take no part."""
+        left_out = 0 if barred is None else len(barred)
+        ids, cosines = self.nearest_each([(terms, weights)], [k + left_out])[0]
+        free = ~np.isin(ids, barred) if left_out else np.ones(len(ids), dtype=bool)
+        return ids[free][:k], cosines[free][:k]
 
-        Blocks are opened by falling bound, twice as many each time, until the next bound lies below the kth cosine. Weights are
-        added in the order of terms, so that equal vectors have equal cosines.
+    def nearest_each(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector its k[i] examples of greatest cosine above 0, ties to the smaller number.
+
+        A vector's blocks stand by falling bound. The first wave opens the first of them, the second some more, the last all
+        others whose bound reaches the kth cosine found before. Vectors at the same block share one product.
         """
-        none = np.empty(0, np.int64), np.empty(0)
-        low, high = np.searchsorted(self.keys, terms * self.blocks), np.searchsorted(self.keys, (terms + 1) * self.blocks)
-        size = high - low
-        runs = np.repeat(low - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        if not len(runs):
-            return none
-        times = self.times
-        if barred is not None and len(barred):
-            times = times.copy()
-            np.subtract.at(times, self.entry[barred], 1)
-        asked = np.repeat(weights, size)
-        block = self.keys[runs] % self.blocks
-        bounds = np.bincount(block, asked * self.most[runs], self.blocks)
-        turn = np.argsort(-bounds, kind="stable")
-        turn = turn[: np.count_nonzero(bounds)]
-        hits, cosines, kth, a, step = none[0], none[1], 0.0, 0, OPENED
-        while a < len(turn) and bounds[turn[a]] * (1 + 1e-9) >= kth:
-            opened = np.zeros(self.blocks, dtype=bool)
-            opened[turn[a : a + step]] = True
-            chosen = opened[block]
-            first, length = self.starts[runs[chosen]], self.ends[runs[chosen]] - self.starts[runs[chosen]]
-            at = np.repeat(first - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-            sums = np.bincount(self.owner[at], np.repeat(asked[chosen], length) * self.weights[at], len(times))
-            found = np.flatnonzero((sums >= max(kth, 1e-300)) & (times > 0))
-            hits, cosines = np.r_[hits, found], np.r_[cosines, sums[found]]
-            order = np.argsort(-cosines, kind="stable")
-            reached = np.searchsorted(np.cumsum(times[hits[order]]), k)
-            if reached < len(order):
-                kth = cosines[order[reached]]
-                hits, cosines = hits[cosines >= kth], cosines[cosines >= kth]
-            a, step = a + step, step * 2
-        if not len(hits):
-            return none
-        ids, cosines = np.concatenate([self.members[h] for h in hits.tolist()]), np.repeat(cosines, self.times[hits])
-        if barred is not None and len(barred):
-            free = ~np.isin(ids, barred)
-            ids, cosines = ids[free], cosines[free]
-        best = np.lexsort((ids, -cosines))[:k]
-        return ids[best], cosines[best]
+        asked = np.zeros((self.n_terms, len(vectors)))
+        for q, (terms, weights) in enumerate(vectors):
+            known = terms < self.n_terms
+            asked[terms[known], q] = weights[known]
+        bounds = asked.T @ self.most
+        rank = np.empty(bounds.shape, dtype=np.int64)
+        np.put_along_axis(rank, np.argsort(-bounds, axis=1, kind="stable"), np.arange(self.blocks)[None, :], axis=1)
+        wanted, kth = np.asarray(k, dtype=np.int64), np.full(len(vectors), GRAIN * GRAIN)
+        query, entry, cosine = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for low, high in zip((0, *WAVES), (*WAVES, self.blocks), strict=True):
+            opens = (rank >= low) & (rank < high) & (bounds >= kth[:, None])
+            found = [(query, entry, cosine)]
+            for b in np.flatnonzero(opens.any(axis=0)).tolist():
+                q = np.flatnonzero(opens[:, b])
+                terms, runs = self.parts[b]
+                scores = asked[np.ix_(terms, q)].T @ runs
+                at, e = np.nonzero(scores >= kth[q][:, None])
+                found.append((q[at], b * self.width + e, scores[at, e]))
+            query, entry, cosine = (np.concatenate([f[c] for f in found]) for c in range(3))
+            order = np.lexsort((entry, -cosine, query))
+            query, entry, cosine = query[order], entry[order], cosine[order]
+            before = np.cumsum(self.times[entry]) - self.times[entry]
+            first = np.searchsorted(query, np.arange(len(vectors)))
+            before -= np.concatenate([before, [0]])[first][query]
+            holds_kth = np.flatnonzero((before < wanted[query]) & (before + self.times[entry] >= wanted[query]))
+            kth[query[holds_kth]] = cosine[holds_kth]
+            near = cosine >= kth[query]
+            query, entry, cosine = query[near], entry[near], cosine[near]
+        cut, out = np.searchsorted(query, np.arange(len(vectors) + 1)), []
+        for q in range(len(vectors)):
+            hits = entry[cut[q] : cut[q + 1]]
+            ids = np.concatenate([np.empty(0, np.int64), *(self.members[h] for h in hits.tolist())])
+            cosines = np.repeat(cosine[cut[q] : cut[q + 1]], self.times[hits])
+            best = np.lexsort((ids, -cosines))[: wanted[q]]
+            out.append((ids[best], cosines[best]))
+        return out
 
 
 def vote(cosines: np.ndarray, toxic: np.ndarray, base: float) -> float:
@@ -199,19 +221,21 @@ class Model:
     blank: float
     knots: np.ndarray
     values: np.ndarray
-    known: dict = field(default_factory=dict)
-
-    def raw(self, text: str | None, k: int, barred: np.ndarray | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """The vote on a text (null where it has no neighbour), its neighbours and their cosines."""
-        terms, weights = unit_vector(term_counts(text, self.vocabulary), self.idf)
-        plain = len(terms) == 1 and barred is None  # such vectors differ by their term only
-        if plain and (found := self.known.get((int(terms[0]), k))):
-            return found
-        found, cosines = self.index.nearest(terms, weights, k, barred)
-        out = (vote(cosines, self.toxic[found], self.base) if len(found) else None), found, cosines
-        if plain:
-            self.known[int(terms[0]), k] = out
-        return out
+    heads: frozenset[str] = frozenset()
+
+    def __post_init__(self) -> None:
+        self.heads = heads_of(self.vocabulary)
+
+    def votes(self, texts: list[str | None], k: int, barred: list[np.ndarray] | None = None) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
+        """For each text the vote (null where it has no neighbour), its neighbours and their cosines, without the barred examples."""
+        for a in range(0, len(texts), ASKED):
+            vectors = [unit_vector(term_counts(t, self.vocabulary, self.heads), self.idf) for t in texts[a : a + ASKED]]
+            out = barred[a : a + ASKED] if barred else [np.empty(0, np.int64)] * len(vectors)
+            for (ids, cosines), left_out in zip(self.index.nearest_each(vectors, [k + len(x) for x in out]), out, strict=True):
+                if len(left_out):
+                    free = ~np.isin(ids, left_out)
+                    ids, cosines = ids[free][:k], cosines[free][:k]
+                yield (vote(cosines, self.toxic[ids], self.base) if len(ids) else None), ids, cosines
 
     def score(self, raw: float | None) -> float:
         return self.blank if raw is None else float(np.interp(raw, self.knots, self.values))
@@ -263,13 +287,13 @@ def document_counts(docs: DataFrame, text_col: str, vocabulary: dict[str, int])
 
     One row for each term of the vocabulary reaches the driver.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, heads_of(vocabulary)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter({-1: batch.num_rows})
             for text in batch.column(0):
-                seen.update(term_counts(text.as_py(), shared.value).keys())
+                seen.update(term_counts(text.as_py(), *shared.value).keys())
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
             release()
 
@@ -319,7 +343,8 @@ def fit(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: s
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, same = shared.value
         for batch in batches:
-            raw = [model.raw(t, k, same.get(d))[0] for t, d in zip(batch["text"], batch["digest"], strict=True)]
+            own = [same.get(d, np.empty(0, np.int64)) for d in batch["digest"]]
+            raw = [r for r, _, _ in model.votes(batch["text"].tolist(), k, own)]
             yield pd.DataFrame({"raw": [math.nan if r is None else r for r in raw], "toxic": batch["toxic"]})
 
     votes = train.mapInPandas(judged, "raw double, toxic int").where("raw is not null and not isnan(raw)").toPandas()
@@ -344,8 +369,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", k: int = NEI
         model = shared.value
         for texts in batches:
             scores, near = [], []
-            for text in texts:
-                raw, found, cosines = model.raw(text.as_py(), k)
+            for raw, found, cosines in model.votes(texts.to_pylist(), k):
                 scores.append(model.score(raw))
                 near.append([{"id": str(i), "toxic": int(t), "cosine": c} for i, t, c in zip(model.ids[found], model.toxic[found], cosines.tolist(), strict=True)])
             called = pa.array([int(s >= threshold) for s in scores], pa.int32())
