@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -232,11 +234,14 @@ def literal_spans(text: str) -> list[tuple[Span, float]]:
         return []
     lexer = _Lexer(text)
     scores: dict[tuple[int, int], float] = {}
-    at = line = 0
+    at = line = seen = 0
+    indent = _BLANK.match(text, 0).end()
     while m := _TARGET.search(text, at):
         at = pos = m.end()
-        line = text.rfind("\n", 0, m.start()) + 1 if "\n" in text[line : m.start()] else line
-        indent = _BLANK.match(text, line).end() - line
+        if (feed := text.rfind("\n", seen, m.start())) >= 0:  # only what lies behind the target before is looked through
+            line = feed + 1
+            indent = _BLANK.match(text, line).end() - line
+        seen = max(seen, m.start())
         name = m[2] or m[1] or m[3] or m[4]
         listed = False
         if m[3]:
@@ -270,7 +275,10 @@ def scan_text(text: str | None, min_score: float = MIN_SCORE) -> tuple[list[Span
     """(base spans, all spans) of a text: literals that score and that no base span covers are added."""
     text = text or ""
     base = base_spans(text)
-    extra = [s for s, score in literal_spans(text) if score >= min_score and not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
+    starts = sorted(a for a, _, _ in base)
+    reach = list(accumulate((b for _, b, _ in sorted(base)), max))  # the furthest end of the spans up to each start
+    covered = lambda a, b: (k := bisect_right(starts, a)) > 0 and reach[k - 1] >= b
+    extra = [s for s, score in literal_spans(text) if score >= min_score and not covered(s[0], s[1])]
     return base, sorted(base + extra, key=_order)
 
 
