@@ -137,7 +137,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     Components become floor(scale * x). Ties go to the smaller id; the query's own row is left out; fewer rows
     than k return all. Null ids and vectors that are null or hold null or non-finite components take no part. Vectors of
     another length than the query's are not compared with it. Rows that repeat an id count each, and each of them that
-    is a query is asked apart. An empty table gives an empty result; other columns, whatever their names, are not looked at.
+    is a query is asked apart. Components so large that a score might not fit 64 bits are an error. An empty table gives an empty result; other columns, whatever their names, are not looked at.
 
     Rows are dealt into shards of about rows_per_shard by a hash of their number and queries into blocks; every shard meets
     every block once, so each task holds one of both and no pair of rows is ever a row of a plan. A first wave asks each
@@ -148,7 +148,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     """
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole_numbers(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("v is not null")
     rows = materialize(rows.withColumns({"dim": F.size("v"), "row": F.monotonically_increasing_id()}), "vectors")
-    n, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
+    widest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
+    n, asked, most, dim = rows.agg(F.count("*"), F.count_if("asks"), F.coalesce(widest, F.lit(0.0)), F.coalesce(F.max("dim"), F.lit(0))).first()
+    if most * most * dim >= 2.0**63:
+        raise ValueError(f"a component of {most:.3g} in {dim} dimensions may take scores beyond 64 bits")
     shards = max(MIN_SHARDS, -(-n // rows_per_shard))
     blocks = max(1, -(-asked // queries_per_block))
     hashed = lambda c, seed, m: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(m)).cast("int")
