@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquetry.functions import hashing, scalars
-from marquetry.operators import bundles, composition, evaluation, features, interactions, models, pricing, ranking, splits, statistics, sweeps
+from marquetry.operators import bundles, composition, evaluation, exposure, features, interactions, models, pricing, ranking, splits, statistics, sweeps
 from marquetry.plans import evaluate, orchestrate, tables
 from marquetry.plans.evaluate import rounded
 from marquetry.plans.tables import BUNDLES_SQL, EDGES_SQL, NESTED_SQL, OUTER_SQL, PANEL_SQL, RAW_SQL, hash_sql, id_sql
@@ -900,6 +900,72 @@ def als_fit_rank(spark, d):
     return _ranked(ready, users, items.withColumnRenamed("id", "item_id"), "als")
 
 
+def _shown_by_als(spark, d) -> tuple[evaluate.Prepared, DataFrame]:
+    """What the evaluated users are shown in their first 20 places by the factors of `als_fit_rank`."""
+    ready = evaluate.prepare(spark, d)
+    users, items = models.fit_als(_weighted(ready), factors=64, ridge=0.05, iterations=12, save=saver(spark))
+    asked = users.withColumnRenamed("id", "user_id").join(ready.targets.select("user_id"), "user_id", "left_semi")
+    return ready, exposure.factor_exposure(asked, items.withColumnRenamed("id", "item_id"), ready.hidden, 20)
+
+
+@query()
+def als_coverage(spark, d):
+    """Expected share of the warm catalogue that implicit ALS shows in first 20 places."""
+    ready, shown = _shown_by_als(spark, d)
+    return exposure.exposure_coverage(shown, ready.warm.count())
+
+
+@query()
+def als_concentration(spark, d):
+    """Share of what implicit ALS shows in first 20 places that falls on the one percent of items most owned."""
+    ready, shown = _shown_by_als(spark, d)
+    return exposure.exposure_concentration(shown, interactions.top_share(evaluate.item_scores(ready, "popularity"), "score"))
+
+
+_VECTORS_SQL = (
+    "v as materialized (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0), "
+    "scored as (select a.vec_id as user_id, b.vec_id as item_id, list_inner_product(a.v, b.v) as score from v a join v b on a.vec_id <> b.vec_id), "
+    "placed as (select *, rank() over (partition by user_id order by score desc) as rk, count(*) over (partition by user_id, score) as c, count(*) over (partition by user_id) as n from scored), "
+    "shown as (select user_id, item_id, least(1.0::double, (least(20, n) - (rk - 1)) / c::double) as inclusion from placed where rk <= 20)"
+)
+
+
+def _vectors(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Users, items and exclusions: every vector in whole steps of 1/256 (sums are exact) meets every other one."""
+    wide = F.transform("embedding", lambda x: x.cast("double"))
+    fine = F.forall(wide, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    rows = tables.table(spark, d, "embeddings").where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    rows = rows.select("vec_id", F.transform(wide, lambda x: F.floor(x * 256).cast("float")).alias("vec"))
+    return rows.withColumnRenamed("vec_id", "user_id"), rows.withColumnRenamed("vec_id", "item_id"), rows.select(F.col("vec_id").alias("user_id"), F.col("vec_id").alias("item_id"))
+
+
+@query(
+    f"with {_VECTORS_SQL} select user_id, max(n) as candidate_count, least(max(n), 20) as selected_count, arg_max(score, rk) as threshold, max(rk) - 1 as strictly_above, arg_max(c, rk) as tied_block_size, "
+    "(least(max(n), 20) - (max(rk) - 1)) / arg_max(c, rk)::double as inclusion from placed where rk <= 20 group by user_id"
+)
+def factor_boundaries(spark, d):
+    """Where the first 20 places of each vector end among the inner products with all others."""
+    return exposure.top_k_boundaries(*_vectors(spark, d), 20)
+
+
+@query(f"with {_VECTORS_SQL}, e as (select item_id, 1 - product(1 - inclusion) as shown from shown group by 1) select round(sum(shown), 6) as expected_items, round(sum(shown) / (select count(*) from v), 6) as coverage from e")
+def factor_coverage(spark, d):
+    """Expected share of vectors that stand in the first 20 places of some other one."""
+    users, items, own = _vectors(spark, d)
+    return rounded(exposure.exposure_coverage(exposure.factor_exposure(users, items, own, 20), items.count()), 6)
+
+
+@query(
+    f"with {_VECTORS_SQL}, longest as (select vec_id from v qualify row_number() over (order by list_inner_product(v, v) desc, vec_id) <= (select (count(*) + 99) // 100 from v)) "
+    "select round(coalesce(sum(inclusion) filter (item_id in (select vec_id from longest)), 0) / sum(inclusion), 6) as concentration from shown"
+)
+def factor_concentration(spark, d):
+    """Share of first 20 places that falls on the one percent of longest vectors."""
+    users, items, own = _vectors(spark, d)
+    longest = interactions.top_share(items.select("item_id", F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x).alias("score")), "score")
+    return rounded(exposure.exposure_concentration(exposure.factor_exposure(users, items, own, 20), longest), 6)
+
+
 @query()
 def als_fold_in(spark, d):
     """Assessment users folded in against frozen item factors: norms per user."""
