@@ -463,7 +463,11 @@ def test_bpr_gradient_and_fold_in():
     assert np.abs(x).max() < 100
 
 
-def test_bpr_fit_equals_numpy(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_bpr_fit_equals_numpy(spark, monkeypatch, small):
+    if small:  # many groups, whose gradients are summed in two steps, and ranges of few items
+        for name, value in (("EDGES_PER_TURN", 4), ("FAN", 2), ("ITEMS_PER_RANGE", 2)):
+            monkeypatch.setattr(models, name, value)
     rng = np.random.default_rng(6)
     rows = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 12, 60), rng.integers(0, 9, 60), strict=True)})
     edges = spark.createDataFrame([(10 * u, 100 + i) for u, i in rows], "user_id long, item_id long")
@@ -472,12 +476,11 @@ def test_bpr_fit_equals_numpy(spark):
     losses = []
     users, items = models.fit_bpr(edges, features_, 4, 0.01, 0.1, epochs=3, rounds=1, save=lambda df: df.checkpoint(), losses=losses)
     # The same rounds in one process, group by group with the same draws, by scattered sums.
-    group = {r["user_id"]: r["g"] for r in edges.select("user_id", F.pmod(F.xxhash64("user_id", F.lit(5)), F.lit(spark.sparkContext.defaultParallelism)).alias("g")).collect()}
+    group = {r["user_id"]: r["g"] for r in edges.select("user_id", F.pmod(F.xxhash64("user_id", F.lit(5)), F.lit(max(len(rows) // models.EDGES_PER_TURN, spark.sparkContext.defaultParallelism))).alias("g")).collect()}
     ids = sorted({100 + i for _, i in rows})
     seed, n = 104_729, len(rows)
-    rng = np.random.default_rng(models.namespaced_seed(seed, "items"))
-    q, bias = 0.01 * rng.standard_normal((len(ids), 4)), np.zeros(len(ids))
-    f = 0.01 * rng.standard_normal((3, 4))
+    q, bias = np.stack([0.01 * np.random.default_rng(models.namespaced_seed(seed, "item", i)).standard_normal(4) for i in ids]), np.zeros(len(ids))
+    f = 0.01 * np.random.default_rng(models.namespaced_seed(seed, "features")).standard_normal((3, 4))
     w = np.array([[0.5 * (i % 3 == k) for k in range(3)] for i in range(9) if 100 + i in ids])
     names = sorted({10 * u for u, _ in rows})
     p = np.stack([0.01 * np.random.default_rng(models.namespaced_seed(seed, "user", u)).standard_normal(4) for u in names])
