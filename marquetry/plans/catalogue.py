@@ -1017,10 +1017,18 @@ def poisson_bootstrap(spark, d):
 @query()
 def svd_values(spark, d):
     """Leading singular values of the training matrix."""
-    values, _, _ = models.truncated_svd(_weighted(evaluate.prepare(spark, d)), 4)
+    values, _, _ = models.truncated_svd(_weighted(evaluate.prepare(spark, d)), 4, rounds=12, save=saver(spark))
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "position int, value double")
 
 
+@query()
+def nmf_losses(spark, d):
+    """The squared error of eight non-negative factors of the training matrix after each of ten rounds."""
+    losses: list[float] = []
+    models.fit_nmf_edges(_weighted(evaluate.prepare(spark, d)), 8, rounds=10, save=saver(spark), losses=losses)
+    return spark.createDataFrame(list(enumerate(losses, 1)), "round int, loss double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
