@@ -64,10 +64,21 @@ def term_counts(text: str | None, vocabulary: dict[str, int], heads: frozenset[s
     """
     counts = word_counts(text)
     out: Counter = Counter({len(vocabulary): counts.total()} if counts else {})
-    for word, n in counts.items():
-        for term in terms_of(word) if heads is None or word[: STEMS[0]] in heads else ():
+    head = STEMS[0]
+    for word in counts if heads is None else [w for w in counts if w[:head] in heads]:
+        for term in terms_of(word):
             if (found := vocabulary.get(term)) is not None:
-                out[found] += n
+                out[found] += counts[word]
+    return out
+
+
+def held_terms(text: str | None, vocabulary: dict[str, int], heads: frozenset[str]) -> set[int]:
+    """The terms that `term_counts` would count."""
+    lower, head = (text or "").lower(), STEMS[0]
+    words = {m.group() for m in _WORD.finditer(lower)} if len(lower) > LONG else set(_WORD.findall(lower))
+    out = {len(vocabulary)} if words else set()
+    for word in [w for w in words if w[:head] in heads]:
+        out.update(vocabulary[t] for t in terms_of(word) if t in vocabulary)
     return out
 
 
@@ -292,8 +303,8 @@ def document_counts(docs: DataFrame, text_col: str, vocabulary: dict[str, int])
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter({-1: batch.num_rows})
-            for text in batch.column(0):
-                seen.update(term_counts(text.as_py(), *shared.value).keys())
+            for text in batch.column(0).to_pylist():
+                seen.update(held_terms(text, *shared.value))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
             release()
 
@@ -362,18 +373,22 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", k: int = NEI
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in NAMES or c == text_col])
     kept, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
-    evidence = pa.list_(pa.struct([("id", pa.string()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     @F.arrow_udf("struct<score:double,predicted:int,neighbours:array<struct<id:string,toxic:int,cosine:double>>>")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
+        ids, labels = pa.array(model.ids).cast(pa.string()), pa.array(model.toxic.astype(np.int32))
         for texts in batches:
-            scores, near = [], []
-            for raw, found, cosines in model.votes(texts.to_pylist(), k):
+            scores, near, cosines = [], [np.empty(0, np.int64)], [np.empty(0)]
+            for raw, found, each in model.votes(texts.to_pylist(), k):
                 scores.append(model.score(raw))
-                near.append([{"id": str(i), "toxic": int(t), "cosine": c} for i, t, c in zip(model.ids[found], model.toxic[found], cosines.tolist(), strict=True)])
+                near.append(found)
+                cosines.append(each)
+            at = pa.array(np.concatenate(near))
+            rows = pa.StructArray.from_arrays([ids.take(at), labels.take(at), pa.array(np.concatenate(cosines))], names=["id", "toxic", "cosine"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in near]), pa.int32()), rows)
             called = pa.array([int(s >= threshold) for s in scores], pa.int32())
-            yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), called, pa.array(near, evidence)], names=list(NAMES))
+            yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), called, evidence], names=list(NAMES))
             release()
 
     work = fresh(kept, "toxicity")

@@ -217,6 +217,8 @@ def test_toxicity_idf_covers_every_document_and_the_sample_is_bounded(spark):
     model = toxicity.fit(docs, of, examples=200, terms=20)
     assert len(model.vocabulary) <= 20 and 120 < len(model.ids) < 280
     counts = [toxicity.term_counts(t, model.vocabulary) for _, t in rows]
+    assert all(toxicity.held_terms(t, model.vocabulary, model.heads) == set(c) for (_, t), c in zip(rows, counts, strict=True))
+    assert all(toxicity.term_counts(t, model.vocabulary, model.heads) == c for (_, t), c in zip(rows, counts, strict=True))
     for term in range(len(model.idf)):
         assert model.idf[term] == pytest.approx(math.log((len(rows) + 1) / (sum(term in c for c in counts) + 1)) + 1)
 
