@@ -207,16 +207,17 @@ def restored_edges(spark, d):
 _COLD_CASE = "case " + " ".join(f"when s >= {a} and s < {b} then {k}" for k, (a, b) in enumerate(tables.COLD_BANDS)) + " end"
 
 
-@query(
-    f"""with {NESTED_SQL}, sup as (select item_id, count(*) as s from nested where role = 'training' group by 1),
+_COHORT_SQL = f"""{NESTED_SQL}, sup as (select item_id, count(*) as s from nested where role = 'training' group by 1),
 i as (select item_id, s as design_training_support, p_type as primary_genre, {_COLD_CASE} as band from sup join part on p_partkey = item_id),
 c as (select band, primary_genre, count(*) as n from i where band is not null group by 1, 2), t as (select *, sum(n) over (partition by band)::bigint as total from c),
 f as (select *, (12 * n) // total as base, (12 * n) % total as rest from t),
 r as (select *, row_number() over (partition by band order by rest desc, '"' || primary_genre || '"' || chr(10)) as k, 12 - sum(base) over (partition by band) as spare from f),
 q as (select band, primary_genre, (base + case when k <= spare then 1 else 0 end)::bigint as quota from r),
-h as (select i.*, quota, {hash_sql("pseudo-cold", "i.band::varchar", id_sql("i.primary_genre"), id_sql("i.item_id"))} as selection_hash from i join q on q.band = i.band and q.primary_genre = i.primary_genre)
-select item_id, design_training_support, primary_genre, selection_hash, band::int as support_band_index, quota as genre_stratum_quota from h qualify row_number() over (partition by band, primary_genre order by selection_hash, item_id) <= quota"""
-)
+h as (select i.*, quota, {hash_sql("pseudo-cold", "i.band::varchar", id_sql("i.primary_genre"), id_sql("i.item_id"))} as selection_hash from i join q on q.band = i.band and q.primary_genre = i.primary_genre),
+cohort as (select item_id, design_training_support, primary_genre, selection_hash, band::int as support_band_index, quota as genre_stratum_quota from h qualify row_number() over (partition by band, primary_genre order by selection_hash, item_id) <= quota)"""
+
+
+@query(f"with {_COHORT_SQL} select * from cohort")
 def pseudo_cold_items(spark, d):
     support = interactions.support(tables.nested(spark, d).where("role = 'training'"), "item_id", "design_training_support")
     rows = support.join(tables.items(spark, d).select("item_id", F.col("p_type").alias("primary_genre")), "item_id")
@@ -868,6 +869,37 @@ def pseudo_cold_targets(spark, d):
     return orchestrate.pseudo_cold(ready, cold, scores).select("user_id", "target_item_id", "strictly_above", "tied_block_size")
 
 
+_HIDDEN_COLD_SQL = (
+    f"{_COHORT_SQL}, whole as (select user_id, item_id from nested where role in ('training', 'validation', 'test')), "
+    "kept as (select distinct user_id from whole where item_id not in (select item_id from cohort)), "
+    "owned as (select w.user_id, w.item_id, c.design_training_support as score from whole w join cohort c on c.item_id = w.item_id), "
+    "cold_targets as (select o.* from owned o join kept k on k.user_id = o.user_id)"
+)
+
+
+@query(
+    f"with {_HIDDEN_COLD_SQL}, level as (select design_training_support as score, count(*) as n from cohort group by 1), "
+    "w as (select t.user_id, t.item_id, coalesce(sum(l.n) filter (l.score > t.score), 0) as above, sum(l.n) filter (l.score = t.score) as tied from cold_targets t cross join level l group by 1, 2), "
+    "x as (select a.user_id, a.item_id, count(*) filter (b.score > a.score) as above, count(*) filter (b.score = a.score) as tied from cold_targets a join owned b on a.user_id = b.user_id and a.item_id <> b.item_id group by 1, 2) "
+    "select w.user_id, w.item_id as target_item_id, (w.above - coalesce(x.above, 0))::bigint as strictly_above, (w.tied - coalesce(x.tied, 0))::bigint as tied_block_size from w left join x on x.user_id = w.user_id and x.item_id = w.item_id"
+)
+def hidden_cold_targets(spark, d):
+    """Every edge, held-out ones included, of the cold cohort of users that own something else, ranked among it by popularity."""
+    ready, cold = evaluate.prepare(spark, d), pseudo_cold_items(spark, d)
+    _, targets, owned = orchestrate.hide_cold(ready, cold, saver(spark))
+    return orchestrate.cold_popularity(ready, cold, targets, owned).select("user_id", "target_item_id", "strictly_above", "tied_block_size")
+
+
+@query()
+def content_only_cold_rank(spark, d):
+    """Leaderboard rows of the cold cohort: popularity, and labels alone after a pairwise refit with 64 factors that never saw it."""
+    ready, cold = evaluate.prepare(spark, d), saver(spark)(pseudo_cold_items(spark, d))
+    labels = features.label_features(tables.items(spark, d))
+    config = {"factors": 64, "ridge": 1e-4, "rate": 0.1, "epochs": 12}
+    rows = orchestrate.pseudo_cold_refit(ready, cold, labels, config, [104_729], saver(spark))
+    return evaluation.leaderboard(rows, "family", "training_seed").withColumnRenamed("users", "target_edges")
+
+
 @query()
 def contested_edge_split(spark, d):
     """The capacity-aware holdout where items are scarce: event types as items, each with room for a few users. Tested against the scan."""
