@@ -180,3 +180,50 @@ def moments(panel: DataFrame, sizes: Sequence[int], floor: bool = False) -> Data
     other = w.select("user_id", F.col("size").alias("size_b"), F.col("w").alias("w_b"))
     both = w.withColumnRenamed("size", "size_a").join(other, "user_id").where("size_a <= size_b")
     return both.groupBy("size_a", "size_b").agg(F.avg("w").alias("omega_a"), F.avg("w_b").alias("omega_b"), F.covar_samp("w", "w_b").alias("sigma"))
+
+
+def shrunk_moments(panel: DataFrame, sizes: Sequence[int], floor: bool = False, about: Sequence[float] | None = None) -> DataFrame:
+    """(size_a, size_b, omega_a, omega_b, sigma, shrunk, weight) for size_a <= size_b, over users that have every size.
+
+    sigma is the sample covariance of top sums and shrunk the Ledoit-Wolf one, (1 - weight) S + weight * mean variance * I with S over
+    n. One aggregate gives both: sums of y, y y', |y|^2 y and |y|^4, where y is what a user's sums exceed `about` (0 unless given;
+    a rough centre keeps digits where means are large against deviations). These merge in any order; the weight's noise term needs
+    no more of the fourth moments than the mean of |y - mean|^4. One row of sums reaches the driver. Fewer than two users give no rows.
+    """
+    import numpy as np
+
+    m = len(sizes)
+    centre = [float(c) for c in about] if about is not None else [0.0] * m
+    names = [f"w{k}" for k in range(m)]
+    wide = top_sums(panel, sizes, floor).groupBy("user_id").agg(*[F.max(F.when(F.col("size") == int(s), F.col("w") - F.lit(c))).alias(n) for n, s, c in zip(names, sizes, centre, strict=True)]).dropna(subset=names)
+    square = sum((F.col(n) * F.col(n) for n in names), F.lit(0.0))
+    pairs = [(a, b) for a in range(m) for b in range(a, m)]
+    got = wide.withColumn("_q", square).agg(
+        F.count("*").alias("n"), F.sum(F.col("_q") * F.col("_q")).alias("q"),
+        *[F.sum(c).alias(f"s{k}") for k, c in enumerate(names)], *[F.sum(F.col("_q") * F.col(c)).alias(f"t{k}") for k, c in enumerate(names)],
+        *[F.sum(F.col(names[a]) * F.col(names[b])).alias(f"p{a}_{b}") for a, b in pairs],
+    ).first()
+    made = "size_a int, size_b int, omega_a double, omega_b double, sigma double, shrunk double, weight double"
+    n = got["n"]
+    if n < 2:
+        return panel.sparkSession.createDataFrame([], made)
+    mean, third = (np.array([got[f"{c}{k}"] for k in range(m)]) / n for c in "st")
+    raw = np.array([[got[f"p{min(a, b)}_{max(a, b)}"] for b in range(m)] for a in range(m)]) / n
+    s = raw - np.outer(mean, mean)
+    size = mean @ mean
+    fourth = got["q"] / n - 4 * third @ mean + 4 * mean @ raw @ mean + 2 * np.trace(raw) * size - 3 * size * size
+    target = np.trace(s) / m
+    distance = ((s - target * np.eye(m)) ** 2).sum() / m
+    noise = max(0.0, fourth - (s**2).sum()) / (n * m)
+    weight = 0.0 if distance <= 0 else float(min(noise, distance) / distance)
+    shrunk = (1 - weight) * s + weight * target * np.eye(m)
+    omega = mean + np.array(centre)
+    rows = [(int(sizes[a]), int(sizes[b]), float(omega[a]), float(omega[b]), float(s[a, b] * n / (n - 1)), float(shrunk[a, b]), weight) for a, b in pairs]
+    return panel.sparkSession.createDataFrame(rows, made)
+
+
+def calibrated_panel(scores: DataFrame, calibration: DataFrame, floor: bool = True) -> DataFrame:
+    """(user_id, item_id, v): scores (user_id, item_id, score) as values a + b * score of a one-row calibration (a, b), floored at 0 if floor."""
+    line = F.broadcast(calibration.select(F.col("a").alias("_a"), F.col("b").alias("_b")))  # one row
+    v = F.col("_a") + F.col("_b") * F.col("score")
+    return scores.crossJoin(line).select("user_id", "item_id", (F.greatest(v, F.lit(0.0)) if floor else v).alias("v"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquetry.functions import hashing, scalars
-from marquetry.operators import bundles, composition, evaluation, exposure, features, interactions, models, pricing, ranking, splits, statistics, sweeps
+from marquetry.operators import bundles, composition, evaluation, exposure, features, grids, interactions, models, pricing, ranking, splits, statistics, sweeps
 from marquetry.plans import evaluate, orchestrate, tables
 from marquetry.plans.evaluate import rounded
 from marquetry.plans.tables import BUNDLES_SQL, EDGES_SQL, NESTED_SQL, OUTER_SQL, PANEL_SQL, RAW_SQL, hash_sql, id_sql
@@ -567,6 +567,69 @@ def moments_omega_sigma(spark, d):
     return out.withColumn("sigma", F.round("sigma", 4))
 
 
+_WIDE_SQL = "wide as (select user_id, " + ", ".join(f"max(w) filter (size = {s}) as w{k}" for k, s in enumerate(tables.SIZES)) + " from sums group by 1)"
+
+
+def _shrunk_sql(sums: str) -> str:
+    """Ledoit-Wolf in two passes over the top sums of a chain of views."""
+    m = range(len(tables.SIZES))
+    pairs = [(a, b) for a in m for b in m]
+    norm = " + ".join(f"x{k} * x{k}" for k in m)
+    trace = "(" + " + ".join(f"s{k}_{k}" for k in m) + f") / {len(m)}"
+    squares = " + ".join(f"s{a}_{b} * s{a}_{b}" for a, b in pairs)
+    apart = " + ".join(f"(s{a}_{b} - {'target' if a == b else '0'}) ^ 2" for a, b in pairs)
+    rows = " union all ".join(f"select {tables.SIZES[a]}::int as size_a, {tables.SIZES[b]}::int as size_b, round(m{a}, 5) as omega_a, round(m{b}, 5) as omega_b, round(s{a}_{b} * n / (n - 1), 3) as sigma, round((1 - weight) * s{a}_{b} + {'weight * target' if a == b else '0'}, 3) as shrunk, round(weight, 7) as weight from l" for a, b in pairs if a <= b)
+    return (
+        f"with {sums}, {_WIDE_SQL}, full_rows as (select * from wide where " + " and ".join(f"w{k} is not null" for k in m) + "), means as (select count(*) as n, " + ", ".join(f"avg(w{k}) as m{k}" for k in m) + " from full_rows), "
+        "x as (select " + ", ".join(f"w{k} - m{k} as x{k}" for k in m) + " from full_rows cross join means), "
+        "s as (select avg((" + norm + ") ^ 2) as fourth, " + ", ".join(f"avg(x{a} * x{b}) as s{a}_{b}" for a, b in pairs) + f" from x), t as (select *, {trace} as target, {squares} as squares from s cross join means), "
+        f"d as (select *, ({apart}) / {len(m)} as distance, greatest(0, fourth - squares) / (n * {len(m)}) as noise from t), l as (select *, case when distance <= 0 then 0 else least(noise, distance) / distance end as weight from d) {rows}"
+    )
+
+
+def _shrunk(rows: DataFrame) -> DataFrame:
+    digits = {"omega_a": 5, "omega_b": 5, "sigma": 3, "shrunk": 3, "weight": 7}
+    return rows.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+@query(_shrunk_sql(_SUMS_SQL))
+def moments_shrunk(spark, d):
+    """Means, sample and Ledoit-Wolf covariances of top sums, and the weight of the shrinkage."""
+    return _shrunk(pricing.shrunk_moments(tables.panel(spark, d), tables.SIZES))
+
+
+_GRID_POINTS = 12
+
+
+def _grid_sql(points: int) -> str:
+    m = range(len(tables.SIZES))
+    cost = [tables.UNIT_COST * s for s in tables.SIZES]
+    price = lambda k: f"case when k{k}.k = {points - 1} then t{k} else k{k}.k * (t{k} / {points - 1}) end"
+    number = " + ".join(f"k{k}.k * {points ** (len(m) - 1 - k)}" for k in m)
+    near = lambda k: f"w{k} - p{k} >= best - 1e-12"
+    return (
+        f"with {_SUMS_SQL}, {_WIDE_SQL}, tops as (select " + ", ".join(f"max(w{k}) as t{k}" for k in m) + " from wide), "
+        f"k as (select unnest(range({points}))::bigint as k), menus as (select {number} as menu, " + ", ".join(f"{price(k)} as p{k}" for k in m) + " from tops" + "".join(f" cross join k as k{k}" for k in m) + "), "
+        "offers as (select *, greatest(" + ", ".join(f"w{k} - p{k}" for k in m) + ") as best from menus cross join wide), "
+        "cheapest as (select *, case when best > 1e-12 then least(" + ", ".join(f"case when {near(k)} then p{k} end" for k in m) + ") end as pm from offers), "
+        "margins as (select menu, case when pm is null then 0 else pm - case " + " ".join(f"when {near(k)} and p{k} = pm then {cost[k]}::double" for k in m) + " end end as margin from cheapest), "
+        "profits as (select menu, avg(margin) as profit from margins group by 1), top as (select menu, profit from profits order by round(profit, 9) desc, menu limit 1), "
+        "chosen as (select * from top join menus using (menu)) " + " union all ".join(f"select {s}::int as size, round(p{k}, 6) as price, round(profit, 6) as profit, menu::bigint as menu from chosen" for k, s in enumerate(tables.SIZES))
+    )
+
+
+@query(_grid_sql(_GRID_POINTS))
+def price_grid(spark, d):
+    """The best menu of a grid of 12 prices a size, by bounds."""
+    return rounded(grids.price_grid(tables.panel(spark, d), tables.SIZES, _GRID_POINTS, tables.UNIT_COST), 6)
+
+
+@query()
+def price_grid_million(spark, d):
+    """The best of 2,560,000 menus: 40 prices a size. Tested against a loop over all menus of smaller grids."""
+    return grids.price_grid(tables.panel(spark, d), tables.SIZES, 40, tables.UNIT_COST)
+
+
 @query(f"with {_SUMS_SQL}, {_MENU_SQL}, k(f) as (values (0.5::double), (0.75::double), (1.0::double), (1.25::double)), o as (select f, user_id, m.size, m.price * f as price, m.price * f - cost as margin, w - m.price * f as surplus, max(w - m.price * f) over (partition by f, user_id) as best from sums s join menu m on m.size = s.size cross join k), p as (select f, user_id, margin from o where best > 1e-12 and surplus >= best - 1e-12 qualify row_number() over (partition by f, user_id order by price, size) = 1) select case f when 0.5 then 0 when 0.75 then 1 when 1.0 then 2 else 3 end::int as menu, round(sum(margin) / (select count(distinct user_id) from sums), 6) as profit from p group by f")
 def menu_search(spark, d):
     menus = [[p * f for p in tables.MENU] for f in (0.5, 0.75, 1.0, 1.25)]
@@ -653,6 +716,22 @@ def normalisation(spark, d):
     return out.select(F.round("a", 4).alias("a"), F.round("b", 6).alias("b"), F.round("sigma", 4).alias("sigma"))
 
 
+_VALUED_SQL = (
+    _PRICED_SQL + ", line as (select median(price) - stddev_pop(price) / stddev_pop(mean_score) * median(mean_score) as a, stddev_pop(price) / stddev_pop(mean_score) as b from priced), "
+    "valued as (select user_id, item_id, greatest(a + b * playtime_forever, 0) as v from edges cross join line), "
+    "ranked as (select user_id, item_id, v, row_number() over w as size, sum(v) over (w rows unbounded preceding) as w from valued window w as (partition by user_id order by v desc, item_id)), "
+    "sums as (select user_id, size, w from ranked where size in (" + ", ".join(map(str, tables.SIZES)) + "))"
+)
+
+
+@query(_shrunk_sql(_VALUED_SQL))
+def calibrated_moments(spark, d):
+    """From scores to moments: the scale set to prices, values of users' items, their top sums, and the shrunk covariance of these."""
+    line = statistics.normalised_calibration(_priced(spark, d))
+    scores = tables.edges(spark, d).select("user_id", "item_id", F.col("playtime_forever").alias("score"))
+    return _shrunk(pricing.shrunk_moments(pricing.calibrated_panel(scores, line), tables.SIZES))
+
+
 @query(f"with {_PRICED_SQL}, z as (select ln(1 + owners) as y, ln(price) as x from priced) select round(regr_slope(y, x), 6) as slope, round(regr_intercept(y, x), 5) as intercept, round(regr_r2(y, x), 8) as r2, count(*) as n from z")
 def ols_demand(spark, d):
     rows = _priced(spark, d).select(F.log1p("owners").alias("y"), F.log("price").alias("x"))
