@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marquetry.functions.contracts import ContractError, assert_contract, exclusion_reason, is_missing_id, is_valid_id, playtime_rule, positive_zero
 from marquetry.functions.scalars import observed_confidence
 from marquetry.operators import prefix
+from marquetry.sources.scratch import discard, saver
 
 KEYS = ("user_id", "item_id")
 PLAY = ("playtime_forever", "playtime_2weeks")
@@ -30,17 +33,48 @@ def keep_first(rows: DataFrame, order: Column, *keys: str) -> DataFrame:
     return best.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 
-def load_audit(rows: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:
-    """Counts of a raw text table in one pass: source rows, eligible rows, rows per first reason, and each flag alone."""
-    u, i = F.col(user), F.col(item)
+def _audit(u: Column, i: Column) -> list[Column]:
     reason = exclusion_reason(u, i)
     flags = {"flag_missing_user": is_missing_id(u), "flag_invalid_user": ~is_missing_id(u) & ~is_valid_id(u), "flag_missing_item": is_missing_id(i), "flag_invalid_item": ~is_missing_id(i) & ~is_valid_id(i)}
-    return rows.agg(
+    return [
         F.count("*").alias("source_rows"),
         F.count_if(reason.isNull()).alias("eligible_rows"),
         *[F.count_if(F.coalesce(reason == r, F.lit(False))).alias(f"excluded_{r}") for r in REASONS],
         *[F.count_if(f).alias(name) for name, f in flags.items()],
-    )
+    ]
+
+
+def load_audit(rows: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:
+    """Counts of a raw text table in one pass: source rows, eligible rows, rows per first reason, and each flag alone."""
+    return rows.agg(*_audit(F.col(user), F.col(item)))
+
+
+def audited_scan(spark: SparkSession, path: str, save: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, audit) of a CSV of interactions with a header, read once: the audit is observed while eligible rows are written.
+
+    Columns: user_id, item_id, playtime_forever, playtime_2weeks, blank playtimes count as 0. Bad ids are left out and counted as
+    `load_audit` does. A line that does not fit the columns, or a playtime that is not finite or negative, is an error that names
+    how many there are and the first such line in order of text; it holds on rows of bad ids too, and nothing is kept. The header must match. A
+    source without rows gives no edges and an audit of zeros. The scan is one stage that writes, whose counts Spark takes once
+    per finished task; edges are merged from what it wrote.
+    """
+    line = "_line"
+    rows = spark.read.schema(f"user_id string, item_id string, playtime_forever double, playtime_2weeks double, {line} string").csv(path, header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=line)
+    plays = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in PLAY}
+    good = playtime_rule(plays[PLAY[0]]) & playtime_rule(plays[PLAY[1]])
+    shown = F.coalesce(F.col(line), F.concat_ws(",", *[F.col(c).cast("string") for c in (*KEYS, *PLAY)]))
+    broken = F.col(line).isNotNull() | ~good
+    seen = Observation()
+    watched = rows.observe(seen, *_audit(F.col("user_id"), F.col("item_id")), F.count_if(F.col(line).isNotNull()).alias("_unfit"), F.count_if(F.col(line).isNull() & ~good).alias("_plays"), F.min(F.when(broken, shown)).alias("_first"))
+    eligible = watched.where(exclusion_reason(F.col("user_id"), F.col("item_id")).isNull() & ~broken)
+    kept = (save or saver(spark))(eligible.select(*[F.col(c).cast("long").alias(c) for c in KEYS], *[v.alias(c) for c, v in plays.items()]))
+    found = seen.get
+    if found["_unfit"] or found["_plays"]:
+        discard(kept)
+        raise ContractError(f"of {found['source_rows']} rows: {found['_unfit']} do not fit the columns, {found['_plays']} have bad playtimes; the first: {found['_first'][:200]!r}")
+    names = [n for n in found if not n.startswith("_")]
+    audit = spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} long" for n in names))
+    return canonical_edges(kept), audit
 
 
 def load_interactions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

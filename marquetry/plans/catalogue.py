@@ -52,13 +52,14 @@ _MISSING = "({0} is null or {0} = '')"
 _VALID = "coalesce(regexp_matches({0}, '^(0|[1-9][0-9]*)$') and (length({0}) < 19 or (length({0}) = 19 and {0} <= '9223372036854775807')), false)"
 
 
-@query(
-    f"""with t as (select {_BAD_USER} as u, {_BAD_ITEM} as i from orders join lineitem on o_orderkey = l_orderkey),
+_AUDIT_COUNTS_SQL = f"""with t as (select {_BAD_USER} as u, {_BAD_ITEM} as i from orders join lineitem on o_orderkey = l_orderkey),
 f as (select {_MISSING.format("u")} as mu, not {_MISSING.format("u")} and not {_VALID.format("u")} as iu, {_MISSING.format("i")} as mi, not {_MISSING.format("i")} and not {_VALID.format("i")} as ii from t)
 select count(*) as source_rows, count(*) filter (not (mu or iu or mi or ii)) as eligible_rows, count(*) filter (mu) as excluded_missing_user, count(*) filter (iu) as excluded_invalid_user,
 count(*) filter (not mu and not iu and mi) as excluded_missing_item, count(*) filter (not mu and not iu and ii) as excluded_invalid_item,
 count(*) filter (mu) as flag_missing_user, count(*) filter (iu) as flag_invalid_user, count(*) filter (mi) as flag_missing_item, count(*) filter (ii) as flag_invalid_item from f"""
-)
+
+
+@query(_AUDIT_COUNTS_SQL)
 def edge_load_audit(spark, d):
     """Audit of ids spoilt by rule in some rows: no row is left out."""
     rows = tables.raw(spark, d)
@@ -823,18 +824,43 @@ def library_diagnostics(spark, d):
     return interactions.source_diagnostics(records.select(F.col("user_id").cast("string").alias("user_id"), F.lit(None).cast("string").alias("steam_id"), "items"))
 
 
-@query(
-    f"""with t as (select {_BAD_USER} as u, {_BAD_ITEM} as i, l_quantity, l_extendedprice from orders join lineitem on o_orderkey = l_orderkey),
+_LOADED_SQL = f"""with t as (select {_BAD_USER} as u, {_BAD_ITEM} as i, l_quantity, l_extendedprice from orders join lineitem on o_orderkey = l_orderkey),
 g as (select u::bigint as user_id, i::bigint as item_id, l_quantity, l_extendedprice from t where {_VALID.format("u")} and {_VALID.format("i")})
 select user_id, item_id, max(l_quantity)::double as playtime_forever, max(l_extendedprice)::double as playtime_2weeks from g group by 1, 2"""
-)
-def loaded_edges(spark, d):
-    """Canonical edges of the rows whose ids are valid, from text with ids spoilt by rule."""
+
+
+def _spoilt(spark, d) -> DataFrame:
+    """Raw rows as text ids, some spoilt by rule."""
     rows = tables.raw(spark, d)
     key, u, i = F.col("l_orderkey"), F.col("user_id").cast("string"), F.col("item_id").cast("string")
     user = F.when((key % 97 == 0) & (F.col("l_linenumber") == 1), "").when(key % 89 == 0, F.concat(F.lit("0"), u)).when(key % 83 == 0, F.lit(None)).when(key % 61 == 0, F.concat(u, F.lit(".0"))).otherwise(u)
     item = F.when(key % 79 == 0, "").when(key % 73 == 0, F.concat(F.lit("x"), i)).when(key % 71 == 0, "9223372036854775808").otherwise(i)
-    return interactions.load_interactions(rows.select(user.alias("user_id"), item.alias("item_id"), "playtime_forever", "playtime_2weeks"))[0]
+    return rows.select(user.alias("user_id"), item.alias("item_id"), "playtime_forever", "playtime_2weeks")
+
+
+@query(_LOADED_SQL)
+def loaded_edges(spark, d):
+    """Canonical edges of the rows whose ids are valid, from text with ids spoilt by rule."""
+    return interactions.load_interactions(_spoilt(spark, d))[0]
+
+
+def _scanned(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(edges, audit) of the spoilt rows written as CSV and read in one pass."""
+    path = f"{shared_folder(spark)}/spoilt-{uuid.uuid4().hex}"
+    _spoilt(spark, d).write.option("header", True).csv(path)
+    return interactions.audited_scan(spark, path)
+
+
+@query(_LOADED_SQL)
+def scanned_edges(spark, d):
+    """Edges of an audited scan of a CSV with spoilt ids."""
+    return _scanned(spark, d)[0]
+
+
+@query(_AUDIT_COUNTS_SQL)
+def scan_audit(spark, d):
+    """The audit that the same scan observes."""
+    return _scanned(spark, d)[1]
 
 
 @query(f"with {EDGES_SQL} select e.user_id, e.item_id, e.playtime_forever from edges e where user_id in (select c_custkey from customer where c_nationkey < 5) and item_id in (select p_partkey from part where p_size <= 10)")
