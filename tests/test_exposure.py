@@ -99,3 +99,37 @@ def test_exposure_of_nobody(spark):
     shown = exposure.factor_exposure(users.limit(0), items, excluded, 5)
     assert exposure.exposure_coverage(shown, 41).first()["coverage"] == 0.0
     assert exposure.exposure_concentration(shown, items).first()[0] is None
+
+
+@pytest.mark.parametrize("biased", [True, False])
+def test_a_mounted_catalogue_is_mapped_and_another_joined(spark, monkeypatch, biased):
+    """Both ways give the same; where the folder is mounted no block of users is joined to blocks of items."""
+    _, _, _, frames = tables(spark, 11, biased=biased)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    with monkeypatch.context() as m:
+        m.setattr(exposure.arrays, "mounted", lambda spark: None)
+        m.setattr(exposure, "ITEMS_PER_BLOCK", 6)
+        edges, shown = rows(exposure.top_k_boundaries(*frames, 5)), rows(exposure.factor_exposure(*frames, 5))
+    monkeypatch.setattr(exposure, "_blocks", None)
+    assert rows(exposure.top_k_boundaries(*frames, 5)) == edges
+    found = rows(exposure.factor_exposure(*frames, 5))
+    assert [r[0] for r in found] == [r[0] for r in shown]
+    assert np.array([r[1:] for r in found]) == pytest.approx(np.array([r[1:] for r in shown]))
+
+
+def test_a_sweep_over_blocks_finds_the_levels_of_single_users():
+    """Products of matrices and exact sums together give the levels of factor-by-factor scores, near ties included."""
+    rng = np.random.default_rng(4)
+    users = rng.standard_normal((37, 16)).astype(np.float32)
+    items = np.repeat(rng.standard_normal((60, 16)).astype(np.float32), 5, axis=0)[rng.permutation(300)]
+    items[::7] *= np.float32(1 + 1e-7)
+    bias, low = np.zeros(300, np.float32), exposure._Tops(37, 9)
+    slack = exposure._slack(users, *exposure._extent(items, bias))
+    for a in range(0, 300, 32):
+        none = (np.empty(0, np.int64), np.empty(0, np.int64))
+        for u, _, scores in exposure._reaching(users, items[a : a + 32], bias[a : a + 32], none, low.floor, slack, 9):
+            low.add(u, scores)
+    for u in range(37):
+        top = exposure.TopLevels(9)
+        top.update(exposure._paired(np.repeat(users[u : u + 1], 300, axis=0), items, bias))
+        assert top.levels.tolist() == low.levels[low.who == u].tolist() and top.counts.tolist() == low.counts[low.who == u].tolist()
