@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -651,3 +652,19 @@ def test_inner_products_by_blocks(spark, monkeypatch):
     values = np.array([0.0000005, -0.0000005, 2.5e-6, 1.0000015, -1.2345675, 1e-9, -1e-9, 1e12 + 0.1, np.inf, 1e300])
     rounded = [r[0] for r in spark.createDataFrame([(float(v),) for v in values], "v double").select(F.round("v", 6)).collect()]
     assert ranking.rounded_half_up(values, 6).tolist() == rounded
+
+
+def test_als_keys_of_few_edges_are_solved_together(monkeypatch):
+    """Keys that a batch holds whole go by their number of edges, in the same terms as the normal equations; cut ones go on over batches."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 14, 40)
+    rows = pd.DataFrame({"user_id": np.repeat(np.arange(40), sizes), "item_id": rng.integers(0, 30, sizes.sum()), "confidence": 1 + 20 * rng.random(sizes.sum()), "_n": np.repeat(sizes, sizes)})
+    factors, calls = rng.standard_normal((30, 8)), []
+    gram = factors.T @ factors
+    solve = models.solve_batch
+    monkeypatch.setattr(models, "solve_batch", lambda a, b: calls.extend(b) or solve(a, b))
+    found = pd.concat(models._summed(iter([rows[a : a + 50] for a in range(0, len(rows), 50)]), "user_id", lambda pdf: factors[pdf["item_id"].to_numpy()], 0.1, gram)).set_index("id")["vec"]
+    assert sorted(found.index) == list(range(40)) and len(calls) < 0.7 * 40
+    for key, own in rows.groupby("user_id"):
+        want, _ = models.solve_spd(*models.normal_equation(factors[own["item_id"]], own["confidence"].to_numpy(), 0.1, gram))
+        assert found[key] == pytest.approx(want, rel=1e-4, abs=1e-6)
