@@ -668,3 +668,22 @@ def test_als_keys_of_few_edges_are_solved_together(monkeypatch):
     for key, own in rows.groupby("user_id"):
         want, _ = models.solve_spd(*models.normal_equation(factors[own["item_id"]], own["confidence"].to_numpy(), 0.1, gram))
         assert found[key] == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
+def test_the_holdout_deals_edges_by_user_once(spark):
+    """Choices are made where a user's edges lie: edges are not joined to tables by user or by pair, and columns to keep go along."""
+    rows = [(u, i, float(u + i)) for u in range(30) for i in range(20) if (u * 7 + i * 3) % 4]
+    plans = []
+
+    def save(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    frame = spark.createDataFrame(rows, "user_id long, item_id long, played double")
+    out = splits.nested_split(frame, 2, 1, save=save, keep=["played"])
+    assert sum(p.count("Join") for p in plans) == 1  # the items' support
+    found = {(r["user_id"], r["item_id"]): r for r in out.collect()}
+    assert {k: r["played"] for k, r in found.items()} == {(u, i): p for u, i, p in rows}
+    for u in range(30):
+        roles = [r["role"] for (x, _), r in found.items() if x == u]
+        assert roles.count("test") == roles.count("validation") == 1
