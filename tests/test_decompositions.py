@@ -80,3 +80,23 @@ def test_negative_entries_are_an_error(spark):
     with pytest.raises(Exception) as found:
         models.fit_nmf_edges(spark.createDataFrame([(1, 1, -1.0)], "user_id long, item_id long, confidence double"), 2, rounds=1)
     assert isinstance(found.value, ContractError) or "not negative" in str(found.value)
+
+
+def test_sums_over_mapped_vectors_shuffle_no_edges(spark, monkeypatch):
+    """Mapped and joined sums agree, also for keys that tasks share; only the joined form shuffles edges."""
+    edges, written = edges_of(spark, matrix(5)), []
+
+    def save(df):
+        written.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df.localCheckpoint()
+
+    laid = models.dealt_by(edges, "item_id", save)
+    vectors = spark.createDataFrame([(100 + u, [float(u), 1.0 / (1 + u)]) for u in range(30)], "id long, vec array<double>").localCheckpoint()
+    written.clear()
+    got = {r["id"]: r["vec"] for r in models._weighted_sums(laid, "user_id", "item_id", vectors, 2, save).collect()}
+    assert len(written) == 1 and "Join" not in written[0] and "Aggregate" not in written[0]
+    monkeypatch.setattr(models.arrays, "mounted", lambda spark: None)
+    want = {r["id"]: r["vec"] for r in models._weighted_sums(laid, "user_id", "item_id", vectors, 2, save).collect()}
+    assert got.keys() == want.keys()
+    for key, vec in want.items():
+        assert got[key] == pytest.approx(vec, rel=1e-12)
