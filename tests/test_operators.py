@@ -510,6 +510,42 @@ def test_bpr_fit_equals_numpy(spark, monkeypatch, small):
     assert {r["id"] for r in folded} == {u for u in names if u < 30}
 
 
+def test_pulls_of_a_round_are_small(tmp_path):
+    """An edge or draw gives a few bytes to its item's range, not a vector; an item with many edges in a group gives one sum."""
+    n_items, k, rng = 3000, 16, np.random.default_rng(5)
+    pairs = np.unique(np.r_[rng.integers(0, 200 * n_items, 4000), np.arange(200) * n_items + 7])
+    u, i = pairs // n_items, pairs % n_items
+    rule = models._Pairwise(len(u), n_items, k, 0.0, 0.1, 1.0, 3, 4, 2)
+    p, v = (rng.normal(size=(n, w)).astype(np.float32) for n, w in ((200, k), (n_items, k + 1)))
+    out = rule.pulls(0, u, i, 0, v, p, np.full(p.shape, 1e-8), str(tmp_path))
+    rows = out[out["kind"] == "pull"]
+    assert rows["c"].tolist() == [0, 1, 2, 3] and sum(len(x) for x in rows["heavy"]) == 2  # item 7 alone
+    assert sum(len(x) for c in ("light", "users", "gained") for x in rows[c]) <= 8 * 2 * len(u)
+    triples = np.stack([u, i, rule.draws(u, i, 0, 0)], axis=1)
+    _, _, want, bias = models.bpr_sums(p.astype(float), v[:, :k].astype(float), v[:, k].astype(float), triples)
+    got = np.zeros((n_items, k + 1))
+    for r in rows.itertuples():
+        first = rule.bounds(r.c)[0]
+        got[first + np.frombuffer(r.heavy, np.uint16)] += np.frombuffer(r.sums, np.float32).reshape(-1, k + 1)
+        gained, mine = np.frombuffer(r.gained, np.float32), p[np.frombuffer(r.users, np.uint8)]
+        np.add.at(got, first + np.frombuffer(r.light, np.uint16).astype(int), np.c_[mine * gained[:, None], gained])
+    assert np.allclose(got, np.c_[want, bias], rtol=1e-3, atol=1e-4)
+
+
+def test_mapped_and_joined_fits_agree(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = sorted({(int(u), int(i)) for u, i in rng.integers(0, 12, (60, 2))})
+    edges = spark.createDataFrame(rows, "user_id long, item_id long")
+    labels = spark.createDataFrame([(i, f"genre::{i % 3}", 0.5) for i in range(0, 12, 2)], "item_id long, feature_name string, weight double")
+    made = []
+    for most in (models.MAX_MAPPED_BYTES, 0):
+        monkeypatch.setattr(models, "MAX_MAPPED_BYTES", most)
+        users, items, names = models.fit_bpr_parts(edges, labels, 3, epochs=1, rounds=2)
+        made.append([{r[0]: list(r[1]) + list(r[2:]) for r in t.collect()} for t in (users, items, names)])
+    for mapped, joined in zip(*made, strict=True):
+        assert mapped.keys() == joined.keys() and all(mapped[k] == pytest.approx(joined[k], rel=1e-3, abs=1e-5) for k in mapped)
+
+
 def test_als_cuts_keys_over_tasks(spark):
     """A popular item's edges lie in several tasks; partial sums give the same factors."""
     rows = [(u, 0, 2.0 + u % 3) for u in range(300)] + [(u, 1 + u % 5, 3.0) for u in range(300)]
