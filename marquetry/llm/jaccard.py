@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquetry.llm.common import discard, materialize, release
-from marquetry.llm.components import components
+from marquetry.llm.components import _roots, components
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -162,19 +162,6 @@ def similar_pairs(sets: list[np.ndarray], threshold: float, split: int = 0) -> t
     return i[ok], j[ok]
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def forest(nodes: DataFrame, threshold: float, trees: int, target_recall: float) -> DataFrame:
     """(node, tree, key, depth) of texts that share a short prefix with another, from (node, keys).
 
