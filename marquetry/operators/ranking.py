@@ -77,6 +77,24 @@ def item_score_ties(item_scores: DataFrame, targets: DataFrame, excluded: DataFr
     return out.select("user_id", "target_item_id", (F.col("_above") - F.coalesce("_lost_above", F.lit(0))).alias("strictly_above"), (F.col("_at") - F.coalesce("_lost_at", F.lit(0))).alias("tied_block_size"))
 
 
+def family_score_ties(item_scores: DataFrame, families: Sequence[str], targets: DataFrame, excluded: DataFrame) -> DataFrame:
+    """`item_score_ties` of several families (columns of item_scores) in one pass over the exclusions: its rows with their family."""
+    scored = item_scores.select("item_id", *[F.col(f).alias(f"_s{k}") for k, f in enumerate(families)])
+    aims = [F.col(f"_s{k}").alias(f"_t{k}") for k in range(len(families))]
+    own = targets.join(scored.select(F.col("item_id").alias("target_item_id"), *aims), "target_item_id")
+    for k in range(len(families)):
+        levels = scored.groupBy(F.col(f"_s{k}").alias(f"_t{k}")).agg(F.count("*").alias(f"_at{k}"))
+        own = own.join(running_sums(levels, F.desc(f"_t{k}"), {f"_above{k}": f"_at{k}"}, before=True), f"_t{k}")
+    lost = excluded.select("user_id", "item_id").join(scored, "item_id").join(own.select("user_id", "target_item_id", *[f"_t{k}" for k in range(len(families))]), "user_id")
+    beyond = [F.count_if(F.col(f"_s{k}") > F.col(f"_t{k}")).alias(f"_lost_above{k}") for k in range(len(families))]
+    equal = [F.count_if(F.col(f"_s{k}") == F.col(f"_t{k}")).alias(f"_lost_at{k}") for k in range(len(families))]
+    lost = lost.where("item_id <> target_item_id").groupBy("user_id", "target_item_id").agg(*beyond, *equal)
+    out = own.join(lost, ["user_id", "target_item_id"], "left")
+    left = lambda what, k: F.col(f"_{what}{k}") - F.coalesce(f"_lost_{what}{k}", F.lit(0))
+    each = [F.struct(left("above", k).alias("strictly_above"), left("at", k).alias("tied_block_size"), F.lit(f).alias("family")) for k, f in enumerate(families)]
+    return out.select("user_id", "target_item_id", F.explode(F.array(*each)).alias("_f")).select("user_id", "target_item_id", "_f.*")
+
+
 def tie_metrics(counts: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
     """expected_rank, recall_at_k and ndcg_at_k of each row's strictly_above and tied_block_size."""
     above, tied = F.col("strictly_above"), F.col("tied_block_size")

@@ -57,10 +57,11 @@ def described(rows: DataFrame, trained: DataFrame) -> DataFrame:
 
 
 def both_families(ready: Prepared) -> DataFrame:
-    out = metric_rows(ready, FAMILIES[0])
-    for family in FAMILIES[1:]:
-        out = out.unionByName(metric_rows(ready, family))
-    return out
+    """`metric_rows` of all families, with the joins of targets and exclusions made once."""
+    value = {"popularity": F.count("playtime_forever"), "volume": F.coalesce(F.sum("playtime_forever"), F.lit(0.0))}
+    scores = ready.warm.join(ready.trained, "item_id", "left").groupBy("item_id").agg(*[value[f].cast("double").alias(f) for f in FAMILIES])
+    rows = ranking.tie_metrics(ranking.family_score_ties(scores, FAMILIES, ready.targets, ready.hidden))
+    return rows.select(*[c for c in rows.columns if c != "family"], "family")
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:

@@ -6,10 +6,11 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from marquetry.functions.contracts import ContractError
-from marquetry.operators import pricing
+from marquetry.operators import pricing, ranking
 from marquetry.plans import catalogue, evaluate, monitor, orchestrate, pipeline
 from marquetry.sources.scratch import saver
 
@@ -125,3 +126,15 @@ def test_menu_by_evolution_is_no_worse_than_its_start(spark):
     prices, profit = pricing.optimise_menu(panel, (1, 2, 3), 0.5, rounds=4, population=8, start=start)
     assert profit >= base and prices == sorted(prices)
     assert pricing.menu_search(panel, [prices], (1, 2, 3), 0.5).first()["profit"] == pytest.approx(profit)
+
+
+def test_families_share_their_joins(spark):
+    """All families at once give the rows of each alone, and exclusions are joined once."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    scores = frame([(i, float(i % 3), float(i % 4)) for i in range(12)], "item_id long, a double, b double")
+    targets, lost = frame([(u, u) for u in range(10)], "user_id long, target_item_id long"), frame([(u, i) for u in range(9) for i in range(u % 2, 12, 3)], "user_id long, item_id long")
+    rows = ranking.family_score_ties(scores, ["a", "b"], targets, lost)
+    got = {(r["family"], r["user_id"]): (r["strictly_above"], r["tied_block_size"]) for r in rows.collect()}
+    for f in ("a", "b"):
+        alone = ranking.item_score_ties(scores.select("item_id", F.col(f).alias("score")), targets, lost).collect()
+        assert {(f, r["user_id"]): (r["strictly_above"], r["tied_block_size"]) for r in alone} == {k: v for k, v in got.items() if k[0] == f}
