@@ -742,3 +742,15 @@ def test_pairs_of_bundles_are_dealt_by_their_number(spark, monkeypatch):
     out = bundles.overlap_pairs(spark.createDataFrame([(b, i) for b in range(60) for i in (1, 2 + b % 2)], "bundle_id long, item_id long"))
     assert out.rdd.getNumPartitions() == 26  # of 2,640 pairs with repeats
     assert {r["shared_items"] for r in out.collect()} == {1, 2} and out.count() == 1770
+
+
+def test_inner_products_shuffle_no_block(spark, monkeypatch):
+    """Pairs of blocks come from the saved table's splits: the plan that scores them has no exchange, and a pair is worked out once for both orders."""
+    monkeypatch.setattr(ranking, "ROWS_PER_BLOCK", 4)
+    table = spark.range(60).select(F.col("id").alias("vec_id"), (F.col("id") % 2).alias("label"), F.array(F.col("id") * 0.5, F.lit(1.0)).alias("embedding"))
+    scores = ranking.inner_products(table, "label", "vec_id", "embedding")
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    got = {(r[0], r[1]): r[2] for r in scores.collect()}
+    assert scores.count() == len(got) == 2 * 30 * 29
+    assert all(got[j, i] == s == 0.25 * i * j + 1 for (i, j), s in got.items())
