@@ -100,3 +100,23 @@ def test_sums_over_mapped_vectors_shuffle_no_edges(spark, monkeypatch):
     assert got.keys() == want.keys()
     for key, vec in want.items():
         assert got[key] == pytest.approx(vec, rel=1e-12)
+
+
+def test_als_rounds_shuffle_no_edge_and_equal_joined_ones(spark, monkeypatch):
+    """Stretches of a few edges cut keys; a half step is one job over mapped vectors, with the vectors of joined tables."""
+    from marquetry.operators import rounds
+
+    monkeypatch.setattr(rounds, "EDGES_PER_STRETCH", 7)
+    rows = [(100 + u, 7 * i, 1.0 + (u * i) % 5) for u in range(9) for i in range(0, 40, 1 + u % 4)]
+    edges = spark.createDataFrame(rows, "user_id long, item_id long, confidence double").repartition(3)
+    by_user, by_item = rounds.sides(edges, lambda df: df.localCheckpoint())
+    assert by_user.cut and by_user.n == 9 and by_item.n == 40
+    calls, real = [], models.half_step
+    monkeypatch.setattr(models, "half_step", lambda *a: calls.append(1) or real(*a))
+    near = [{r["id"]: r["vec"] for r in side.collect()} for side in models.fit_als(edges, 3, 0.2, 3, 5)]
+    assert not calls
+    monkeypatch.setattr(models, "MAX_FIXED_BYTES", 0)
+    far = [{r["id"]: r["vec"] for r in side.collect()} for side in models.fit_als(edges, 3, 0.2, 3, 5)]
+    assert len(calls) == 6
+    for a, b in zip(near, far, strict=True):
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-3, abs=1e-5) for k in a)
