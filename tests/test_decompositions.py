@@ -120,3 +120,28 @@ def test_als_rounds_shuffle_no_edge_and_equal_joined_ones(spark, monkeypatch):
     assert len(calls) == 6
     for a, b in zip(near, far, strict=True):
         assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-3, abs=1e-5) for k in a)
+
+
+@pytest.mark.parametrize("fit", ["svd", "nmf"])
+def test_rounds_save_no_table(spark, monkeypatch, fit):
+    """Tables are saved before the first round and after the last only; cut keys give the sums of whole ones."""
+    from marquetry.operators import rounds as mapped_rounds
+
+    monkeypatch.setattr(mapped_rounds, "EDGES_PER_STRETCH", 5)
+    edges, counts, found = edges_of(spark, matrix()), [], []
+    for turns in (1, 3):
+        saved, losses = [], []
+        save = lambda df: saved.append(1) or df.localCheckpoint()  # noqa: E731,B023
+        if fit == "svd":
+            found.append(models.truncated_svd(edges, 2, rounds=turns, tolerance=0.0, save=save)[0])
+        else:
+            models.fit_nmf_edges(edges, 2, rounds=turns, seed=3, save=save, losses=losses)
+            found.append(np.array(losses))
+        counts.append(len(saved))
+    assert counts[0] == counts[1]
+    monkeypatch.setattr(models, "MAX_FIXED_BYTES", 0)
+    if fit == "svd":
+        assert found[1] == pytest.approx(models.truncated_svd(edges, 2, rounds=3, tolerance=0.0)[0], rel=1e-9)
+    else:
+        models.fit_nmf_edges(edges, 2, rounds=3, seed=3, losses=(far := []))
+        assert found[1] == pytest.approx(np.array(far), rel=1e-9)
