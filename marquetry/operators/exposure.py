@@ -2,7 +2,7 @@
 
 A task scores some users at once against blocks of items one after another and keeps, for each user, only as many levels of scores
 as k needs. A product of matrices finds the pairs that may matter; only these are summed factor by factor, so that equal vectors
-tie wherever they stand. A second pass gives each item's exposure. Tasks map the catalogue from the shared folder; where that is not
+tie wherever they stand. The same pass gives each item's exposure, or a second one where boundaries are wanted alone. Tasks map the catalogue from the shared folder; where that is not
 mounted, users and items are packed into blocks that are joined. No user-item pair is ever a row, whatever k and the size of
 the catalogue.
 """
@@ -27,6 +27,8 @@ ITEMS_PER_BLOCK = 8192
 USERS_PER_BLOCK = 1024
 BLOCKS_PER_TURN = 16
 AT_ONCE = 128
+#: Pairs that may be among the first places, kept by a task for users that are scored at once.
+MAX_KEPT = 1 << 20
 
 
 @dataclass
@@ -345,7 +347,51 @@ def exposure_concentration(exposure: DataFrame, top_items: DataFrame) -> DataFra
     return marked.agg(F.try_divide(F.coalesce(F.sum(F.when(F.col("top"), F.col("exposure"))), F.lit(0.0)), F.sum("exposure")).alias("concentration"))
 
 
+def _swept_once(sweep: Callable, names: np.ndarray, candidates: np.ndarray, k: int, sums: tuple[np.ndarray, np.ndarray]) -> None:
+    """Both passes over some users at once: pairs that reach the floor of their time are kept until the last places are known.
+
+    Where ties make these too many, users meet the catalogue again instead.
+    """
+    tops, kept, n = _Tops(len(names), k), [], 0
+    for u, i, scores in sweep(tops.floor, k):
+        tops.add(u, scores)
+        if kept is None:
+            continue
+        kept.append((u, i, scores))
+        n += len(u)
+        if n > MAX_KEPT:
+            u, i, scores = (np.concatenate(x) for x in zip(*kept, strict=True))
+            some = scores >= tops.floor[u]
+            kept, n = [(u[some], i[some], scores[some])], int(some.sum())
+            if n > MAX_KEPT // 2:
+                kept = None
+    ends = tops.boundaries(np.arange(len(names)), candidates)
+    edge, share = np.full(len(names), np.inf, np.float32), np.zeros(len(names))
+    edge[ends["user_id"]], share[ends["user_id"]] = ends["threshold"].to_numpy(dtype=np.float32), ends["inclusion"]
+    for u, i, scores in sweep(edge) if kept is None else kept:
+        some = scores >= edge[u]
+        u, i, scores = u[some], i[some], scores[some]
+        p = np.where(scores > edge[u], 1.0, share[u])
+        np.add.at(sums[0], i, p)
+        np.multiply.at(sums[1], i, 1 - p)
+
+
 def factor_exposure(users: DataFrame, items: DataFrame, excluded: DataFrame, k: int = 20, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """`item_exposure` of the first k of every user, both passes."""
+    """`item_exposure` of the first k of every user: in one pass over users and items where tasks map the catalogue, else in two."""
     save = save or saver(items.sparkSession)
+    if k >= 1 and (held := _mapped(_with_bias(items))) is not None:
+
+        def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, blocks, extent = _catalogue(held)
+            sums = np.zeros(len(ids)), np.ones(len(ids))
+            for batch in batches:
+                for a in range(0, len(batch), AT_ONCE):
+                    part = batch.iloc[a : a + AT_ONCE]
+                    _, _, (who, _), sweep = _swept(part, ids, blocks, extent)
+                    _swept_once(sweep, part["user_id"].to_numpy(), held.n - np.bincount(who, minlength=len(part)), k, sums)
+            some = sums[0] > 0
+            yield pd.DataFrame({"item_id": np.asarray(ids)[some], "exposure": sums[0][some], "missed": sums[1][some]})
+
+        parts = _dealt(_asking(users, excluded), held).mapInPandas(summed, "item_id long, exposure double, missed double")
+        return parts.groupBy("item_id").agg(F.sum("exposure").alias("exposure"), F.product("missed").alias("missed"))
     return item_exposure(users, items, excluded, save(top_k_boundaries(users, items, excluded, k)))

@@ -133,3 +133,42 @@ def test_a_sweep_over_blocks_finds_the_levels_of_single_users():
         top = exposure.TopLevels(9)
         top.update(exposure._paired(np.repeat(users[u : u + 1], 300, axis=0), items, bias))
         assert top.levels.tolist() == low.levels[low.who == u].tolist() and top.counts.tolist() == low.counts[low.who == u].tolist()
+
+
+@pytest.mark.parametrize("kept", [1 << 20, 3])
+def test_exposure_takes_one_pass_over_mapped_items(spark, monkeypatch, kept):
+    """No boundaries are made first; with too many ties to keep, users meet the catalogue again."""
+    monkeypatch.setattr(exposure, "top_k_boundaries", lambda *a: (_ for _ in ()).throw(AssertionError("a pass of its own")))
+    monkeypatch.setattr(exposure, "BLOCK", 7)
+    users, items, excluded, frames = tables(spark, 3)
+    _, chances = brute(users, items, excluded, 5)
+    monkeypatch.setattr(exposure, "MAX_KEPT", kept)
+    found = exposure.factor_exposure(*frames, 5).collect()
+    want = {}
+    for (_, i), p in chances.items():
+        a, b = want.get(i, (0.0, 1.0))
+        want[i] = (a + p, b * (1 - p))
+    assert {r["item_id"] for r in found} == set(want)
+    for r in found:
+        assert (r["exposure"], r["missed"]) == pytest.approx(want[r["item_id"]])
+
+
+@pytest.mark.parametrize("kept", [1 << 20, 3])
+def test_kept_pairs_and_a_second_meeting_agree(monkeypatch, kept):
+    monkeypatch.setattr(exposure, "MAX_KEPT", kept)
+    rng = np.random.default_rng(5)
+    scores, calls = rng.integers(0, 4, (6, 30)).astype(np.float32), []
+
+    def sweep(low, k=0):
+        calls.append(k)
+        for a in range(0, 30, 10):
+            u, i = np.nonzero(scores[:, a : a + 10] >= low[:, None])
+            yield u, i + a, scores[u, i + a]
+
+    sums = np.zeros(30), np.ones(30)
+    exposure._swept_once(sweep, np.arange(6), np.full(6, 30), 5, sums)
+    edge = np.sort(scores, axis=1)[:, -5]
+    above, tied = (scores > edge[:, None]).sum(axis=1), (scores == edge[:, None]).sum(axis=1)
+    p = np.where(scores > edge[:, None], 1.0, np.where(scores == edge[:, None], ((5 - above) / tied)[:, None], 0.0))
+    assert sums[0] == pytest.approx(p.sum(axis=0)) and sums[1] == pytest.approx((1 - p).prod(axis=0))
+    assert calls == ([5] if kept > 3 else [5, 0])
