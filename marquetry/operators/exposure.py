@@ -393,5 +393,5 @@ def factor_exposure(users: DataFrame, items: DataFrame, excluded: DataFrame, k:
             yield pd.DataFrame({"item_id": np.asarray(ids)[some], "exposure": sums[0][some], "missed": sums[1][some]})
 
         parts = _dealt(_asking(users, excluded), held).mapInPandas(summed, "item_id long, exposure double, missed double")
-        return parts.groupBy("item_id").agg(F.sum("exposure").alias("exposure"), F.product("missed").alias("missed"))
-    return item_exposure(users, items, excluded, save(top_k_boundaries(users, items, excluded, k)))
+        return save(parts.groupBy("item_id").agg(F.sum("exposure").alias("exposure"), F.product("missed").alias("missed")))  # read more than once
+    return save(item_exposure(users, items, excluded, save(top_k_boundaries(users, items, excluded, k))))
