@@ -172,3 +172,29 @@ def test_kept_pairs_and_a_second_meeting_agree(monkeypatch, kept):
     p = np.where(scores > edge[:, None], 1.0, np.where(scores == edge[:, None], ((5 - above) / tied)[:, None], 0.0))
     assert sums[0] == pytest.approx(p.sum(axis=0)) and sums[1] == pytest.approx((1 - p).prod(axis=0))
     assert calls == ([5] if kept > 3 else [5, 0])
+
+
+def test_counts_use_the_same_pages_again(monkeypatch):
+    """A block's scores are written where the last one's were, and counts are those of single sums with ties and hidden items."""
+    import pandas as pd
+
+    from marquetry.operators import ranking
+
+    monkeypatch.setattr(ranking, "BLOCK", 16)
+    rng, made, real = np.random.default_rng(2), [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda *a, **k: made.append(k["out"].__array_interface__["data"][0]) or real(*a, **k))
+    vectors = rng.integers(-2, 3, (50, 4)).astype(np.float32)  # the last is the bias
+
+    class Held:
+        n, width = 50, 4
+        ids, rows = staticmethod(lambda: np.arange(50)), staticmethod(lambda: vectors)
+
+    users, hidden = rng.integers(-2, 3, (9, 3)).astype(np.float32), [rng.choice(50, 5, replace=False) for _ in range(9)]
+    aims = [int(next(x for x in range(50) if x not in h)) for h in hidden]
+    part = pd.DataFrame({"user_id": range(9), "target_item_id": aims, "vec": list(users), "hidden": hidden})
+    got = pd.concat(ranking._counted(iter([part]), Held, 3))
+    assert len(made) == 4 and len(set(made)) == 1
+    scores = users @ vectors[:, :3].T + vectors[:, 3]
+    for u, (aim, lost) in enumerate(zip(aims, hidden, strict=True)):
+        rest = np.delete(scores[u], lost)
+        assert (got["strictly_above"].iloc[u], got["tied_block_size"].iloc[u]) == ((rest > scores[u, aim]).sum(), (rest == scores[u, aim]).sum())
