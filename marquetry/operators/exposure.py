@@ -132,7 +132,8 @@ def _reaching(users: np.ndarray, items: np.ndarray, bias: np.ndarray, hidden: tu
     With k, pairs that k others of the block surpass may be left out where `low` says nothing yet.
     """
     scores = users @ items.T
-    scores += bias
+    if bias.any():
+        scores += bias
     scores[hidden] = -np.inf
     if k and k < len(items) and (new := np.flatnonzero(np.isneginf(low))).size:
         low = low.copy()
